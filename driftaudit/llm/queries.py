@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftaudit.llm import sentences
+from driftaudit.llm import pii, sentences
 from driftaudit.plans.tables import Tables
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(Tables(spark, folder).contact_rows)
+
+
+def p6_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.redact(Tables(spark, folder).contact_rows)
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentence_units(Tables(spark, folder).documents).select("doc_id", "start_pos", "end_pos")
 
@@ -21,6 +29,6 @@ def p9_units(spark: SparkSession, folder: str) -> DataFrame:
     return units.groupBy("doc_id").agg(F.count("*").alias("n_units"), F.sum(F.length("unit")).alias("n_chars"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p9_found, p9_units)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_redacted, p9_found, p9_units)}
 
 ORACLES: dict[str, str] = {}
