@@ -24,11 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftaudit.functions.normalize import norm_id, wide_hash
-from driftaudit.session import cut
-
-#: A lookup of this many rows of at most ten fixed-width columns takes under 200 MB when broadcast.
-BROADCAST_ROWS = 1_000_000
-
+from driftaudit.session import BROADCAST_ROWS, lookup
 
 @dataclass(frozen=True)
 class Child:
@@ -54,11 +50,6 @@ def _micros(name: str):
     return F.unix_micros(F.col(name))
 
 
-def _lookup(small: DataFrame, broadcast_rows: int) -> DataFrame:
-    kept = cut(small)
-    return F.broadcast(kept) if kept.count() <= broadcast_rows else kept
-
-
 def _children(children: list[Child]) -> DataFrame:
     """(tag, c1, c2, t, refs): t in microseconds, refs the distinct (ref, k1, k2) of all rows of the child id."""
     parts = []
@@ -115,15 +106,15 @@ def orphans(children: list[Child], parents: list[Parent], broadcast_rows: int =
     """
     refs, rows = _references(children, parents), _parent_rows(parents).withColumn("since", F.coalesce("since", F.lit(-(2**62))))
     keys = ["parent", "k1", "k2"]
-    suspects = _lookup(suspect_keys(refs, rows), broadcast_rows)
+    suspects = lookup(suspect_keys(refs, rows), broadcast_rows)
     # a parent's distinct periods, merged where they overlap: a parent delivered again and again keeps one
     periods = rows.join(suspects, keys, "left_semi").groupBy(*keys).agg(F.collect_set(F.struct("since", F.coalesce("until", F.lit(2**62)).alias("until"))).alias("periods"))
-    held = _lookup(suspects.join(periods, keys, "left"), broadcast_rows)
+    held = lookup(suspects.join(periods, keys, "left"), broadcast_rows)
     inside = F.exists("periods", lambda p: (p["since"] <= F.col("t")) & (p["until"] > F.col("t")))
     later = F.exists("periods", lambda p: p["since"] > F.col("t"))
     reason = F.when(F.col("periods").isNull(), "missing").when(inside, None).when(later, "late").otherwise("deleted")
     bad = refs.join(held, keys).withColumn("reason", reason).where("reason is not null").select("tag", "c1", "c2", "ref", "reason", "t")
-    bad = _lookup(bad, broadcast_rows)
+    bad = lookup(bad, broadcast_rows)
     parts = []
     for tag, c in enumerate(children):
         c1, c2 = wide_hash(norm_id(F.col(c.id)))

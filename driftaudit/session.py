@@ -8,6 +8,10 @@ import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A lookup of this many rows of at most ten fixed-width columns takes under 200 MB when broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def local_session(cpus: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
@@ -44,3 +48,9 @@ def cut(df: DataFrame) -> DataFrame:
             atexit.register(shutil.rmtree, shared, ignore_errors=True)
         sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+def lookup(small: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`small`, computed once and counted: marked for broadcast below the bound, left to a shuffle join above it."""
+    kept = cut(small)
+    return F.broadcast(kept) if kept.count() <= broadcast_rows else kept
