@@ -7,10 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftaudit.llm import pii, sentences
+from driftaudit.llm import mixing, packing, pii, sentences, splitting
 from driftaudit.plans.tables import Tables
 
 
+def _limits(t: Tables) -> dict[str, int]:
+    return {r.name: r.tokens for r in t.size_limits.collect()}  # a table of four settings
+
+
+def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    t = Tables(spark, folder)
+    limits = _limits(t)
+    return splitting.split_oversized(t.chunks, t.elements, limits["chunk_max"], limits["chunk_overlap"])
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_pieces(spark, folder).select("chunk_id").distinct()
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    t = Tables(spark, folder)
+    return packing.pack(t.documents, _limits(t)["container_capacity"])
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(p7_containers(spark, folder), _limits(Tables(spark, folder))["container_capacity"])
+
+
+def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    t = Tables(spark, folder)
+    total = _limits(t)["mix_total_per_thousand_documents"] * t.documents.count() / 1000
+    return mixing.mix(t.documents, t.mix_targets, total)
+
+
+def p8_selection(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder)[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder)[1]
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find(Tables(spark, folder).contact_rows)
 
@@ -29,6 +66,13 @@ def p9_units(spark: SparkSession, folder: str) -> DataFrame:
     return units.groupBy("doc_id").agg(F.count("*").alias("n_units"), F.sum(F.length("unit")).alias("n_chars"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p6_found, p6_redacted, p9_found, p9_units)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_pieces, p6_found, p6_redacted, p7_containers, p7_fill, p8_selection, p8_shares, p9_found, p9_units)}
+
+_SPACE = r"[^ \t\n\x0b\x0c\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p2_found": f"""with e as (select lower(trim(id, ' \t\n\r')) e, max(len(regexp_extract_all(text, '{_SPACE}'))) n from elements where text is not null group by 1),
+c as (select distinct nullif(lower(trim(id)), '') chunk_id, list_sort(list_distinct(list_transform(locator.element_ids, lambda x: lower(trim(x, ' \t\n\r'))))) ids from chunks where len(locator.element_ids) > 0),
+r as (select chunk_id, ids, unnest(ids) e from c where chunk_id is not null)
+select distinct chunk_id from (select chunk_id, ids, sum(n) n from r join e using (e) group by all) where n > 512""",
+}
