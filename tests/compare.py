@@ -69,7 +69,7 @@ def main(args):
         try:
             text, ok = compare(spark, con, name, folder, qs[name], sqls.get(name))
         except Exception:
-            text, ok = f"{name}: FAILED " + traceback.format_exc()[-900:], False
+            text, ok = f"{name}: FAILED " + " ".join(traceback.format_exc().split("JVM stacktrace")[0].split())[-330:], False
         bad += not ok
         if not ok or len(args) > 0:
             print(text, flush=True)
