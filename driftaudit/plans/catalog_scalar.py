@@ -1,2 +1,238 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries of scalar operators: check digits, masks, access lists, vectors, aggregates over the driver's tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftaudit.functions import checks, ids, text
+from driftaudit.operators import discovery
+from driftaudit.plans.tables import Tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[Tables], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+@query("""with d as (select l_orderkey, l_linenumber, lpad((l_orderkey * 9973 + l_partkey)::varchar, 12, '4') || lpad((l_suppkey * 7)::varchar, 4, '0') card from lineitem)
+select l_orderkey, l_linenumber, card, list_sum(list_transform(range(1, 17), lambda i: case when i % 2 = 0 then case when substr(reverse(card), i, 1)::int > 4 then substr(reverse(card), i, 1)::int * 2 - 9 else substr(reverse(card), i, 1)::int * 2 end else substr(reverse(card), i, 1)::int end)) % 10 = 0 ok from d""")
+def q_luhn(t: Tables) -> DataFrame:
+    card = F.concat(F.lpad((F.col("l_orderkey") * 9973 + F.col("l_partkey")).cast("string"), 12, "4"), F.lpad((F.col("l_suppkey") * 7).cast("string"), 4, "0"))
+    d = t.lineitem.select("l_orderkey", "l_linenumber", card.alias("card"))
+    return d.withColumn("ok", checks.luhn_ok(F.col("card")))
+
+
+@query("""with d as (select o_orderkey, lpad((o_orderkey * 31337 + o_custkey)::varchar, 9, '0') s from orders)
+select o_orderkey, s ssn, substr(s,1,3) not in ('000','666') and substr(s,1,1) <> '9' and substr(s,4,2) <> '00' and substr(s,6,4) <> '0000' and length(s) = 9 ok from d""")
+def q_ssn(t: Tables) -> DataFrame:
+    s = F.lpad((F.col("o_orderkey") * 31337 + F.col("o_custkey")).cast("string"), 9, "0")
+    return t.orders.select("o_orderkey", s.alias("ssn")).withColumn("ok", checks.ssn_ok(F.col("ssn")))
+
+
+@query("""with d as (select o_orderkey, lpad((o_orderkey * 7919 + o_custkey * 13)::varchar, 11, '1') s from orders),
+e as (select *, list_transform(range(1, 12), lambda i: substr(s, i, 1)::int) g from d)
+select o_orderkey, s tckn, g[1] <> 0 and ((g[1]+g[3]+g[5]+g[7]+g[9])*7 - (g[2]+g[4]+g[6]+g[8])) % 10 + case when ((g[1]+g[3]+g[5]+g[7]+g[9])*7 - (g[2]+g[4]+g[6]+g[8])) % 10 < 0 then 10 else 0 end = g[10] and list_sum(g[1:10]) % 10 = g[11] ok from e""")
+def q_tckn(t: Tables) -> DataFrame:
+    s = F.lpad((F.col("o_orderkey") * 7919 + F.col("o_custkey") * 13).cast("string"), 11, "1")
+    return t.orders.select("o_orderkey", s.alias("tckn")).withColumn("ok", checks.tckn_ok(F.col("tckn")))
+
+
+@query("""with d as (select o_orderkey, 'DE' || lpad((o_orderkey % 97)::varchar, 2, '0') || lpad((o_orderkey * 104729 + o_custkey)::varchar, 18, '0') s from orders)
+select o_orderkey, s iban, list_reduce(list_prepend(0, list_transform(range(1, length(s) + 3), lambda i: substr(substr(s,5) || '1314' || substr(s,3,2), i, 1)::int)), lambda a, c: (a * 10 + c) % 97) = 1 ok from d""")
+def q_iban(t: Tables) -> DataFrame:
+    s = F.concat(F.lit("DE"), F.lpad((F.col("o_orderkey") % 97).cast("string"), 2, "0"), F.lpad((F.col("o_orderkey") * 104729 + F.col("o_custkey")).cast("string"), 18, "0"))
+    return t.orders.select("o_orderkey", s.alias("iban")).withColumn("ok", checks.iban_ok(F.col("iban")))
+
+
+_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+
+
+@query(f"select note_id, unnest(regexp_extract_all(coalesce(contact_email,'') || ' ' || coalesce(notes,'') || ' ' || coalesce(text,''), '{_EMAIL}')) as \"value\" from contact_rows")
+def q_pii_values(t: Tables) -> DataFrame:
+    whole = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in ("contact_email", "notes", "text")))
+    return t.contact_rows.select("note_id", F.explode(F.regexp_extract_all(whole, F.lit(_EMAIL), F.lit(0))).alias("value"))
+
+
+@query(f"""with v as (select note_id, unnest(regexp_extract_all(coalesce(contact_email,'') || ' ' || coalesce(notes,'') || ' ' || coalesce(text,''), '{_EMAIL}')) x from contact_rows)
+select note_id, x as "value", substr(x,1,2) || '***@' || substr(split_part(x,'@',2),1,2) || '***.' || regexp_extract(x, '[^.]*$') masked, case when length(x) <= 4 then repeat('*', length(x)) else repeat('*', length(x) - 4) || right(x, 4) end generic from v""")
+def q_pii_mask(t: Tables) -> DataFrame:
+    return q_pii_values(t).select("note_id", "value", checks.mask_email(F.col("value")).alias("masked"), checks.mask_generic(F.col("value")).alias("generic"))
+
+
+@query(f"""with v as (select note_id, unnest(regexp_extract_all(coalesce(contact_email,'') || ' ' || coalesce(notes,'') || ' ' || coalesce(text,''), '{_EMAIL}')) x from contact_rows)
+select split_part(lower(x),'@',2) host, count(*) n, count(distinct lower(x)) n_distinct from v group by 1""")
+def q_pii_counts(t: Tables) -> DataFrame:
+    v = q_pii_values(t).select(F.lower("value").alias("v"))
+    return v.groupBy(F.substring_index("v", "@", -1).alias("host")).agg(F.count("*").alias("n"), F.count_distinct("v").alias("n_distinct"))
+
+
+_KEY = b"audit-secret"
+
+
+def _hmac_sql(x: str) -> str:
+    key = _KEY.ljust(64, b"\0")
+    pads = ["".join(f"\\x{b ^ p:02X}" for b in key) for p in (0x36, 0x5C)]
+    return f"sha256('{pads[1]}'::blob || unhex(sha256('{pads[0]}'::blob || encode({x}))))"
+
+
+@query(f"select c_custkey, {_hmac_sql('c_name')} digest from customer")
+def q_pii_hmac(t: Tables) -> DataFrame:
+    return t.customer.select("c_custkey", ids.hmac_sha256(_KEY, F.col("c_name")).alias("digest"))
+
+
+@query("""with a as (select note_id, [upper(coalesce(kind,'PUBLIC')), 'GROUP:' || coalesce(region,'none'), 'PUBLIC', 'GROUP:' || coalesce(region,'none')] acl from contact_rows)
+select note_id, array_to_string(list_sort(list_distinct(acl)), '|') acl, list_bool_and(list_transform(acl, lambda e: regexp_matches(e, '^(PUBLIC|(USER|GROUP|ROLE):.+|ATTRIBUTE:[^=]+=.+)$'))) valid from a""")
+def q_acl_normalize(t: Tables) -> DataFrame:
+    group = F.concat(F.lit("GROUP:"), F.coalesce("region", F.lit("none")))
+    acl = F.array(F.upper(F.coalesce("kind", F.lit("PUBLIC"))), group, F.lit("PUBLIC"), group)
+    d = t.contact_rows.select("note_id", acl.alias("a"))
+    return d.select("note_id", F.array_join(checks.acl_normalized(F.col("a")), "|").alias("acl"), F.forall("a", checks.acl_valid).alias("valid"))
+
+
+@query(f"""select c_custkey, array_to_string(list_sort(['PUBLIC', 'USER:masked:' || substr({_hmac_sql("'USER:' || c_name")},1,16), 'GROUP:masked:' || substr({_hmac_sql("'GROUP:' || c_mktsegment")},1,16)]), '|') masked from customer""")
+def q_acl_mask(t: Tables) -> DataFrame:
+    acl = F.array(F.lit("PUBLIC"), F.concat(F.lit("USER:"), "c_name"), F.concat(F.lit("GROUP:"), "c_mktsegment"))
+    return t.customer.select("c_custkey", F.array_join(checks.acl_masked(acl, _KEY), "|").alias("masked"))
+
+
+#: Rules of expected access by uri pattern, the first that matches holds; none means unknown, which is not empty.
+ACL_RULES = [("%/1%", ["GROUP:one"]), ("%5.txt", ["PUBLIC"]), ("%/2%.txt", ["GROUP:two", "ROLE:auditor"])]
+
+
+@query("""select doc_id, array_to_string(case when uri like '%/1%' then ['GROUP:one'] when uri like '%5.txt' then ['PUBLIC'] when uri like '%/2%.txt' then ['GROUP:two','ROLE:auditor'] end, '|') acl from (select doc_id, 'docs/' || doc_id || '.txt' uri from documents)""")
+def q_expected_acl_rules(t: Tables) -> DataFrame:
+    d = t.documents.select("doc_id", F.concat(F.lit("docs/"), "doc_id", F.lit(".txt")).alias("uri"))
+    return d.select("doc_id", F.array_join(F.coalesce(*(F.when(F.col("uri").like(p), F.array(*map(F.lit, a))) for p, a in ACL_RULES)), "|").alias("acl"))
+
+
+@query("""select doc_id, case when uri like '%/3%' then 'tenant-a' when uri like '%7.txt' then 'tenant-b' end tenant from (select doc_id, 'docs/' || doc_id || '.txt' uri from documents)""")
+def q_expected_tenant_rules(t: Tables) -> DataFrame:
+    uri = F.concat(F.lit("docs/"), "doc_id", F.lit(".txt"))
+    return t.documents.select("doc_id", F.when(uri.like("%/3%"), "tenant-a").when(uri.like("%7.txt"), "tenant-b").alias("tenant"))
+
+
+@query("""with d as (select doc_id, 'docs/' || doc_id || case doc_id % 5 when 0 then '.md' when 1 then '.html' when 2 then '.csv' when 3 then '.json' else '' end path, text from documents where text is not null)
+select doc_id, case when path like '%.md' then 'text/markdown' when path like '%.html' then 'text/html' when path like '%.csv' then 'text/csv' when path like '%.json' then 'application/json' when lower(text) like '%<html%' then 'text/html' else 'text/plain' end media_type from d""")
+def q_media_type(t: Tables) -> DataFrame:
+    k = F.col("doc_id") % 5
+    path = F.concat(F.lit("docs/"), "doc_id", F.when(k == 0, ".md").when(k == 1, ".html").when(k == 2, ".csv").when(k == 3, ".json").otherwise(""))
+    d = t.documents.where("text is not null").select("doc_id", path.alias("path"), F.encode("text", "utf-8").alias("content"))
+    return d.select("doc_id", discovery.media_type(F.col("path"), F.col("content")).alias("media_type"))
+
+
+@query(r"""select doc_id, path, case when regexp_matches(path, '^(?:.*/)?keep-[^/]*\.txt(?:/.*)?$') then false when regexp_matches(path, '^tmp/.*$') then true when regexp_matches(path, '^(?:.*/)?[^/]*7\.txt(?:/.*)?$') then true else false end ignored
+from (select doc_id, case doc_id % 3 when 0 then 'tmp/' when 1 then 'docs/keep-' else 'docs/' end || doc_id || '.txt' path from documents)""")
+def q_ignore_filter(t: Tables) -> DataFrame:
+    k = F.col("doc_id") % 3
+    path = F.concat(F.when(k == 0, "tmp/").when(k == 1, "docs/keep-").otherwise("docs/"), "doc_id", F.lit(".txt"))
+    return t.documents.select("doc_id", path.alias("path")).withColumn("ignored", discovery.is_ignored(F.col("path"), ["*7.txt", "/tmp/", "!keep-*.txt"]))
+
+
+@query("""select vec_id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) + 0.0 as norm, round(list_sum(v), 6) + 0.0 as total from (select vec_id, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) v from embeddings)""")
+def q_l2_normalize(t: Tables) -> DataFrame:
+    v = t.embeddings.select("vec_id", text.l2_normalized(F.col("embedding")).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return v.select("vec_id", (F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), 6) + 0.0).alias("norm"), (F.round(total, 6) + 0.0).alias("total"))
+
+
+@query("select vec_id, len(list_filter(embedding, lambda x: isnan(x) or isinf(x))) = 0 and len(embedding) = (select mode(len(embedding)) from embeddings) ok from embeddings")
+def q_vector_finite(t: Tables) -> DataFrame:
+    size = t.embeddings.agg(F.mode(F.size("embedding")).alias("dim"))  # one row
+    return t.embeddings.crossJoin(F.broadcast(size)).select("vec_id", (text.finite(F.col("embedding")) & (F.size("embedding") == F.col("dim"))).alias("ok"))
+
+
+@query("""select c_custkey, round((('0x' || substr(h, 1, 8))::bigint) / 4294967295.0 * 2.0 - 1.0, 9) + 0.0 as x0, round((('0x' || substr(h, 57, 8))::bigint) / 4294967295.0 * 2.0 - 1.0, 9) + 0.0 as x7 from (select c_custkey, sha256(encode('s1' || chr(31) || c_name) || '\\x00\\x00\\x00\\x00'::blob) h from customer)""")
+def q_embedding_project(t: Tables) -> DataFrame:
+    v = t.customer.select("c_custkey", text.hash_embedding(F.col("c_name"), "s1", 8).alias("v"))
+    return v.select("c_custkey", (F.round(F.col("v")[0], 9) + 0.0).alias("x0"), (F.round(F.col("v")[7], 9) + 0.0).alias("x7"))
+
+
+@query()
+def q_vector_hash_f32(t: Tables) -> DataFrame:
+    return t.embeddings.select("vec_id", text.vector_hash_f32(F.col("embedding")).alias("hash"))
+
+
+@query()
+def q_vector_hash_json(t: Tables) -> DataFrame:
+    return t.embeddings.select("vec_id", text.vector_hash_json(F.col("embedding").cast("array<double>")).alias("hash"))
+
+
+@query("""select 'sources' facet, count(*) n, count(distinct version_id) n_keys from sources union all select 'parse_runs', count(*), count(distinct id) from parse_runs union all select 'chunks', count(*), count(distinct id) from chunks
+union all select 'embeddings', count(*), count(distinct id) from embedding_records union all select 'index_bindings', count(*), count(distinct id) from index_bindings union all select 'warnings', coalesce(sum(len(warnings)), 0)::bigint, 0 from parse_runs""")
+def q_manifest_stats(t: Tables) -> DataFrame:
+    parts = [(t.sources, "sources", "version_id"), (t.parse_runs, "parse_runs", "id"), (t.chunks, "chunks", "id"), (t.embedding_records, "embeddings", "id"), (t.index_bindings, "index_bindings", "id")]
+    out = t.parse_runs.agg(F.coalesce(F.sum(F.when(F.col("warnings").isNotNull(), F.size("warnings"))), F.lit(0)).cast("bigint").alias("n")).select(F.lit("warnings").alias("facet"), "n", F.lit(0).cast("bigint").alias("n_keys"))
+    for df, name, key in parts:
+        out = out.unionByName(df.agg(F.count("*").alias("n"), F.count_distinct(key).alias("n_keys")).select(F.lit(name).alias("facet"), "n", "n_keys"))
+    return out
+
+
+@query("""select 'media_type' facet, media_type as "key", count(*) n from sources group by all union all select 'status', status, count(*) from sources group by all union all select 'parser', parser_name, count(*) from parse_runs group by all
+union all select 'tokenizer', tokenizer."name", count(*) from chunks group by all union all select 'model', model."name", count(*) from embedding_records group by all union all select 'write_status', write_status, count(*) from index_bindings group by all""")
+def q_manifest_facets(t: Tables) -> DataFrame:
+    from functools import reduce
+
+    facets = [(t.sources, "media_type", F.col("media_type")), (t.sources, "status", F.col("status")), (t.parse_runs, "parser", F.col("parser_name")), (t.chunks, "tokenizer", F.col("tokenizer.name")), (t.embedding_records, "model", F.col("model.name")), (t.index_bindings, "write_status", F.col("write_status"))]
+    return reduce(DataFrame.unionByName, (df.groupBy(c.alias("key")).agg(F.count("*").alias("n")).select(F.lit(name).alias("facet"), "key", "n") for df, name, c in facets))
+
+
+@query("""select 'vector_name' facet, v as "key", count(*) n from (select unnest(vector_names) v from observed_points) group by all union all select 'tenant', tenant, count(*) from observed_points group by all
+union all select 'warning', w, count(*) from (select unnest(normalization_warnings) w from observed_points) group by all""")
+def q_snapshot_facets(t: Tables) -> DataFrame:
+    p = t.observed_points
+
+    def count(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("key").agg(F.count("*").alias("n")).select(F.lit(name).alias("facet"), "key", "n")
+
+    return count(p.select(F.explode("vector_names").alias("key")), "vector_name").unionByName(count(p.select(F.col("tenant").alias("key")), "tenant")).unionByName(count(p.select(F.explode("normalization_warnings").alias("key")), "warning"))
+
+
+@query("select raw_locator, ord from observed_points order by ord limit 10")
+def q_snapshot_first_locators(t: Tables) -> DataFrame:
+    return t.observed_points.select("raw_locator", "ord").orderBy("ord").limit(10)
+
+
+@query("""with g as (select parse_run_id, raw_hash, list_sort(list(distinct id)) ids from chunks where raw_hash is not null and parse_run_id is not null group by all having count(distinct id) > 1)
+select parse_run_id, count(*) n_hashes, array_to_string(list_sort(list_distinct(flatten(list(ids)))), '|') chunk_ids from g group by parse_run_id""")
+def q_duplicate_chunks(t: Tables) -> DataFrame:
+    g = t.chunks.where("raw_hash is not null and parse_run_id is not null").groupBy("parse_run_id", "raw_hash").agg(F.collect_set("id").alias("ids")).where("size(ids) > 1")
+    return g.groupBy("parse_run_id").agg(F.count("*").alias("n_hashes"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), "|").alias("chunk_ids"))
+
+
+@query("""select namespace, sha256('[' || string_agg('{"content_hash":"' || content_hash || '","uri":' || to_json(uri)::varchar || '}', ',' order by uri, content_hash) || ']') snapshot_hash, count(*) n from (select distinct namespace, uri, content_hash from sources where status = 'active' and uri is not null and content_hash is not null) group by namespace""")
+def q_source_snapshot_hash(t: Tables) -> DataFrame:
+    s = t.sources.where("status = 'active' and uri is not null and content_hash is not null").select("namespace", "uri", "content_hash").distinct()
+    item = F.concat(F.lit('{"content_hash":"'), "content_hash", F.lit('","uri":'), ids.json_string(F.col("uri")), F.lit("}"))
+    g = s.groupBy("namespace").agg(F.sort_array(F.collect_list(F.struct("uri", "content_hash", item.alias("item")))).alias("a"), F.count("*").alias("n"))
+    return g.select("namespace", F.sha2(F.concat(F.lit("["), F.array_join(F.transform("a", lambda x: x["item"]), ","), F.lit("]")), 256).alias("snapshot_hash"), "n")
+
+
+@query("""select ord, sha256('{' || array_to_string(list_filter([case when chunk_id is not null then '"chunk_id":"' || chunk_id || '"' end, case when embedding_id is not null then '"embedding_id":"' || embedding_id || '"' end], lambda x: x is not null), ',') || '}') rehash from observed_points""")
+def q_projection_rehash(t: Tables) -> DataFrame:
+    """Points restricted to two payload fields, with their payload hash computed again."""
+    members = {c: ids.plain(F.col(c)) for c in ("chunk_id", "embedding_id")}
+    return t.observed_points.select("ord", F.sha2(ids.json_object(members), 256).alias("rehash"))
+
+
+@query("""select id, sha256('["' || contextualized_hash || '","m1"]') cache_key from chunks c where contextualized_hash is not null and not exists (select 1 from embedding_records e where e.contextualized_hash = c.contextualized_hash)""")
+def q_cache_misses(t: Tables) -> DataFrame:
+    """Chunks whose contextualized text no embedding has yet: what an incremental build has to compute."""
+    c = t.chunks.where("contextualized_hash is not null").join(t.embedding_records.select("contextualized_hash"), "contextualized_hash", "left_anti")
+    return c.select("id", F.sha2(F.concat(F.lit('["'), "contextualized_hash", F.lit('","m1"]')), 256).alias("cache_key"))
+
+
+@query("""select time_bucket(interval '1 day', ts) as day, event_type, count(*) n, round(sum(value), 4) + 0.0 as total from events group by all""")
+def q_events_daily(t: Tables) -> DataFrame:
+    """The batch form of the event window that streaming.events runs incrementally."""
+    return t.events.groupBy(F.window(F.col("ts"), "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), (F.round(F.sum("value"), 4) + 0.0).alias("total")).select(F.col("w.start").alias("day"), "event_type", "n", "total")

@@ -1,2 +1,150 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries of parsing, chunking and licence operators over the table `documents`."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftaudit.functions import text
+from driftaudit.operators import chunking, licences, parsing
+from driftaudit.plans.tables import Tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[Tables], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+_WS = r" \t\n\x0b\x0c\r"
+_PARAS = f"""p as (select doc_id, list_filter(list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10) || chr(10)), lambda x: regexp_replace(x, '^[{_WS}]+|[{_WS}]+$', '', 'g')), lambda x: x <> '') ps from documents where text is not null),
+e as (select doc_id, unnest(range(len(ps)))::int ord, unnest(ps) text from p)"""
+_TOKEN = r"[^\s\x{85}\x{a0}\x{b}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def _elements(t: Tables) -> DataFrame:
+    return t.documents.where("text is not null").select("doc_id", F.posexplode(text.paragraphs(F.col("text"))).alias("ord", "text"))
+
+
+@query(f"with {_PARAS} select doc_id, ord, text from e")
+def q_text_paragraphs(t: Tables) -> DataFrame:
+    return _elements(t)
+
+
+@query(f"with {_PARAS} select doc_id, ord, coalesce(sum(length(text) + 2) over (partition by doc_id order by ord rows between unbounded preceding and 1 preceding), 0)::bigint as \"start\", length(text) as len from e")
+def q_element_offsets(t: Tables) -> DataFrame:
+    return chunking.offsets(_elements(t), "doc_id").select("doc_id", "ord", "start", (F.col("end") - F.col("start")).alias("len"))
+
+
+@query(f"""with {_PARAS}, h as (select *, [case when text like '#%' then regexp_extract(text, '^#+') else left(text, 1) end] heading_path from e),
+f as (select *, case when lag(heading_path) over w is null or lag(heading_path) over w <> heading_path then 1 else 0 end as brk from h window w as (partition by doc_id order by ord))
+select doc_id, ord, (sum(brk) over (partition by doc_id order by ord) - 1)::int as section from f""")
+def q_sections(t: Tables) -> DataFrame:
+    path = F.array(F.when(F.col("text").startswith("#"), F.regexp_extract("text", "^#+", 0)).otherwise(F.left("text", F.lit(1))))
+    return chunking.sections(_elements(t).withColumn("heading_path", path), "doc_id").select("doc_id", "ord", "section")
+
+
+@query(f"select doc_id, coalesce(len(regexp_extract_all(text, '{_TOKEN}')), 0) n_tokens from documents")
+def q_token_count(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", text.token_count(F.col("text")).alias("n_tokens"))
+
+
+@query(f"""with {_PARAS}, n as (select *, len(regexp_extract_all(text, '{_TOKEN}')) n from e), o as (select *, coalesce(sum(n) over (partition by doc_id order by ord rows between unbounded preceding and 1 preceding), 0)::bigint first from n),
+l as (select *, first + n as last from o where n > 0), tot as (select doc_id, max(last) total from l group by 1), w as (select doc_id, unnest(range(0, 1 + (greatest(total - 16, 1) - 1) // 48)) k from tot)
+select w.doc_id, w.k as ordinal, string_agg(text, chr(10) || chr(10) order by ord) text, sum(n)::bigint token_count from w join l on l.doc_id = w.doc_id and l.first < w.k * 48 + 64 and l.last > w.k * 48 group by all""")
+def q_line_windows(t: Tables) -> DataFrame:
+    return chunking.line_windows(_elements(t), "doc_id", 64, 16)
+
+
+def _with_path(t: Tables) -> DataFrame:
+    return _elements(t).withColumn("heading_path", F.array(F.when(F.col("text").startswith("#"), F.col("text")).otherwise("")))
+
+
+@query()
+def q_chunks_hierarchical(t: Tables) -> DataFrame:
+    return chunking.pack(_with_path(t), "doc_id", 128)
+
+
+@query()
+def q_chunks_hybrid(t: Tables) -> DataFrame:
+    return chunking.pack(_with_path(t), "doc_id", 128, 24)
+
+
+@query()
+def q_oversized_split(t: Tables) -> DataFrame:
+    return chunking.split_tokens(_elements(t), "doc_id", 32)
+
+
+@query(f"with {_PARAS} select doc_id, ord, 'doc ' || doc_id || chr(10) || chr(10) || text || ' [' || ord || ']' as contextualized from e")
+def q_contextualize(t: Tables) -> DataFrame:
+    c = chunking.template_column("doc {doc}\n\n{text} [{ord}]", {"doc": F.col("doc_id").cast("string"), "text": F.col("text"), "ord": F.col("ord").cast("string")})
+    return _elements(t).select("doc_id", "ord", c.alias("contextualized"))
+
+
+def _parsed(t: Tables, media_type: str, body) -> DataFrame:
+    d = t.documents.where("text is not null").select("doc_id", body.alias("body"), F.lit(media_type).alias("m"))
+    return parsing.parse(d, "doc_id", "body", "m").select("doc_id", "status", "ord", "kind", "text", F.array_join("heading_path", " / ").alias("path"))
+
+
+@query()
+def q_markdown_elements(t: Tables) -> DataFrame:
+    return _parsed(t, "text/markdown", F.col("text"))
+
+
+@query()
+def q_html_elements(t: Tables) -> DataFrame:
+    return _parsed(t, "text/html", F.concat(F.lit("<html><body><h1>"), "doc_id", F.lit("</h1><p>"), F.replace(F.replace("text", F.lit("<"), F.lit("&lt;")), F.lit("\n\n"), F.lit("</p><p>")), F.lit("</p></body></html>")))
+
+
+@query()
+def q_json_elements(t: Tables) -> DataFrame:
+    return _parsed(t, "application/json", F.to_json(F.array(F.struct("doc_id", "lang", "text"))))
+
+
+@query()
+def q_csv_elements(t: Tables) -> DataFrame:
+    return _parsed(t, "text/csv", F.concat(F.lit("id,text\n"), "doc_id", F.lit(',"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"\n')))
+
+
+_HEADER = "(?i)SPDX-License-Identifier:\\s*([^\\n]+)"
+
+
+@query("""with d as (select doc_id, case doc_id % 4 when 0 then '// SPDX-License-Identifier: MIT' || chr(10) when 1 then 'spdx-license-identifier:  Apache-2.0 OR MIT ' || chr(10) when 2 then repeat(chr(10), 25) || 'SPDX-License-Identifier: MIT' || chr(10) else '' end || text body from documents where text is not null)
+select doc_id, nullif(trim(regexp_extract(array_to_string(string_split(replace(body, chr(13), chr(10)), chr(10))[1:20], chr(10)), '(?i)SPDX-License-Identifier:[ ]*([^\\n]+)', 1)), '') expression from d""")
+def q_spdx_header(t: Tables) -> DataFrame:
+    return _headed(t).select("doc_id", licences.spdx_header(F.col("body")).alias("expression"))
+
+
+def _headed(t: Tables) -> DataFrame:
+    k = F.col("doc_id") % 4
+    head = F.when(k == 0, "// SPDX-License-Identifier: MIT\n").when(k == 1, "spdx-license-identifier:  Apache-2.0 OR MIT \n").when(k == 2, "\n" * 25 + "SPDX-License-Identifier: MIT\n").otherwise("")
+    return t.documents.where("text is not null").select("doc_id", F.concat(head, "text").alias("body"))
+
+
+_CANDIDATES = """c as (select doc_id, 1 precedence, 'user' as method, 'MIT' expression from documents where doc_id % 6 = 0 union all select doc_id, 3, 'frontmatter', 'Apache-2.0' from documents where doc_id % 4 = 0 union all select doc_id, 4, 'path_rule', 'not a licence' from documents where doc_id % 5 = 0 union all select doc_id, 5, 'default', 'NOASSERTION' from documents),
+v as (select *, expression in ('MIT','Apache-2.0','NOASSERTION') ok from c)"""
+
+
+def _candidates(t: Tables) -> DataFrame:
+    d = F.col("doc_id")
+    rows = F.array_compact(F.array(*(F.when(cond, F.struct(F.lit(p).alias("precedence"), F.lit(m).alias("method"), F.lit(x).alias("expression"))) for cond, p, m, x in ((d % 6 == 0, 1, "user", "MIT"), (d % 4 == 0, 3, "frontmatter", "Apache-2.0"), (d % 5 == 0, 4, "path_rule", "not a licence"), (d >= 0, 5, "default", "NOASSERTION")))))
+    return t.documents.select("doc_id", F.inline(rows))
+
+
+@query(f"with {_CANDIDATES} select doc_id, min_by(method, precedence) as method, min_by(case when ok then expression else 'NOASSERTION' end, precedence) expression from v group by 1")
+def q_license_effective(t: Tables) -> DataFrame:
+    return licences.effective(_candidates(t), "doc_id")
+
+
+@query(f"with {_CANDIDATES} select doc_id, count(distinct case when ok then expression else 'NOASSERTION' end) n_distinct from v where method <> 'default' group by 1 having count(distinct case when ok then expression else 'NOASSERTION' end) > 1")
+def q_license_conflicts(t: Tables) -> DataFrame:
+    return licences.conflicts(_candidates(t), "doc_id")
