@@ -98,12 +98,12 @@ def all_findings(matched: DataFrame, duplicates: DataFrame, sources: DataFrame,
 def ratios(matched: DataFrame, findings: DataFrame) -> DataFrame:
     """One row: counts and the five ratios; a ratio without a denominator is null, not zero."""
     base = matched.agg(
-        F.count_if("e_ord is not null").alias("expected"), F.count_if("o_ord is not null").alias("observed"), F.count("match_level").alias("matched"), F.count_if("match_level is null and e_ord is not null").alias("missing"),
-        F.count_if("match_level is null and o_ord is not null").alias("orphans"), F.count_if("match_level is not null and size(e_acl) > 0").alias("acl_required"),
+        F.count_if(F.expr("e_ord is not null")).alias("expected"), F.count_if(F.expr("o_ord is not null")).alias("observed"), F.count("match_level").alias("matched"), F.count_if(F.expr("match_level is null and e_ord is not null")).alias("missing"),
+        F.count_if(F.expr("match_level is null and o_ord is not null")).alias("orphans"), F.count_if(F.expr("match_level is not null and size(e_acl) > 0")).alias("acl_required"),
     )
     required = matched.where("match_level is not null and size(e_acl) > 0").select(F.col("e_binding_id").alias("subject_id"))
     acl = findings.where("match_level is not null and code in ('ACL_MISSING', 'ACL_BROADER_THAN_SOURCE', 'ACL_MISMATCH')").select("subject_id").join(required, "subject_id", "left_semi")
-    extra = findings.agg(F.count_if("code = 'UNVERIFIABLE_POINT'").alias("unverifiable"), F.count_distinct(F.when(F.col("code").isin("STALE_SOURCE", "STALE_CHUNKING") & F.col("match_level").isNotNull(), F.col("subject_id"))).alias("stale"))
+    extra = findings.agg(F.count_if(F.expr("code = 'UNVERIFIABLE_POINT'")).alias("unverifiable"), F.count_distinct(F.when(F.col("code").isin("STALE_SOURCE", "STALE_CHUNKING") & F.col("match_level").isNotNull(), F.col("subject_id"))).alias("stale"))
     bad = acl.agg(F.count_distinct("subject_id").alias("acl_bad"))
     one = base.crossJoin(extra).crossJoin(bad)  # three tables of one row each
     return one.select(
