@@ -67,29 +67,34 @@ def _side(df: DataFrame, p: str) -> DataFrame:
     return df.select(*(F.col(c).alias(c[len(p) :]) for c in df.columns if c.startswith(p)))
 
 
-def cascade(expected: DataFrame, observed: DataFrame, levels: int = len(LEVELS)) -> DataFrame:
-    """All rounds: e_*, o_* and `match_level` (1-based, null for what is left over on either side).
+def rounds(expected: DataFrame, observed: DataFrame, levels: int = len(LEVELS)) -> list[tuple[DataFrame, DataFrame, DataFrame]]:
+    """Per level: the expected and observed points that enter, and the full outer result.
 
-    Each round is computed once and kept (checkpoint), for its leftovers feed the next; after the first round they are few.
+    Each result is computed once and kept (checkpoint), for its leftovers feed the next; after the first round they are few.
     """
     out, e, o = [], expected, observed
     for level in range(levels):
         both = cut(match_round(e, o, level))
-        out.append(both.where("e_ord is not null and o_ord is not null").withColumn("match_level", F.lit(level + 1)))
-        left_e, left_o = both.where("o_ord is null"), both.where("e_ord is null")
-        e, o = _side(left_e, "e_"), _side(left_o, "o_")
-    out += [x.withColumn("match_level", F.lit(None).cast("int")) for x in (left_e, left_o)]
+        out.append((e, o, both))
+        e, o = _side(both.where("o_ord is null"), "e_"), _side(both.where("e_ord is null"), "o_")
+    return out
+
+
+def cascade(expected: DataFrame, observed: DataFrame, done: list | None = None) -> DataFrame:
+    """All rounds: e_*, o_* and `match_level` (1-based, null for what is left over on either side)."""
+    done = done or rounds(expected, observed)
+    out = [both.where("e_ord is not null and o_ord is not null").withColumn("match_level", F.lit(i)) for i, (_, _, both) in enumerate(done, 1)]
+    out.append(done[-1][2].where("e_ord is null or o_ord is null").withColumn("match_level", F.lit(None).cast("int")))
     return reduce(DataFrame.unionByName, out)
 
 
-def duplicate_groups(expected: DataFrame, observed: DataFrame) -> DataFrame:
+def duplicate_groups(expected: DataFrame, observed: DataFrame, done: list | None = None) -> DataFrame:
     """(level, key, n, point_keys): keys that several observed points share in a round and that the expected side has too."""
-    out, e, o = [], expected, observed
-    for level, key in enumerate(LEVELS):
+    out = []
+    for level, (e, o, _) in enumerate(done or rounds(expected, observed)):
+        key = LEVELS[level]
         groups = o.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("point_key")).alias("point_keys")).where("n > 1")
         out.append(groups.join(e.select(F.col(key).alias("key")).distinct(), "key", "left_semi").select(F.lit(level + 1).alias("level"), "key", "n", "point_keys"))
-        both = cut(match_round(e, o, level))
-        e, o = _side(both.where("o_ord is null"), "e_"), _side(both.where("e_ord is null"), "o_")
     return reduce(DataFrame.unionByName, out)
 
 

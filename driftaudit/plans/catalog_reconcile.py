@@ -179,12 +179,13 @@ def q_findings_page(x: Fixture) -> DataFrame:
 
 
 @query(_with("""select f.code, f.subject_id, e.source_id, e.chunk_id from findings f join expected e on e.binding_id = f.subject_id
-where e.source_id = (select max(source_id) from expected) or e.chunk_id = (select max(chunk_id) from expected)"""))
+join (select source_id s, chunk_id c from expected where binding_id = (select max(subject_id) from findings where code = 'MISSING_IN_INDEX')) t on e.source_id = t.s or e.chunk_id = t.c"""))
 def q_lineage_drilldown(x: Fixture) -> DataFrame:
-    """Findings of the bindings with the largest source id or the largest chunk id."""
+    """All findings on the source or the chunk of the missing binding with the largest id."""
     e = x.expected.select(F.col("binding_id").alias("subject_id"), "source_id", "chunk_id")
-    top = e.agg(F.max("source_id").alias("s"), F.max("chunk_id").alias("c"))  # one row
-    hit = e.crossJoin(F.broadcast(top)).where("source_id = s or chunk_id = c").drop("s", "c")
+    top = x.findings.where("code = 'MISSING_IN_INDEX'").agg(F.max("subject_id").alias("subject_id"))  # one row
+    one = e.join(F.broadcast(top), "subject_id").select(F.col("source_id").alias("s"), F.col("chunk_id").alias("c"))
+    hit = e.crossJoin(F.broadcast(one)).where("source_id = s or chunk_id = c").drop("s", "c")
     return x.findings.join(hit, "subject_id").select("code", "subject_id", "source_id", "chunk_id")
 
 

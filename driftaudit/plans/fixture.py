@@ -80,13 +80,17 @@ class Fixture:
         )
         return o.unionByName(twice).unionByName(orphans)
 
+    @cached_property
+    def rounds(self) -> list:
+        return matching.rounds(self.expected, self.observed)
+
     @cached_property
     def matched(self) -> DataFrame:
-        return matching.cascade(self.expected, self.observed)
+        return matching.cascade(self.expected, self.observed, self.rounds)
 
     @cached_property
     def duplicates(self) -> DataFrame:
-        return matching.duplicate_groups(self.expected, self.observed)
+        return matching.duplicate_groups(self.expected, self.observed, self.rounds)
 
     @cached_property
     def findings(self) -> DataFrame:
