@@ -76,6 +76,37 @@ def orphan_code(o: str = "o_") -> Column:
     )
 
 
+def pii_findings(pairs: DataFrame, assertions: DataFrame, deny: list[str], allow: list[str] = (), max_confidence: float = 1.0) -> DataFrame:
+    """PII_POLICY_VIOLATION per scanned entity of a pair's chunk that the policy forbids.
+
+    `pairs` has e_binding_id, o_point_key, match_level and e_pii_assertion_ids; `assertions` has id and findings (entity_type,
+    confidence, start). An entity is forbidden if its type is denied, or an allow list is given without it, and its confidence
+    is above `max_confidence`: with the default of 1 nothing is.
+    """
+    refs = pairs.select(F.col("e_binding_id").alias("subject_id"), F.col("o_point_key").alias("point_key"), "match_level", F.explode("e_pii_assertion_ids").alias("id"))
+    seen = refs.join(assertions.select("id", "findings"), "id").select("subject_id", "point_key", "match_level", F.inline("findings"))
+    forbidden = F.col("entity_type").isin(*deny) if deny else F.lit(False)
+    if allow:
+        forbidden = forbidden | ~F.col("entity_type").isin(*allow)
+    hit = seen.where(forbidden & (F.col("confidence") > max_confidence))
+    severity = F.when(F.col("confidence") >= 0.9, "critical").otherwise("high")
+    return hit.select("subject_id", "point_key", "match_level", F.lit("PII_POLICY_VIOLATION").alias("code"), F.concat(F.lit("pii:"), "entity_type", F.lit(":"), F.col("start")).alias("field"), severity.alias("severity"))
+
+
+def licence_findings(pairs: DataFrame, assertions: DataFrame, allow: list[str] = (), deny: list[str] = (), unknown: str = "warn") -> DataFrame:
+    """LICENSE_UNKNOWN or LICENSE_POLICY_VIOLATION per pair, by the licence of least precedence (the first among equals).
+
+    `pairs` has e_license_assertion_ids; `assertions` has id, precedence and spdx_expression.
+    """
+    refs = pairs.select(F.col("e_binding_id").alias("subject_id"), F.col("o_point_key").alias("point_key"), "match_level", F.posexplode("e_license_assertion_ids").alias("pos", "id"))
+    best = refs.join(assertions.select("id", "precedence", "spdx_expression"), "id").groupBy("subject_id", "point_key", "match_level").agg(F.min_by("spdx_expression", F.struct("precedence", "pos")).alias("x"))
+    x = F.col("x")
+    bad = (x.isin(*deny) if deny else F.lit(False)) | (~x.isin(*allow) if allow else F.lit(False))
+    code = F.when(x == "NOASSERTION", F.lit("LICENSE_UNKNOWN") if unknown in ("warn", "fail") else F.lit(None)).when(bad, "LICENSE_POLICY_VIOLATION")
+    severity = F.when(F.col("code") == "LICENSE_UNKNOWN", "high" if unknown == "fail" else "medium").otherwise("high")
+    return best.withColumn("code", code).where("code is not null").select("subject_id", "point_key", "match_level", "code", F.lit("license").alias("field"), severity.alias("severity"))
+
+
 def with_current_version(rows: DataFrame, sources: DataFrame, source_id: str) -> DataFrame:
     """`rows` with `current_version`, the version of the source row that is last by `ord`."""
     current = sources.groupBy(F.col("id").alias("cv_id")).agg(F.max_by("version_id", "ord").alias("current_version"))

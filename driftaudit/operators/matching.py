@@ -42,21 +42,41 @@ def expected_points(bindings: DataFrame, embeddings: DataFrame, chunks: DataFram
     )
 
 
-def _ranked(df: DataFrame, level: int) -> DataFrame:
-    """Row numbers within the key of a level, in the order that the rounds before leave: their keys, nulls last, then `ord`."""
+#: A key with more rows than this is ranked in parts. Of n rows at most n / HOT keys are hot, so the list of them is broadcast.
+HOT = 1_000_000
+
+
+def _ranked(df: DataFrame, level: int, hot: int = HOT) -> DataFrame:
+    """Row numbers within the key of a level, in the order that the rounds before leave: their keys, nulls last, then `ord`.
+
+    In the first round the order is that of `ord` alone. There the rows of hot keys are ranked within ranges of `ord`, and
+    the sizes of the ranges before are added, so no key is sorted in one task.
+    """
+    key = LEVELS[level]
     order = [F.col(k).asc_nulls_last() for k in reversed(LEVELS[:level])] + [F.col("ord")]
-    return df.withColumn("rn", F.row_number().over(Window.partitionBy(LEVELS[level]).orderBy(*order)))
+    plain = F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("bigint")
+    if level:
+        return df.withColumn("rn", plain)
+    span = df.groupBy(key).agg(F.count("*").alias("n_"), F.min("ord").alias("lo_"), F.max("ord").alias("hi_")).where(F.col("n_") > hot)
+    step = F.greatest(F.lit(1), F.ceil((F.col("hi_") - F.col("lo_") + 1) / F.ceil(F.col("n_") / hot))).cast("bigint")
+    marked = df.join(F.broadcast(span), key, "left")
+    rest = marked.where("n_ is null").select(*df.columns, plain.alias("rn"))
+    parts = marked.where("n_ is not null").select(*df.columns, F.floor((F.col("ord") - F.col("lo_")) / step).alias("part_"))
+    sizes = parts.groupBy(key, "part_").agg(F.count("*").alias("n_")).withColumn("before_", F.sum("n_").over(Window.partitionBy(key).orderBy("part_")) - F.col("n_"))
+    inner = F.row_number().over(Window.partitionBy(key, "part_").orderBy("ord"))
+    ranked = parts.withColumn("in_", inner).join(F.broadcast(sizes.select(key, "part_", "before_")), [key, "part_"])
+    return rest.unionByName(ranked.select(*df.columns, (F.col("in_") + F.col("before_")).cast("bigint").alias("rn")))
 
 
 def _prefixed(df: DataFrame, p: str) -> DataFrame:
     return df.select(*(F.col(c).alias(p + c) for c in df.columns))
 
 
-def match_round(expected: DataFrame, observed: DataFrame, level: int) -> DataFrame:
+def match_round(expected: DataFrame, observed: DataFrame, level: int, hot: int = HOT) -> DataFrame:
     """The full outer result of one round: e_* and o_* columns, both sides set for a pair."""
     key = LEVELS[level]
-    e = _prefixed(_ranked(expected.where(F.col(key).isNotNull()), level), "e_")
-    o = _prefixed(_ranked(observed.where(F.col(key).isNotNull()), level), "o_")
+    e = _prefixed(_ranked(expected.where(F.col(key).isNotNull()), level, hot), "e_")
+    o = _prefixed(_ranked(observed.where(F.col(key).isNotNull()), level, hot), "o_")
     both = e.join(o, (F.col(f"e_{key}") == F.col(f"o_{key}")) & (F.col("e_rn") == F.col("o_rn")), "full").drop("e_rn", "o_rn")
     rest_e = _prefixed(expected.where(F.col(key).isNull()), "e_")
     rest_o = _prefixed(observed.where(F.col(key).isNull()), "o_")
