@@ -44,3 +44,22 @@ def test_reports(spark, tmp_path):
     assert "<script>" not in reports.reconciliation_page({"x": None}, {"high": 1}, "FAIL", [{"code": "<script>", "severity": "high", "subject_id": "s"}])
     with pytest.raises(Exception, match="secret-shaped"):
         reports.append_audit(spark.sql("select map('api_key', 'x') as metadata"), str(tmp_path / "log"))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from driftaudit import cli
+    from driftaudit.plans.fixture import SCOPE, TARGET, Fixture
+
+    f = Fixture(spark, "/root/testdata/sf0.001")
+    for name, df in (("expected", f.expected), ("observed", f.observed), ("sources", f.sources)):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    (tmp_path / "policy.json").write_text(json.dumps({"fail_on_severity": ["critical"]}))
+    assert cli.main(["reconcile", str(tmp_path), TARGET, SCOPE, "--policy", str(tmp_path / "policy.json"), "--html", str(tmp_path / "r.html")]) == cli.EXIT["fail"]
+    assert "verdict: FAIL" in capsys.readouterr().out and "<table>" in (tmp_path / "r.html").read_text()
+    (tmp_path / "m.json").write_text('{"a":1}')
+    assert cli.main(["key-generate", str(tmp_path)]) == 0
+    assert cli.main(["sign", str(tmp_path / "m.json"), str(tmp_path), "me", "2026-01-01T00:00:00Z"]) == 0
+    assert cli.main(["verify", str(tmp_path / "m.json"), str(tmp_path / "public.key")]) == 0
+    assert cli.main(["verify", str(tmp_path / "none.json"), str(tmp_path / "public.key")]) == cli.EXIT["io"]
