@@ -43,10 +43,15 @@ vb vs vd
 г гг др д п руб
 κ.λπ κ.ά κλπ μ.μ π.μ
 """.split()
+_WS = r"[\s\u0085   -   　﻿]"
+#: Words of both lists, by what tells the two apart. д and п end a sentence only in «т. д.» and «т. п.»; vs only in Turkish, by
+#: letters of the block; sec not before the number or letter of a section, unless it follows a number.
+_TD = rf"т[.{DOT}]{_WS}{{0,3}}[дп]"
+_BOTH = {*NEVER} & {*MAYBE}
+_TURKISH_LETTERS = "[ğĞıİşŞ]"
 _MONTHS = "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember Fassung Auflage Kapitel Absatz Tag Jahrhundert".split()
 _TURKISH = "sürüm madde bölüm sayfa yıl gün ay hafta kez kat sıra yüzyıl".split()
 
-_WS = r"[\s\u0085   -   　﻿]"
 _T = r"[.!?…。！？｡।॥؟۔;;]"
 #: How a sentence may begin: a capital, a number, an opening mark, or a name in small letters with its version.
 _START = rf"(?:[\p{{Lu}}\p{{N}}¿¡]|\p{{Ll}}[\p{{Ll}}-]*+ \d++[.{DOT}]\d)"
@@ -101,8 +106,10 @@ def _dots(b: Column) -> Column:
     b = _re(b, r"\.(?<=[\p{L}\p{M}\p{N}]\.)(?=[\p{L}\p{N}])", DOT)
     b = _re(b, rf"\.(?<={_NOT_IN_WORD}\p{{Lu}}\.)(?={_WS}*(?:\p{{Lu}}[\p{{L}}\p{{M}}]|\p{{Lu}}\.))", DOT)
     b = _re(b, rf"\.(?<={_NOT_IN_WORD}(?:[zd]|[uo]|т)\.)(?={_WS}?[BhaÄек]\.)|\.(?<={_NOT_IN_WORD}(?:z[.{DOT}]{_WS}?B|d[.{DOT}]{_WS}?h|u[.{DOT}]{_WS}?a|o[.{DOT}]{_WS}?Ä|т[.{DOT}]{_WS}?[ек])\.)", DOT)
-    b = _re(b, rf"\.(?<={_NOT_IN_WORD}(?:{_any(NEVER)})\.)(?!\.)(?=[\s\S])", DOT)
-    b = _re(b, rf"\.(?<={_NOT_IN_WORD}(?:{_any(MAYBE)})\.)(?=[^\s.]|{_WS}++(?!{_START})[^“„«\"'‘(\[])", DOT)
+    b = _re(b, rf"\.(?<={_NOT_IN_WORD}(?:{_any([w for w in NEVER if w not in _BOTH])}|(?<!т[.{DOT}]{_WS}{{0,3}})[дп])\.)(?!\.)(?=[\s\S])", DOT)
+    b = _re(b, rf"\.(?<=(?<!\d{_WS}{{0,3}}){_NOT_IN_WORD}sec\.)(?={_WS}*(?:\p{{N}}|\p{{Lu}}(?:[.{DOT}\d)]|{_WS}*\z)))", DOT)
+    b = _let(b, lambda x: F.when(F.contains(x, F.lit("vs.")) & ~F.rlike(x, F.lit(_TURKISH_LETTERS)), _re(x, rf"\.(?<={_NOT_IN_WORD}vs\.)(?!\.)(?=[\s\S])", DOT)).otherwise(x))
+    b = _re(b, rf"\.(?<={_NOT_IN_WORD}(?:{_any([w for w in MAYBE if w not in ("д", "п")])}|{_TD})\.)(?=[^\s.]|{_WS}++(?!{_START})[^“„«\"'‘(\[])", DOT)
     b = _re(b, rf"\.(?<=\d\.)(?<=(?i:(?<!\p{{L}})(?:am|vom|zum|der|die|das|dem|den|des|im|ab|bis|seit)){_WS}{{1,2}}\d{{1,3}}\.)(?={_WS}+\p{{L}})", DOT)
     b = _re(b, rf"\.(?<={_NOT_IN_WORD}\d{{1,4}}\.)(?={_WS}+(?:{'|'.join(_MONTHS)}|{'|'.join(_TURKISH)}))", DOT)
     return _re(b, rf"(\.\.\.|…)(?={_WS}*[\p{{Ll}},;])", f"$1{KEEP}")

@@ -26,6 +26,28 @@ TEXTS = {
 }
 
 
+def units(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {}
+    for r in sentences.sentence_units(df).orderBy("doc_id", "unit_no").collect():
+        assert texts[r.doc_id][r.start_pos : r.end_pos] == r.unit
+        got.setdefault(r.doc_id, []).append(r.unit)
+    return [got.get(i, []) for i in range(len(texts))]
+
+
+def test_abbreviations_that_may_end_a_sentence(spark):
+    texts = {
+        "Акты и т. д. Новый реестр.": ["Акты и т. д.", "Новый реестр."],
+        "Акты и т.п. «Неверно.» Всё.": ["Акты и т.п.", "«Неверно.»", "Всё."],
+        "Акты и т. д.\nНовый реестр, т. е. акты и т. д. в деле.": ["Акты и т. д.", "Новый реестр, т. е. акты и т. д. в деле."],
+        "Дом на ул. Мира, д. 5, п. 6 акта, д. Ивановка.": ["Дом на ул. Мира, д. 5, п. 6 акта, д. Ивановка."],
+        "Kayıtlar, dosyalar vs. Yeni kayıt.": ["Kayıtlar, dosyalar vs.", "Yeni kayıt."],
+        "It is Smith vs. Jones here.": ["It is Smith vs. Jones here."],
+        "It took 30 sec. The rest ran. See sec. 305.8 and sec. B.2 there.": ["It took 30 sec.", "The rest ran.", "See sec. 305.8 and sec. B.2 there."],
+    }
+    assert dict(zip(texts, units(spark, list(texts)))) == texts
+
+
 def test_sentences(spark):
     rows = list(enumerate(TEXTS))
     df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id bigint, text string, unit string, p string")
