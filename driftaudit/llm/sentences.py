@@ -78,9 +78,9 @@ _CASELESS = r"\p{IsHan}\p{IsKatakana}\p{IsDevanagari}\p{IsArabic}\p{IsThai}"
 _THAI = r"[\p{IsThai}&&[^\p{Nd}]]"
 _BLOCKS = (
     r"(?m)\A[\s﻿]*---[ \t]*\n(?s:.*?)^---[ \t]*$"  # front matter
-    r"|^[ \t]{0,3}(`{3,}|~{3,})(?s:.*?)(?:^[ \t]{0,3}\1[`~]*[ \t]*$|\z)"  # fenced code, to the end if it isn't closed
-    r"|^[ \t]*\|[^\n]*$"  # a table line
-    r"|^[ \t]{0,3}(?:-{3,}|\*{3,}|_{3,})[ \t]*$"  # a rule
+    r"|^\x{FEFF}*[ \t]{0,3}(`{3,}|~{3,})(?s:.*?)(?:^[ \t]{0,3}\1[`~]*[ \t]*$|\z)"  # fenced code, to the end if it isn't closed
+    r"|^\x{FEFF}*[ \t]*\|[^\n]*$"  # a table line
+    r"|^\x{FEFF}*[ \t]{0,3}(?:-{3,}|\*{3,}|_{3,})[ \t]*$"  # a rule
 )
 
 

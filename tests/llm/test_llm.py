@@ -48,6 +48,17 @@ def test_abbreviations_that_may_end_a_sentence(spark):
     assert dict(zip(texts, units(spark, list(texts)))) == texts
 
 
+def test_blocks_after_a_byte_order_mark(spark):
+    texts = {
+        "\ufeff```\ncode. Here\n```\nText one. Text two.": ["Text one.", "Text two."],
+        "\ufeff~~~ sh\ncode. Here\n~~~\n\nText.": ["Text."],
+        "\ufeff| a. b | c |\n|---|---|\n\nText.": ["Text."],
+        "\ufeff***\nText.": ["Text."],
+        "\ufeffText.\n```\ncode\n```": ["Text."],
+    }
+    assert dict(zip(texts, units(spark, list(texts)))) == texts
+
+
 def test_sentences(spark):
     rows = list(enumerate(TEXTS))
     df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id bigint, text string, unit string, p string")
