@@ -8,10 +8,10 @@ Keys and child ids travel as 128-bit hashes, so that no shuffle carries an id's
 1. children: one row per child id with t (its earliest delivery) and its distinct references; copies combine map-side;
 2. groups: parents and children by (parent table, key), all aggregates fixed-width, copies and hot keys combine map-side;
    a key with a parent that was recorded before any child and never deleted is settled here;
-3. the remaining keys are joined with their parents' periods and their children, which gives the reason;
+3. the remaining keys' periods are merged where they overlap; a child outside all of them is an orphan, with its reason;
 4. the orphans' id texts are fetched from the child tables.
 
-Steps 3 and 4 keep few rows of many. What they look up is checkpointed and counted: below `broadcast_rows` it is
+Steps 3 and 4 keep few rows of many. What they look up has rows of fixed width, is checkpointed and counted: below `broadcast_rows` it is
 broadcast, above it a shuffle join with AQE's skew handling is left to Spark. Either way gives the same rows.
 """
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftaudit.functions.normalize import norm_id, wide_hash
@@ -95,6 +95,17 @@ def suspect_keys(references: DataFrame, parent_rows: DataFrame) -> DataFrame:
     return groups.where("first_use is not null and (has_parent is null or open_since is null or open_since > first_use)").select("parent", "k1", "k2")
 
 
+def merged_periods(parent_rows: DataFrame) -> DataFrame:
+    """(parent, k1, k2, since, until): when a key holds, as few periods as there are; they neither overlap nor touch."""
+    keys = ["parent", "k1", "k2"]
+    # of periods with the same end the longest, combined map-side: a key delivered again and again keeps one per deletion
+    ends = parent_rows.groupBy(*keys, F.coalesce("until", F.lit(2**62)).alias("until")).agg(F.min("since").alias("since")).where("since < until")
+    w = Window.partitionBy(*keys).orderBy("since", "until")
+    apart = ends.withColumn("reach", F.max("until").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    apart = apart.withColumn("no", F.sum(F.when(F.col("since") <= F.col("reach"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return apart.groupBy(*keys, "no").agg(F.min("since").alias("since"), F.max("until").alias("until")).drop("no")
+
+
 def orphans(children: list[Child], parents: list[Parent], broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(child_table, child_id, ref_column, reason, period), one row per child id and reference that is not in order.
 
@@ -107,13 +118,12 @@ def orphans(children: list[Child], parents: list[Parent], broadcast_rows: int =
     refs, rows = _references(children, parents), _parent_rows(parents).withColumn("since", F.coalesce("since", F.lit(-(2**62))))
     keys = ["parent", "k1", "k2"]
     suspects = lookup(suspect_keys(refs, rows), broadcast_rows)
-    # a parent's distinct periods, merged where they overlap: a parent delivered again and again keeps one
-    periods = rows.join(suspects, keys, "left_semi").groupBy(*keys).agg(F.collect_set(F.struct("since", F.coalesce("until", F.lit(2**62)).alias("until"))).alias("periods"))
-    held = lookup(suspects.join(periods, keys, "left"), broadcast_rows)
-    inside = F.exists("periods", lambda p: (p["since"] <= F.col("t")) & (p["until"] > F.col("t")))
-    later = F.exists("periods", lambda p: p["since"] > F.col("t"))
-    reason = F.when(F.col("periods").isNull(), "missing").when(inside, None).when(later, "late").otherwise("deleted")
-    bad = refs.join(held, keys).withColumn("reason", reason).where("reason is not null").select("tag", "c1", "c2", "ref", "reason", "t")
+    known = rows.join(suspects, keys, "left_semi")
+    held = lookup(suspects.join(known.groupBy(*keys).agg(F.max("since").alias("last")), keys, "left"), broadcast_rows)
+    spans = lookup(merged_periods(known), broadcast_rows).select(*(F.col(c).alias("p_" + c) for c in (*keys, "since", "until")))
+    inside = reduce(lambda a, b: a & b, [F.col(k) == F.col("p_" + k) for k in keys]) & (F.col("p_since") <= F.col("t")) & (F.col("p_until") > F.col("t"))
+    reason = F.when(F.col("last").isNull(), "missing").when(F.col("last") > F.col("t"), "late").otherwise("deleted")
+    bad = refs.join(held, keys).join(spans, inside, "left_anti").select("tag", "c1", "c2", "ref", reason.alias("reason"), "t")
     bad = lookup(bad, broadcast_rows)
     parts = []
     for tag, c in enumerate(children):

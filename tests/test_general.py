@@ -73,6 +73,16 @@ def test_equal_copies_have_no_unequal_cells(spark):
     assert [tuple(r) for r in copies.differences(side, other, ["k"], ["v"], buckets=64).collect()] == [("77", "v")]
 
 
+def test_parent_periods_are_merged(spark):
+    spans = {0: [(i, None) for i in range(50)], 1: [(i, 90) for i in range(50)] + [(99, 95)], 2: [(1, 4), (3, 7), (7, 9), (11, 13), (2, 3), (11, 12)], 3: [(5, 5)]}
+    rows = [(0, k, 0, a, b) for k, v in spans.items() for a, b in v]
+    df = spark.createDataFrame(rows, "parent int, k1 bigint, k2 bigint, since bigint, until bigint")
+    got = sorted((r.k1, r.since, r.until) for r in orphans.merged_periods(df).collect())
+    assert got == [(0, 0, 2**62), (1, 0, 90), (2, 1, 9), (2, 11, 13)]
+    for t in range(110):
+        assert {k for k, a, b in got if a <= t < b} == {k for k, v in spans.items() if any(a <= t and (b is None or t < b) for a, b in v)}
+
+
 def test_orphans(spark):
     kids = spark.createDataFrame(
         [("c1", "v1", at(10)), ("c2", "V2 ", at(10)), ("c3", "v3", at(10)), ("c4", "nowhere", at(10)), ("c5", None, at(10)), ("c6", " ", at(10)), ("c7", "v3", at(20)), ("C7 ", "v3", at(10)), (None, "nowhere", at(1)), ("c8", "v4", at(15)), ("c9", "v1", None), ("c4", "nowhere", at(10))],
