@@ -166,6 +166,7 @@ def parse_json(text: str) -> Iterator[Element]:
 
 
 def parse_csv(text: str) -> Iterator[Element]:
+    csv.field_size_limit(2**31 - 1)  # of the process, so set where it reads: a field may be as long as any text
     rows = [r for r in csv.reader(io.StringIO(text.lstrip("﻿"), newline="")) if any(c.strip() for c in r)]
     for r in rows:
         yield "table", " | ".join(c.strip() for c in r), [], None, " | ".join(c.strip() for c in rows[0])

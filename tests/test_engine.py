@@ -80,6 +80,10 @@ def test_parsers():
     assert [p for *_, p, _, _ in parsing.parse_json('[{"b":1,"a":2}, 3]')] == [["item 0"], ["item 1"]]
 
 
+def test_csv_fields_of_any_length():
+    assert [t for _, t, *_ in parsing.parse_csv("id,text\n1," + "x" * 200_000 + "\n")] == ["id | text", "1 | " + "x" * 200_000]
+
+
 def test_parse_failures_are_rows(spark):
     df = spark.createDataFrame([(1, "{bad", "application/json"), (2, "x", "image/png"), (3, None, "text/plain")], "id bigint, body string, m string")
     got = parsing.parse(df, "id", "body", "m").collect()
