@@ -120,7 +120,7 @@ def all_findings(matched: DataFrame, duplicates: DataFrame, sources: DataFrame,
     missing = matched.where("match_level is null and e_ord is not null").select(F.col("e_binding_id").alias("subject_id"), F.col("e_point_key").alias("point_key"), F.lit(None).cast("int").alias("match_level"), F.lit("MISSING_IN_INDEX").alias("code"), F.lit("point_id").alias("field"))
     orphans = with_current_version(matched.where("match_level is null and o_ord is not null"), sources, "o_source_id")
     orphans = orphans.select(F.col("o_point_key").alias("subject_id"), F.col("o_point_key").alias("point_key"), F.lit(None).cast("int").alias("match_level"), orphan_code().alias("code"), F.lit("point_id").alias("field"))
-    twice = duplicates.select(F.col("key").alias("subject_id"), F.col("point_keys")[0].alias("point_key"), F.col("level").alias("match_level"), F.when(F.col("level") == 1, "DUPLICATE_POINT_ID").otherwise("DUPLICATE_CONTENT").alias("code"), F.element_at(F.array(*map(F.lit, ("point_id", "embedding_id", "chunk_id"))), F.col("level")).alias("field"))
+    twice = duplicates.select(F.col("key").alias("subject_id"), "point_key", F.col("level").alias("match_level"), F.when(F.col("level") == 1, "DUPLICATE_POINT_ID").otherwise("DUPLICATE_CONTENT").alias("code"), F.element_at(F.array(*map(F.lit, ("point_id", "embedding_id", "chunk_id"))), F.col("level")).alias("field"))
     rows = reduce(DataFrame.unionByName, [found, missing, orphans, twice])
     print_ = content_id("finding", json_string(F.col("code")), json_string(F.lit(target)), json_string(F.lit(scope)), json_string(F.col("subject_id")), json_string(F.col("field")))
     return rows.select(print_.alias("fingerprint"), "code", severity_of(F.col("code")).alias("severity"), "field", "subject_id", "point_key", "match_level")

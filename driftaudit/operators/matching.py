@@ -108,13 +108,28 @@ def cascade(expected: DataFrame, observed: DataFrame, done: list | None = None)
     return reduce(DataFrame.unionByName, out)
 
 
+def _shared(e: DataFrame, o: DataFrame, key: str) -> DataFrame:
+    """(key, n, point_key): the keys that several observed points share and that the expected side has; the least point key of each."""
+    many = o.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n"), F.min("point_key").alias("point_key")).where("n > 1")
+    return many.join(e.select(F.col(key).alias("key")).distinct(), "key", "left_semi")
+
+
+def duplicate_keys(expected: DataFrame, observed: DataFrame, done: list | None = None) -> DataFrame:
+    """(level, key, n, point_key): keys that several observed points share in a round and that the expected side has too, with the least of their point keys."""
+    out = []
+    for level, (e, o, _) in enumerate(done or rounds(expected, observed)):
+        out.append(_shared(e, o, LEVELS[level]).select(F.lit(level + 1).alias("level"), "key", "n", "point_key"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def duplicate_groups(expected: DataFrame, observed: DataFrame, done: list | None = None) -> DataFrame:
-    """(level, key, n, point_keys): keys that several observed points share in a round and that the expected side has too."""
+    """(level, key, n, point_keys): the duplicate keys with the point keys of all their points, sorted, in one row each."""
     out = []
     for level, (e, o, _) in enumerate(done or rounds(expected, observed)):
         key = LEVELS[level]
-        groups = o.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("point_key")).alias("point_keys")).where("n > 1")
-        out.append(groups.join(e.select(F.col(key).alias("key")).distinct(), "key", "left_semi").select(F.lit(level + 1).alias("level"), "key", "n", "point_keys"))
+        points = o.select(F.col(key).alias("key"), "point_key").join(_shared(e, o, key).select("key"), "key", "left_semi")
+        groups = points.groupBy("key").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("point_key")).alias("point_keys"))
+        out.append(groups.select(F.lit(level + 1).alias("level"), "key", "n", "point_keys"))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -59,6 +59,16 @@ def test_cascade_pairs_duplicates_by_position(spark):
     assert [(r.level, r.key, r.n) for r in dup] == [(1, "p1", 3)]
 
 
+def test_findings_need_no_lists_of_points(spark):
+    e = side(spark, [("p1", "e1", "c1", None, None), (None, "e3", "c3", None, None), (None, None, "c5", None, None)])
+    o = side(spark, [("p1", "e0", "c0", None, None), ("p1", "e0", "c0", None, None), ("p8", "e3", "c0", None, None), ("p7", "e3", "c0", None, None), ("p9", "e9", "c9", None, None), ("p6", "e9", "c9", None, None)])
+    done = matching.rounds(e, o)
+    keys, lists = matching.duplicate_keys(e, o, done), matching.duplicate_groups(e, o, done)
+    assert sorted(map(tuple, keys.collect())) == [(1, "p1", 2, "p1"), (2, "e3", 2, "p7")]
+    assert sorted((r.level, r.key, r.n, *r.point_keys) for r in lists.collect()) == [(1, "p1", 2, "p1", "p1"), (2, "e3", 2, "p7", "p8")]
+    assert "collect_list" not in keys._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_policy(spark):
     ratio = spark.createDataFrame([(0.9, None, 0.1, 0.0, 0.2)], "lineage_coverage double, acl_compliance double, stale_ratio double, orphan_ratio double, missing_ratio double")
     found = spark.createDataFrame([("TENANT_MISSING", "critical")], "code string, severity string")
