@@ -14,11 +14,12 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from driftaudit.functions.ids import let
 from driftaudit.functions.normalize import WHITE
 
 ITEM = "[]"
-_UNWRAP = 4  # a body may stand in a JSON string in a JSON string ...; deeper ones count as unreadable
 
 
 @dataclass
@@ -43,15 +44,18 @@ class Shape:
         return test(self) or any(s.any(test) for s in self.fields.values()) or bool(self.item and self.item.any(test))
 
 
+def _no_number(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
 def _read(body: str | None):
-    for _ in range(_UNWRAP + 1):
-        if not isinstance(body, str):
-            return body
+    """What a body says, out of as many JSON strings as it stands in; None if it can't be read as JSON."""
+    while isinstance(body, str):
         try:
-            body = json.loads(body.strip(WHITE))
+            body = json.loads(body.strip(WHITE), parse_constant=_no_number)
         except (ValueError, RecursionError):
             return None
-    return None
+    return body
 
 
 def _paths(value, path: tuple[str, ...], seen: set) -> None:
@@ -69,7 +73,7 @@ def _paths(value, path: tuple[str, ...], seen: set) -> None:
 
 
 def merged_schema(df: DataFrame, body: str, max_paths: int = 50_000) -> Shape:
-    """The Shape of all readable bodies. Each partition reports the places it has, once; they are united on the driver.
+    """The Shape of all readable bodies, of any depth. Each partition reports the places it has, once; they are united on the driver.
 
     What comes to the driver is as large as the schema, not as the data. Bodies that use data as field names would make
     it grow with the data; beyond `max_paths` places this raises instead of leaving any out.
@@ -93,13 +97,35 @@ def merged_schema(df: DataFrame, body: str, max_paths: int = 50_000) -> Shape:
     return root
 
 
-def read_variant(body: Column) -> Column:
-    """The body as a variant; a byte-order mark is dropped, and JSON strings are opened. Null if it can't be read as JSON."""
-    v = F.try_parse_json(F.btrim(body, F.lit(WHITE)))
-    for _ in range(_UNWRAP):
-        inner = F.try_parse_json(F.btrim(F.try_variant_get(v, "$", "string"), F.lit(WHITE)))
-        v = F.when(F.schema_of_variant(v) == "STRING", inner).otherwise(v)
-    return F.when(F.schema_of_variant(v) != "STRING", v)
+@F.pandas_udf(T.StringType())
+def _plain(s: pd.Series) -> pd.Series:
+    """Bodies that a variant can't be made of as they stand, out of their strings and with the last of repeated members."""
+    return s.map(lambda x: None if (v := _read(x)) is None else json.dumps(v), na_action="ignore")
+
+
+def with_variant(df: DataFrame, body: str, name: str) -> DataFrame:
+    """`df` with the body as a variant, null if it can't be read as JSON; a byte-order mark is dropped.
+
+    Bodies in JSON strings, however many around each other, objects that repeat a member (the last counts) and bodies
+    with something after a value go through Python; the others are parsed where they are.
+    """
+    text = F.btrim(F.col(body), F.lit(WHITE))
+    hard = text.startswith('"') | text.rlike(r"[}\]]\s*[{\[]") | ~text.rlike(r"[}\]\w]\z")
+    parsed = df.withColumn(name, F.when(~hard, F.try_parse_json(text)))
+    opened = parsed.withColumn("plain_", _plain(F.when(F.col(name).isNull() & (text != ""), text)))
+    return opened.withColumn(name, F.coalesce(F.col(name), F.try_parse_json("plain_"))).drop("plain_")
+
+
+def _is_object(v: Column, shape: Shape) -> Column:
+    """Looks only for what else occurs at the place: as a rule nothing or null."""
+    if shape.kinds <= {"object", "null"}:
+        return v.isNotNull() & ~F.is_variant_null(v) if "null" in shape.kinds else v.isNotNull()
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+
+
+def _string(v: Column) -> Column:
+    """The string that a variant is; null for all else. Of the values that can be read as text only strings have the quote."""
+    return F.when(F.to_json(v).startswith('"'), F.try_variant_get(v, "$", "string"))
 
 
 def get(v: Column, *steps: str, to: str = "variant") -> Column:
@@ -109,8 +135,7 @@ def get(v: Column, *steps: str, to: str = "variant") -> Column:
 
 def text_at(v: Column, *steps: str) -> Column:
     """The string at a place; null if what stands there is no string."""
-    x = get(v, *steps)
-    return F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))
+    return _string(get(v, *steps))
 
 
 #: What rows hand down to the rows inside them: name -> (object, shape, path, value so far) -> value. Strings.
@@ -131,29 +156,29 @@ def explode_levels(df: DataFrame, key: list[str], body: str, schema: Shape, want
     def row(path, v, pos, parent, own, handed) -> Column:
         return F.struct(F.lit(json.dumps(path, ensure_ascii=False)).alias("level"), own.alias("node_id"), parent.alias("parent_id"), pos.cast("int").alias("ordinal"), v.alias("node"), *(c.alias(n) for n, c in handed.items()))
 
-    def walk(shape: Shape, path: tuple[str, ...], v: Column, pos: Column, parent: Column, handed: dict[str, Column], listed: bool) -> list[Column]:
+    def walk(shape: Shape, path: tuple[str, ...], v: Column, pos: Column, parent: Column, handed: dict[str, Column], listed: bool) -> Column:
+        """The rows from v on. What is used more than once is bound to a variable, for lambdas have no common subexpressions."""
         out: list[Column] = []
-        if wanted and not shape.any(wanted):
-            return out
         if "object" in shape.kinds:
-            handed = {n: f(v, shape, path, handed[n]) for n, f in inherit.items()}
             emit = wanted(shape) if wanted else listed or "array" in shape.kinds or not path
-            own = F.xxhash64(parent, F.lit(json.dumps(path)), pos) if emit else parent
-            if emit:
-                out.append(F.array(row(path, v, pos, parent, own, handed)) if not listed and "array" not in shape.kinds and not path else F.when(get_is_object(v), F.array(row(path, v, pos, parent, own, handed))))
-            for name, child in sorted(shape.fields.items()):
-                if child.kinds & {"object", "array"}:
-                    out += walk(child, (*path, name), get(v, name), F.lit(0), own, handed, False)
-        if "array" in shape.kinds and shape.item and shape.item.kinds & {"object", "array"}:
-            def each(x: Column, i: Column) -> Column:
-                return union(walk(shape.item, (*path, ITEM), x, i, parent, handed, True))
-
-            if not wanted or shape.item.any(wanted):
-                out.append(F.flatten(F.transform(F.try_variant_get(v, "$", "array<variant>"), each)))
-        return out
-
-    def get_is_object(v: Column) -> Column:
-        return F.schema_of_variant(v).startswith("OBJECT")
+            inner = [(n, c) for n, c in sorted(shape.fields.items()) if c.kinds & {"object", "array"} and (not wanted or c.any(wanted))]
+
+            def rows(x: Column) -> Column:
+                own, given = x["own"], {n: x[n] for n in inherit}
+
+                def below(name: str, child: Shape) -> Column:
+                    return let(get(x["v"], name), lambda y: walk(child, (*path, name), y, F.lit(0), own, given, False))
+
+                return union(([F.array(row(path, x["v"], pos, parent, own, given))] if emit else []) + [below(n, c) for n, c in inner])
+
+            if emit or inner:
+                own = F.xxhash64(parent, F.lit(json.dumps(path)), pos) if emit else parent
+                bound = F.struct(v.alias("v"), own.alias("own"), *(f(v, shape, path, handed[n]).alias(n) for n, f in inherit.items()))
+                out.append(F.when(_is_object(v, shape), let(bound, rows)))
+        if "array" in shape.kinds and shape.item and shape.item.kinds & {"object", "array"} and (not wanted or shape.item.any(wanted)):
+            items = F.try_variant_get(v, "$", "array<variant>")
+            out.append(F.flatten(F.transform(items, lambda x, i: walk(shape.item, (*path, ITEM), x, i, parent, handed, True))))
+        return union(out)
 
     kind = "array<struct<level:string,node_id:bigint,parent_id:bigint,ordinal:int,node:variant" + "".join(f",{n}:string" for n in inherit) + ">>"
 
@@ -161,8 +186,9 @@ def explode_levels(df: DataFrame, key: list[str], body: str, schema: Shape, want
         none = F.array().cast(kind)
         return F.concat(*(F.coalesce(p, none) for p in parts)) if parts else none
 
-    parsed = df.select(*key, read_variant(F.col(body)).alias("v")).where("v is not null")
-    rows = union(walk(schema, (), F.col("v"), F.lit(0), F.xxhash64(*key), {n: F.lit(None).cast("string") for n in inherit}, False))
+    parsed = with_variant(df.select(*key, F.col(body).alias("body_")), "body_", "v")
+    top = F.struct("v", F.xxhash64(*key).alias("id"))
+    rows = let(top, lambda x: walk(schema, (), x["v"], F.lit(0), x["id"], {n: F.lit(None).cast("string") for n in inherit}, False))
     return parsed.select(*key, F.inline(rows))
 
 
@@ -219,14 +245,14 @@ def manifest_records(bodies: DataFrame) -> DataFrame:
         "manifest_no", "ordinal", "build_id", text_at(n, "artifact_id").alias("artifact_id"), text_at(n, "id").alias("chunk_id"), get(n, "locator").alias("loc"),
         F.coalesce(text_at(n, "parse_run_id"), F.col("run_id")).alias("run_id"), get(n, "tokenizer").alias("tok"),
     )
-    is_chunk = F.col("chunk_id").startswith("chk_") & F.col("loc").isNotNull() & (F.schema_of_variant("loc") != "VOID")
+    is_chunk = F.col("chunk_id").startswith("chk_") & F.col("loc").isNotNull() & ~F.is_variant_null("loc")
     at = at.select(
         "manifest_no", "ordinal", "build_id", "artifact_id", "run_id", F.when(is_chunk, F.col("chunk_id")).alias("chunk_id"),
-        F.when(F.schema_of_variant("loc") == "STRING", F.try_parse_json(F.try_variant_get("loc", "$", "string"))).otherwise(F.col("loc")).alias("loc"), "tok",
+        "loc", "tok", _string(F.col("loc")).alias("loc_text"),
     )
-    at = at.withColumns({"path": get(F.col("loc"), "heading_path")})
-    headings = F.coalesce(F.try_variant_get("path", "$", "array<string>"), F.when(F.schema_of_variant("path") == "STRING", F.array(F.try_variant_get("path", "$", "string"))))
-    name = F.coalesce(text_at(F.col("tok"), "name"), F.substring_index(F.when(F.schema_of_variant("tok") == "STRING", F.try_variant_get("tok", "$", "string")), "@", 1))
+    at = with_variant(at, "loc_text", "opened").withColumn("path", get(F.when(F.col("loc_text").isNull(), F.col("loc")).otherwise(F.col("opened")), "heading_path"))
+    headings = F.coalesce(F.try_variant_get("path", "$", "array<string>"), F.array(_string(F.col("path"))))
+    name = F.coalesce(text_at(F.col("tok"), "name"), F.substring_index(_string(F.col("tok")), "@", 1))
 
     def record(kind: str, rid: Column, parent: Column, pos: Column) -> Column:
         return F.struct(F.lit(kind).alias("record_kind"), rid.alias("record_id"), parent.alias("parent_id"), pos.cast("int").alias("ordinal_pos"))

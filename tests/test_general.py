@@ -102,10 +102,15 @@ def test_manifests(spark):
     body = {"build": {"build_id": "b1"}, "artifacts": {"artifact_id": "a1"}, "parse_runs": [{"id": "prs_1", "chunks": [{"id": "x"}, chunk]}], "extensions": {"deep": {"chunks": [{"id": "chk_2", "parse_run_id": "prs_9", "locator": {"heading_path": "lone"}, "tokenizer": {"name": "bpe"}}]}}}
     none = {"build": {"build_id": "b2"}, "sources": [{"extensions": {"crm": {"artifact_id": None}}}], "chunks": [{"id": "chk_3", "locator": None}]}
     bodies = [(1, json.dumps(body)), (2, json.dumps(json.dumps([none]))), (3, "﻿" + json.dumps({"artifacts": [{"artifact_id": "a2"}, {"artifact_id": "a3"}]})), (4, "not json"), (5, None), (6, ""), (7, json.dumps(body)[:-3])]
+    deep = json.dumps({"artifacts": [{"artifact_id": "deep"}]})
+    for _ in range(6):
+        deep = " " + json.dumps(deep)
+    bodies += [(8, deep), (9, '{"artifacts": [{"artifact_id": "old", "artifact_id": "new"}]}'), (10, '{"artifacts": [{"artifact_id": "x"}]} {"a": 1}'), (11, '{"artifacts": [{"artifact_id": "x", "n": NaN}]}'), (12, "3")]
     got = {tuple(r) for r in nested.manifest_records(spark.createDataFrame([(*b, "c") for b in bodies], "manifest_no bigint, body string, level string")).collect()}
     assert got == {
         (1, "artifact", "a1", "b1", 0), (1, "chunk", "chk_1", "prs_1", 1), (1, "heading", "A", "chk_1", 0), (1, "heading", "B", "chk_1", 1), (1, "tokenizer", "ws", "chk_1", 0),
         (1, "chunk", "chk_2", "prs_9", 0), (1, "heading", "lone", "chk_2", 0), (1, "tokenizer", "bpe", "chk_2", 0), (3, "artifact", "a2", None, 0), (3, "artifact", "a3", None, 1),
+        (8, "artifact", "deep", None, 0), (9, "artifact", "new", None, 0),
     }
 
 
