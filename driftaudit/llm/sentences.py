@@ -14,12 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SEP, VOID, HEAD, KEEP, DOT = "", "", "", "", ""
+SEP, VOID, HEAD, KEEP, DOT, ASK = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004", "\ue005"
 #: Pairs of quotes and brackets, each mark with its placeholder while the pair is matched. Same marks on both sides: straight quotes.
 _PAIRS = [("(", ")", "b"), ("[", "]", "b"), ("（", "）", "b"), ("「", "」", "q"), ("『", "』", "q"), ("„", "“", "q"), ("“", "”", "q"), ("‘", "’", "q"), ("«", "»", "q"), ('"', '"', "q"), ("'", "'", "q"), ("【", "】", "b"), ("[", "]", "b"), ("(", ")", "b")]
 _OPEN = [chr(0xE010 + 2 * i) for i in range(len(_PAIRS))]
 _CLOSE = [chr(0xE011 + 2 * i) for i in range(len(_PAIRS))]
-_PRIVATE = [SEP, VOID, HEAD, KEEP, DOT, *_OPEN, *_CLOSE]
+_PRIVATE = [SEP, VOID, HEAD, KEEP, ASK, DOT, *_OPEN, *_CLOSE]
 
 #: Abbreviations that do not end a sentence, whatever follows. Inner dots are masked before, as DOT.
 NEVER = """
@@ -56,6 +56,7 @@ _T = r"[.!?…。！？｡।॥؟۔;;]"
 #: How a sentence may begin: a capital, a number, an opening mark, or a name in small letters with its version.
 _START = rf"(?:[\p{{Lu}}\p{{N}}¿¡]|\p{{Ll}}[\p{{Ll}}-]*+ \d++[.{DOT}]\d)"
 _END = r"[.!?。！？｡।॥؟۔;;]"  # those that end a sentence by themselves
+_ASKS = ";\u037e"
 _NOT_IN_WORD = r"(?<![\p{L}\p{M}\p{N}])"
 
 
@@ -128,8 +129,15 @@ def _masked(block: Column) -> Column:
             pattern = f"{lq}([^{lq}{rq}]*){rq}" + (r"(?!\p{L})" if right == "’" else "")
 
         def pair(x: Column, pattern=pattern, o=o, c=c) -> Column:
+            inside = rf"(?!{KEEP})(?=[^{o}{c}]*{c})"
+
+            def around(y: Column) -> Column:
+                # a pair around pairs of its kind, which are placeholders by now: what is in it stands inside, their ends too
+                deep = rf"(?!{KEEP})(?=[^{o}{c}]*+(?:{o}[^{o}{c}]*+{c}[^{o}{c}]*+)*+{c})"
+                return _re(_re(y, pattern, f"{o}$1{c}"), rf"({c}|{_T}| (?<=\p{{IsThai}} ) *+){deep}", f"$1{KEEP}")
+
             # a mark, or a space after Thai, before a closing mark without an opening one between: it stands inside
-            return _re(_re(x, pattern, f"{o}$1{c}"), rf"({_T}| +(?<=\p{{IsThai}} {{1,9}}))(?!{KEEP})(?=[^{o}{c}]*{c})", f"$1{KEEP}")
+            return _re(_where(_re(x, pattern, f"{o}$1{c}"), left, around), rf"({_T}| (?<=\p{{IsThai}} ) *+){inside}", f"$1{KEEP}")
 
         b = _where(b, left, pair)
     return b
@@ -140,19 +148,26 @@ def _sentences(block: Column) -> Column:
     b = _masked(block)
     end = rf"[\"'”’»)\]{_CLOSES}]*"
     b = _re(b, rf"([.!?…]++(?!{KEEP}){end})(?={_WS})", f"$1{SEP}")
-    b = _re(b, rf"([。！？｡।॥؟۔]++(?!{KEEP})[」』）”’»{_CLOSES}]*|[!?]++(?<=[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}\p{{IsThai}}][!?]{{1,9}})(?!{KEEP})[」』）”’»{_CLOSES}]*(?!{SEP}))", f"$1{SEP}")
-    b = _where(b, ";;", lambda x: _re(x, rf"([;;](?<=\p{{IsGreek}}[^{SEP}]{{0,100}}[;;])(?!{KEEP}){end})(?={_WS})", f"$1{SEP}"))
+    b = _re(b, rf"([。！？｡।॥؟۔]++(?!{KEEP})[」』）”’»{_CLOSES}]*|[!?](?<=[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}\p{{IsThai}}][!?])[!?]*+(?!{KEEP})[」』）”’»{_CLOSES}]*(?!{SEP}))", f"$1{SEP}")
+    b = _where(b, _ASKS, lambda x: _greek(x, end))
     # a mark inside quotes or brackets that end here: bracketed sentences of their own, then quotes that end a sentence
     b = _where(b, KEEP, lambda x: _quoted(x))
-    thai = rf" +(?<=(?:{_THAI}) {{1,9}})(?=[{_OPENS}]|{_THAI})| +(?<=[{_CLOSES}] {{1,9}})(?={_THAI})"
+    thai = rf" (?<={_THAI} ) *+(?=[{_OPENS}]|{_THAI})| (?<=[{_CLOSES}] ) *+(?={_THAI})"
     b = F.get(F.transform(F.array(b), lambda x: F.when(F.rlike(x, F.lit(r"\p{IsThai}")), _re(x, f"({thai})", f"$1{SEP}")).otherwise(x)), F.lit(0))
     return F.split(b, SEP)
 
 
+def _greek(b: Column, end: str) -> Column:
+    """Ends at semicolons that follow a Greek letter of the same sentence, however far; the letter or the mark before leads on to the next."""
+    b = _re(b, rf"((?:\G(?<=[{_ASKS}])|\p{{IsGreek}})[^{_ASKS}{SEP}]*+)([{_ASKS}])", f"$1{ASK}$2")
+    b = _re(b, rf"{ASK}([{_ASKS}](?!{KEEP}){end})(?={_WS})", f"$1{SEP}")
+    return F.replace(b, F.lit(ASK), F.lit(""))
+
+
 def _quoted(b: Column) -> Column:
-    b = _re(b, rf"({SEP}|\G)({_WS}*[{_OPEN_B}][^{_OPEN_B}{_CLOSE_B}{SEP}]*{_END}{KEEP}{_WS}*[{_CLOSE_B}])(?={_WS}*\S)", f"$1$2{SEP}")
+    b = _re(b, rf"({SEP}|\G)({_WS}*[{_OPEN_B}][^{_OPEN_B}{_CLOSE_B}{SEP}]*{_END}{KEEP}{_WS}*[{_CLOSE_B}](?!{KEEP}))(?={_WS}*\S)", f"$1$2{SEP}")
     b = _re(b, rf"({_END}{KEEP}{_WS}*[{_CLOSES}]+)(?={_WS}+[{_OPENS}]*{_START})", f"$1{SEP}")
-    return _re(b, rf"((?<=[^{_WS[1:-1]}{SEP}])(?:{_WS}*)[{_OPEN_Q}][^{_OPEN_Q}{_CLOSE_Q}{SEP}]*{_END}{KEEP}{_WS}*[{_CLOSE_Q}])(?={_WS}*[{_CASELESS}{_OPENS}])", f"$1{SEP}")
+    return _re(b, rf"((?<=[^{_WS[1:-1]}{SEP}])(?:{_WS}*)[{_OPEN_Q}][^{_OPEN_Q}{_CLOSE_Q}{SEP}]*{_END}{KEEP}{_WS}*[{_CLOSE_Q}](?!{KEEP}))(?={_WS}*[{_CASELESS}{_OPENS}])", f"$1{SEP}")
 
 
 def _pieces(text: Column) -> Column:
@@ -198,10 +213,10 @@ def sentence_units(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Positions are 0-based, count code points of the stored text, and end_pos is exclusive; a unit has no white space at
     either end. A heading is a unit without its marks; paragraphs and list items, without bullets and numbers, are divided
     into sentences with their closing marks, quotes and brackets. Front matter, fenced code, tables and rules are no units.
-    Text within a pair of quotes or brackets is not divided. Null, empty and blank texts have no units; equal texts have
+    Text within a pair of quotes or brackets is not divided, nor within a pair around pairs of its kind (two deep). Null, empty and blank texts have no units; equal texts have
     equal ones; other columns are ignored.
     """
-    placeholders = "".join(_PRIVATE[4:])
+    placeholders = "".join(_PRIVATE[5:])
     restored = "." + "".join(p[0] for p in _PAIRS) + "".join(p[1] for p in _PAIRS)
     marks = SEP + VOID + HEAD + KEEP
     whole = F.col("text_")

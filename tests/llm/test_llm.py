@@ -48,6 +48,19 @@ def test_abbreviations_that_may_end_a_sentence(spark):
     assert dict(zip(texts, units(spark, list(texts)))) == texts
 
 
+def test_marks_far_from_their_script(spark):
+    many = "Το κείμενο " + "12345 " * 60
+    texts = {
+        f"{many}; Άλλο; Τέλος.": [f"{many};", "Άλλο;", "Τέλος."],
+        f"Ναι;{' ' * 20}Όχι: a;b; γ; x": ["Ναι;", "Όχι: a;b;", "γ;", "x"],
+        "English; only one. Then more; here.": ["English; only one.", "Then more; here."],
+        "本当" + "!" * 15 + "次です。": ["本当" + "!" * 15, "次です。"],
+        "It ran (see A. (B is one.) C. Then (D.) E!) and ended. Next.": ["It ran (see A. (B is one.) C. Then (D.) E!) and ended.", "Next."],
+        "ดัชนี" + " " * 15 + "เอกสาร": ["ดัชนี", "เอกสาร"],
+    }
+    assert dict(zip(texts, units(spark, list(texts)))) == texts
+
+
 def test_blocks_after_a_byte_order_mark(spark):
     texts = {
         "\ufeff```\ncode. Here\n```\nText one. Text two.": ["Text one.", "Text two."],
