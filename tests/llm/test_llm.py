@@ -162,14 +162,45 @@ def test_mix_reaches_shares(spark):
     assert {x.doc_id for x in chosen.collect()} == {x.doc_id for x in mixing.mix(df.repartition(7), targets, total)[0].collect()}
 
 
-def test_recognizer_on_held_out_rows():
-    field = pii.trained()
-    rows = pii_training.labelled_rows(300, seed=1234)
+def quality(field, rows):
     right = found = wanted = 0
     for (text, gold), got in zip(rows, field.entities([t for t, _ in rows]), strict=True):
         a, b = set(pii.checked(text, gold)), set(pii.checked(text, got))
         right, found, wanted = right + len(a & b), found + len(b), wanted + len(a)
-    assert right / found > 0.95 and right / wanted > 0.93
+    return right / found, right / wanted
+
+
+def test_recognizer_on_frames_it_has_not_seen(tmp_path):
+    frames = [*pii_training.FRAMES, *pii_training.PLAIN]
+    random.Random(1).shuffle(frames)
+    field = pii.train(pii_training.labelled_rows(1200, 7, [f for i, f in enumerate(frames) if i % 4]), rounds=70)
+    precision, recall = quality(field, pii_training.labelled_rows(300, 99, frames[::4]))
+    assert precision > 0.85 and recall > 0.8
+    pii.save(field, str(tmp_path / "field.npz"))
+    again = pii.load(str(tmp_path / "field.npz"))
+    texts = [t for t, _ in pii_training.labelled_rows(50, 3)]
+    assert again.entities(texts) == field.entities(texts)
+
+
+def test_recognizer_on_held_out_rows():
+    precision, recall = quality(pii.trained(), pii_training.labelled_rows(300, seed=1234))
+    assert precision > 0.95 and recall > 0.93
+
+
+def test_sequences_of_any_length():
+    texts = ["", " ", "Call +1 202 555 0143 now.", "x " * 3000 + "write to a.b@example.org", "y"]
+    got = [pii.checked(t, e) for t, e in zip(texts, pii.trained().entities(texts), strict=True)]
+    assert got[0] == got[1] == got[4] == [] and [(2, 5, 20)] == [(2, a, b) for a, b, k in got[2] if k == "PHONE"]
+    assert [(6009, len(texts[3]), "EMAIL")] == got[3]
+
+
+def test_addresses_of_mail_of_any_length():
+    local, host = "a" * 120 + "." + "b" * 90, ".".join(["part" * 10] * 5) + ".example.org"
+    for sign in ("@", " (at) ", "＠"):
+        text = f"Write to {local}{sign}{host}, please."
+        assert pii.mail_spans(text) == [(9, len(text) - 9)]
+        assert pii.checked(text, [(100, 300, "EMAIL")]) == [(9, len(text) - 9, "EMAIL")]
+    assert pii.mail_spans("a @ b, user@localhost, @here, x" * 50) == []
 
 
 def test_identity_numbers():
