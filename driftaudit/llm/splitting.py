@@ -1,7 +1,8 @@
 """Chunks whose elements hold more tokens than the limit, as pieces below it.
 
 Method: balanced targets. The least number of pieces gives equal-length targets; each target moves to the strongest
-boundary nearby (element end, sentence end, clause or line end); when a piece breaks the limit, one more piece is planned.
+boundary nearby (element end, sentence end, clause or line end), within what the limit allows; where that leaves no good
+boundary, one more piece is planned.
 
 Sizes come first, without texts: only the elements of oversized chunks have their texts shuffled.
 """
@@ -16,8 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftaudit.functions.normalize import norm_id
-from driftaudit.session import lookup
+from driftaudit.functions.normalize import norm_id, wide_hash
+from driftaudit.session import BROADCAST_ROWS, lookup
 
 _SPACE = r" \t\n\x0b\x0c\r\x85\xa0                　"
 _TOKEN = f"[^{_SPACE}]+"
@@ -32,33 +33,45 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(_TOKEN)), F.lit(0))
 
 
+def _end(strength: np.ndarray, at: int, target: int, reach: int, limit: int, overlap: int, least: int) -> int:
+    """Where the piece that begins at `at` ends: at the strongest boundary near its target, the nearest of equals.
+
+    First near the target, where the rest still fits into the least count of pieces (from `least` on). If no element or
+    sentence ends there, further before the target, then anywhere in the second half of the piece, at the price of one
+    piece more; and where none ends at all, at the best that is near.
+    """
+    hi = min(len(strength) - 1, target + reach, at + limit)
+    first = max(at + overlap + 1, at + 1)
+    near: tuple[int, int] | None = None
+    for lo in (max(first, target - reach, least), max(first, target - reach), max(first, at + limit // 2)):
+        part = strength[lo - 1 : hi]
+        if not len(part):
+            continue
+        best = int(part.max())
+        if best > 0 and (near is None or best > near[0]):
+            places = np.flatnonzero(part == best) + lo
+            near = best, int(places[np.abs(places - target).argmin()])
+        if near and near[0] >= SENTENCE:
+            break
+    return near[1] if near else min(target, hi)
+
+
 def plan(strength: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int]]:
     """(start, end) of the pieces of `len(strength)` tokens; strength[i] is that of the boundary after token i.
 
     Each piece has at most `limit` tokens, and each but the first begins `overlap` tokens before the end of the one before.
+    The targets of what is left are worked out anew after each end, so one end that is off does not move the others, and
+    a text takes time in proportion to its length.
     """
-    n = len(strength)
-    if n <= limit:
-        return [(0, n)] if n else []
-    k = -(-(n - overlap) // (limit - overlap))
-    while True:
-        step = (n - overlap) / k
-        reach = int(step // 5)
-        ends = []
-        for j in range(1, k):
-            target = round(overlap + j * step)
-            lo, hi = max(1, target - reach), min(n - 1, target + reach)
-            near = strength[lo - 1 : hi]
-            best = near.max()
-            at = np.flatnonzero(near == best) + lo
-            ends.append(int(at[np.abs(at - target).argmin()]) if best > 0 else target)
-        starts = [0, *(e - overlap for e in ends)]
-        ends.append(n)
-        if all(0 < e - s <= limit for s, e in zip(starts, ends, strict=True)) and all(a < b for a, b in zip(starts, starts[1:])) and all(a < b for a, b in zip(ends, ends[1:])):
-            return list(zip(starts, ends, strict=True))
-        if step <= 1:  # the overlap leaves no room to move a boundary: plain steps
-            return [(s, min(n, s + limit)) for s in range(0, max(1, n - overlap), limit - overlap)]
-        k += 1
+    n, step_most, at = len(strength), limit - overlap, 0
+    out: list[tuple[int, int]] = []
+    while n - at > limit:
+        k = -(-(n - at - overlap) // step_most)  # the least count for what is left
+        step = (n - at - overlap) / k
+        end = _end(strength, at, min(at + limit, at + overlap + round(step)), int(step // 5), limit, overlap, n - (k - 1) * step_most)
+        out.append((at, end))
+        at = end - overlap
+    return [*out, (at, n)] if n else []
 
 
 def cut_elements(elements: list[tuple[str, int | None]], limit: int, overlap: int) -> list[dict]:
@@ -84,13 +97,14 @@ def cut_elements(elements: list[tuple[str, int | None]], limit: int, overlap: in
 SCHEMA = "chunk_id string, piece_no int, n_pieces int, token_start int, token_end int, page_start int, page_end int, boundary int, piece string"
 
 
-def split_oversized(chunks: DataFrame, elements: DataFrame, limit: int = 512, overlap: int = 48) -> DataFrame:
+def split_oversized(chunks: DataFrame, elements: DataFrame, limit: int = 512, overlap: int = 48, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The pieces of every chunk that holds more than `limit` tokens (SCHEMA).
 
     A chunk's tokens are those of the elements it names, in its order, each once; the texts decide, not token_count. Of an
     element delivered more than once the longest text counts. A chunk delivered twice with the same elements is one;
     with other elements, each list is judged by itself. `page_start` and `page_end` are those of the piece's elements,
-    else those of the chunk, put in order. `boundary` is the strength of the piece's end: 3 element, 2 sentence, 1 clause
+    else those of the chunk, put in order. Lookups of up to `broadcast_rows` rows, all of them two 64-bit hashes, are
+    broadcast, larger ones joined by shuffle; the pieces are the same. `boundary` is the strength of the piece's end: 3 element, 2 sentence, 1 clause
     or line, 0 none. Chunks without id or elements, element ids without text and empty tables yield nothing.
     """
     if not 0 <= overlap < limit:
@@ -103,11 +117,12 @@ def split_oversized(chunks: DataFrame, elements: DataFrame, limit: int = 512, ov
     sized = elements.where("text is not null").select(norm_id(F.col("id")).alias("e"), token_count(F.col("text")).alias("n"))
     sizes = sized.groupBy("e").agg(F.max("n").alias("n"))
     total = lists.select("k1", "k2", F.explode("ids").alias("e")).join(sizes, "e").groupBy("k1", "k2").agg(F.sum("n").alias("n"))
-    big = lists.join(lookup(total.where(F.col("n") > limit).select("k1", "k2")), ["k1", "k2"], "left_semi")
+    big = lists.join(lookup(total.where(F.col("n") > limit).select("k1", "k2"), broadcast_rows), ["k1", "k2"], "left_semi")
     refs = big.select("k1", "k2", "chunk_id", "first", "last", F.posexplode("ids").alias("pos", "e"))
-    needed = lookup(refs.select("e").distinct())
-    bodies = elements.where("text is not null").select(norm_id(F.col("id")).alias("e"), "text", "page").join(needed, "e", "left_semi")
-    bodies = bodies.groupBy("e").agg(F.max_by(F.struct("text", "page"), F.struct(token_count(F.col("text")).alias("n"), "text")).alias("body"))
+    h1, h2 = (h.alias(f"h{i}") for i, h in enumerate(wide_hash(F.col("e")), 1))
+    needed = lookup(refs.select(h1, h2).distinct(), broadcast_rows)
+    bodies = elements.where("text is not null").select(norm_id(F.col("id")).alias("e"), "text", "page").select("*", h1, h2)
+    bodies = bodies.join(needed, ["h1", "h2"], "left_semi").groupBy("e").agg(F.max_by(F.struct("text", "page"), F.struct(token_count(F.col("text")).alias("n"), "text")).alias("body"))
     whole = refs.join(bodies, "e").groupBy("k1", "k2").agg(
         F.first("chunk_id").alias("chunk_id"), F.min("first").alias("first"), F.max("last").alias("last"),
         F.sort_array(F.collect_list(F.struct("pos", "body.text", "body.page"))).alias("parts"),
