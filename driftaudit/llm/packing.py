@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftaudit.llm.tokens import TOKENIZER, with_tokens
+from driftaudit.llm.tokens import with_tokens
 
 
 class Pool:
@@ -84,7 +84,7 @@ def best_two_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def pack(docs: DataFrame, capacity: int, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, group_items: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, capacity: int, tokenizer: str, key: str = "doc_id", text: str = "text", group_items: int = 20_000) -> DataFrame:
     """(container_id, <key>, piece_no, token_start, n_tokens): every document, in containers of at most `capacity` tokens.
 
     A document is in one container whole, unless it is larger than the capacity: then its full pieces are containers of
@@ -94,13 +94,13 @@ def pack(docs: DataFrame, capacity: int, key: str = "doc_id", text: str = "text"
     if capacity < 1:
         raise ValueError("the capacity must be positive")
     groups = max(1, -(-docs.count() // group_items))
-    sized = with_tokens(docs, text, {key: F.col(key)}, tokenizer)
+    sized = with_tokens(docs, text, {key: F.col(key), "row_": F.monotonically_increasing_id()}, tokenizer)
     n, cap = F.col("n_tokens"), F.lit(capacity)
     full = F.floor(n / cap).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), F.greatest(full - F.when(n % cap == 0, 1).otherwise(0), F.lit(0))), lambda i: F.struct(i.cast("int").alias("piece_no"), F.least(cap, n - i * cap).cast("bigint").alias("n_tokens")))
-    cut = sized.select(key, F.inline(pieces)).withColumn("token_start", (F.col("piece_no") * cap).cast("bigint"))
+    cut = sized.select(key, "row_", F.inline(pieces)).withColumn("token_start", (F.col("piece_no") * cap).cast("bigint"))
     alone = cut.where((F.col("n_tokens") == cap) | (F.col("n_tokens") == 0)).select(
-        F.when(F.col("n_tokens") == 0, "empty").otherwise(F.concat(F.lit("full-"), F.col(key).cast("string"), F.lit("-"), F.col("piece_no"))).alias("container_id"), key, "piece_no", "token_start", "n_tokens"
+        F.when(F.col("n_tokens") == 0, "empty").otherwise(F.concat(F.lit("full-"), F.col(key).cast("string"), F.lit("-"), F.col("piece_no"), F.lit("-"), F.col("row_"))).alias("container_id"), key, "piece_no", "token_start", "n_tokens"
     )
     rest = cut.where((F.col("n_tokens") < cap) & (F.col("n_tokens") > 0)).withColumn("group", F.pmod(F.xxhash64(key, "piece_no"), F.lit(groups)).cast("int"))
     kind = dict(docs.dtypes)[key]

@@ -11,6 +11,10 @@ from driftaudit.llm import mixing, packing, pii, sentences, splitting
 from driftaudit.plans.tables import Tables
 
 
+#: The vocabulary that documents are measured with in problems 7 and 8: byte-level, for many languages. A parameter of the operators.
+TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
+
 def _limits(t: Tables) -> dict[str, int]:
     return {r.name: r.tokens for r in t.size_limits.collect()}  # a table of four settings
 
@@ -27,7 +31,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    return packing.pack(t.documents, _limits(t)["container_capacity"])
+    return packing.pack(t.documents, _limits(t)["container_capacity"], TOKENIZER)
 
 
 def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,7 +41,7 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
 def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     t = Tables(spark, folder)
     total = _limits(t)["mix_total_per_thousand_documents"] * t.documents.count() / 1000
-    return mixing.mix(t.documents, t.mix_targets, total)
+    return mixing.mix(t.documents, t.mix_targets, total, TOKENIZER)
 
 
 def p8_selection(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,9 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A byte-level vocabulary for many languages, as ranks.
-TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: Fixed value: how byte-level vocabularies of this family cut a text before merging.
+#: Fixed value: how byte-level vocabularies of this family cut a text before merging. The same on every machine.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -22,15 +20,14 @@ def _encoder(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    try:
-        from public_tokenizers import PATTERN as pattern
-    except ImportError:
-        pattern = PATTERN
-    return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def with_tokens(docs: DataFrame, text: str, keep: dict, tokenizer: str = TOKENIZER, name: str = "n_tokens") -> DataFrame:
-    """The columns of `keep` (name: Column) and the number of tokens of `text`, 0 where it is null; whole texts count."""
+def with_tokens(docs: DataFrame, text: str, keep: dict, tokenizer: str, name: str = "n_tokens") -> DataFrame:
+    """The columns of `keep` (name: Column) and the number of tokens of `text`, 0 where it is null; whole texts count.
+
+    `tokenizer` is the path of a byte-level vocabulary as ranks, readable on every executor.
+    """
     slim = docs.select(*(c.alias(n) for n, c in keep.items()), F.col(text).alias("text_"))
     fields = [f for f in slim.schema if f.name != "text_"]
 

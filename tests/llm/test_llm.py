@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from driftaudit.llm import mixing, packing, pii, pii_training, sentences, splitting, tokens
+from driftaudit.llm import mixing, packing, pii, pii_training, queries, sentences, splitting, tokens
 
 TEXTS = {
     "Dr. A. B. Smith paid 3.5 % at 9 a.m. on Monday. He left, etc. The end.": ["Dr. A. B. Smith paid 3.5 % at 9 a.m. on Monday.", "He left, etc.", "The end."],
@@ -97,6 +97,16 @@ def test_plans_hold_the_limits(strength, limit, overlap):
     assert pieces[0][0] == 0 and pieces[-1][1] == len(strength)
     assert all(0 < b - a <= limit for a, b in pieces)
     assert all(a[1] - b[0] == overlap for a, b in zip(pieces, pieces[1:]))
+    assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(pieces, pieces[1:]))
+
+
+def test_plans_of_long_texts_have_few_pieces_more_than_the_least():
+    r = np.random.default_rng(5)
+    for n in (10_000, 200_000):
+        strength = r.choice([0, 1, 2, 3], size=n, p=[0.86, 0.08, 0.05, 0.01])
+        pieces = splitting.plan(strength, 512, 48)
+        assert len(pieces) <= 1.07 * -(-(n - 48) // (512 - 48)) + 1 and all(b - a <= 512 for a, b in pieces)
+        assert all(strength[b - 1] >= splitting.SENTENCE for _, b in pieces[:-1])
 
 
 def test_split_oversized(spark):
@@ -106,6 +116,7 @@ def test_split_oversized(spark):
     lists = [("c1", ["e1", "e2", "e1"]), ("C1 ", ["e1", "e2", "e1"]), ("c2", ["e1", "e1"]), ("c3", ["e4", "lost"]), ("c4", []), ("c5", None), (None, ["e1", "e2"])]
     chunks = spark.createDataFrame([(c, ("k", 9, 7, None, e, None, None, 0), 1, "z") for c, e in lists], f"id string, locator {loc}, token_count int, k1 string")
     rows = splitting.split_oversized(chunks, elements, 512, 48).orderBy("piece_no").collect()
+    assert splitting.split_oversized(chunks, elements, 512, 48, broadcast_rows=0).orderBy("piece_no").collect() == rows
     assert {r.chunk_id for r in rows} == {"c1"} and len(rows) == 2
     assert rows[0].boundary == splitting.ELEMENT and rows[0].token_end == 300 and rows[1].token_start == 252
     assert (rows[0].page_start, rows[0].page_end) == (2, 2) and (rows[1].page_start, rows[1].page_end) == (2, 2)
@@ -137,29 +148,61 @@ def test_pack_keeps_every_token(spark):
     r = random.Random(3)
     docs = [(i, " ".join(r.choice(["alpha", "beta", "gamma"]) for _ in range(n)), "z") for i, n in enumerate([5, 900, 40, 41, 39, 0, 60, 60])] + [(8, None, "z"), (0, "alpha", "z")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string, group string")
-    sized = tokens.with_tokens(df, "text", {"doc_id": F.col("doc_id")}).agg(F.sum("n_tokens").alias("n")).first().n
-    rows = packing.pack(df, 100).collect()
+    sized = tokens.with_tokens(df, "text", {"doc_id": F.col("doc_id")}, queries.TOKENIZER).agg(F.sum("n_tokens").alias("n")).first().n
+    rows = packing.pack(df, 100, queries.TOKENIZER).collect()
     loads = {}
     for x in rows:
         loads[x.container_id] = loads.get(x.container_id, 0) + x.n_tokens
     assert max(loads.values()) <= 100 and sum(loads.values()) == sized and {x.doc_id for x in rows} == set(range(9))
-    assert packing.pack(df.limit(0), 100).count() == 0
+    assert packing.pack(df.limit(0), 100, queries.TOKENIZER).count() == 0
 
 
-def test_mix_reaches_shares(spark):
+def test_containers_of_repeated_keys_have_names_of_their_own(spark):
+    long = " ".join(["alpha"] * 900)
+    df = spark.createDataFrame([(7, long), (7, long), (7, long)], "doc_id bigint, text string")
+    loads = {}
+    for x in packing.pack(df, 100, queries.TOKENIZER).collect():
+        loads[x.container_id] = loads.get(x.container_id, 0) + x.n_tokens
+    assert max(loads.values()) == 100
+
+
+def test_fill_takes_what_fits_and_what_comes_nearest():
+    sizes, taken = [50, 30, 9, 40, 8], mixing.filled
+    assert taken(sizes, 48) == [1, 2, 4] and taken(sizes, 80) == [0, 1] and taken(sizes, 3) == []
+    assert taken([60], 50) == [0] and taken([101], 50) == [] and taken([], 5) == []
+
+
+def mixture(spark):
     r = random.Random(5)
-    docs = [(i, " ".join(r.choice(["alpha", "beta", "gamma"]) for _ in range(r.randrange(5, 40))), "Big " if i % 3 else "small-one") for i in range(600)] + [(600, None, "big"), (601, "x", None), (602, "y", "other")]
+    docs = [(i, " ".join(r.choice(["alpha", "beta", "gamma"]) for _ in range(r.randrange(5, 40))), "Big " if i % 3 else "small-one") for i in range(600)] + [(600, None, "big"), (601, "x", None), (602, "y", "other"), (603, "alpha " * 900, "small_one")]
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id bigint, text string, source string, bucket int")
-    targets = spark.createDataFrame([("big", 0.5, 1), ("small_one", 0.45, 3), ("absent", 0.05, 2), ("nothing", 0.0, 1)], "source string, target_share double, max_repeats int")
-    supply = {s: n for s, n in tokens.with_tokens(df, "text", {"s": mixing.source_name(F.col("source"))}).groupBy("s").sum("n_tokens").collect()}
+    return df, spark.createDataFrame([("big", 0.5, 1), ("small_one", 0.45, 3), ("absent", 0.05, 2), ("nothing", 0.0, 1)], "source string, target_share double, max_repeats int")
+
+
+def test_mix_reaches_shares(spark):
+    df, targets = mixture(spark)
+    supply = {s: n for s, n in tokens.with_tokens(df, "text", {"s": mixing.source_name(F.col("source"))}, queries.TOKENIZER).groupBy("s").sum("n_tokens").collect()}
     total = supply["big"] * 1.2
-    chosen, report = mixing.mix(df, targets, total)
-    got = {x.source: x for x in report.collect()}
-    assert 0 <= total * 0.5 - got["big"].chosen_tokens < 200 and got["absent"].chosen_tokens == 0
-    assert got["small_one"].chosen_tokens <= total * 0.45 and got["small_one"].most_times <= 3
-    assert total * 0.45 - got["small_one"].chosen_tokens < 200 or got["small_one"].most_times == 3
-    assert sum(x.actual_share for x in got.values()) == pytest.approx(1)
-    assert {x.doc_id for x in chosen.collect()} == {x.doc_id for x in mixing.mix(df.repartition(7), targets, total)[0].collect()}
+    for buckets in (4096, 3):
+        chosen, report = mixing.mix(df, targets, total, queries.TOKENIZER, buckets=buckets)
+        got = {x.source: x for x in report.collect()}
+        assert abs(total * 0.5 - got["big"].chosen_tokens) < 20 and got["absent"].chosen_tokens == 0
+        assert got["small_one"].most_times <= 3 and abs(total * 0.45 - got["small_one"].chosen_tokens) < 20
+        assert sum(x.actual_share for x in got.values()) == pytest.approx(1)
+        assert sum(x.n_tokens * x.n_times for x in chosen.collect()) == sum(x.chosen_tokens for x in got.values())
+    one, two = ({tuple(x) for x in mixing.mix(d, targets, total, queries.TOKENIZER)[0].collect()} for d in (df, df.repartition(7)))
+    assert one == two and len(one) == len({x[0] for x in one})
+    assert mixing.mix(df.limit(0), targets, total, queries.TOKENIZER)[0].count() == 0
+
+
+def test_mix_begins_with_the_smallest_keys(spark):
+    df, targets = mixture(spark)
+    chosen, _ = mixing.mix(df, targets, 4000, queries.TOKENIZER)
+    draws = df.select("doc_id", mixing.source_name(F.col("source")).alias("source"), mixing.sampling_key(F.col("doc_id"), mixing.quality_weight(F.col("text")), 11).alias("draw")).where("source = 'big' and text is not null")
+    taken = [x.doc_id for x in chosen.where("source = 'big'").collect()]
+    order = [x.doc_id for x in draws.orderBy("draw").collect()]
+    prefix = next(i for i, k in enumerate(order) if k not in taken)
+    assert len(taken) - prefix <= 4  # the few that fill what the prefix leaves
 
 
 def quality(field, rows):
