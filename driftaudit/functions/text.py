@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftaudit.functions.ids import let
+
 TOKEN = r"[^\s\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
@@ -29,6 +31,12 @@ def with_normalized(df: DataFrame, text: str, name: str) -> DataFrame:
     return d.where(~hard).unionByName(d.where(hard).withColumn(name, _nfc(F.col(name))))
 
 
+def with_text_hash(df: DataFrame, text: str, name: str) -> DataFrame:
+    """`df` with SHA-256 of the text in normal form: NFC, plain line ends, nothing trimmed."""
+    kept = df.columns
+    return with_normalized(df, text, "normal_").select(*kept, F.sha2(F.col("normal_"), 256).alias(name))
+
+
 def token_count(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(TOKEN)), F.lit(0))
 
@@ -49,17 +57,48 @@ def finite(v: Column, dimension: int | None = None) -> Column:
     return ok & (F.size(v) == dimension) if dimension else ok
 
 
-def hash_embedding(text: Column, seed: str, dimension: int) -> Column:
-    """Deterministic vector in [-1, 1]: a SHA-256 counter stream, four bytes per number."""
+def hash_embedding(text: Column, seed: int, dimension: int) -> Column:
+    """Deterministic vector in [-1, 1]: a SHA-256 counter stream over `seed:text`, four bytes per number."""
     blocks = -(-dimension // 8)
 
     def block(i: Column) -> Column:
-        h = F.sha2(F.concat(F.encode(F.concat(F.lit(seed), F.lit("\x1f"), text), "utf-8"), F.unhex(F.lpad(F.hex(i), 8, "0"))), 256)
-        return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.conv(F.substring(h, k * 8 + 1, F.lit(8)), 16, 10).cast("double") / 4294967295.0 * 2.0 - 1.0)
+        h = F.sha2(F.concat(F.encode(F.concat(F.lit(f"{seed}:"), text), "utf-8"), F.unhex(F.lpad(F.hex(i), 8, "0"))), 256)
+        return let(h, lambda x: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.conv(F.substring(x, k * 8 + 1, F.lit(8)), 16, 10).cast("double") / 4294967295.0 * 2.0 - 1.0))
 
     return F.slice(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), block)), 1, dimension)
 
 
+def as_float32(v: Column) -> Column:
+    """The doubles that the nearest 32-bit numbers are."""
+    return v.cast("array<float>").cast("array<double>")
+
+
+def vector_literal(c: Column) -> Column:
+    """`[0.1,0.2]`, or without brackets, as doubles; empty text is the empty vector, and null comes out if any part is no number."""
+    inner = F.trim(c)
+    inner = F.when(inner.startswith("[") & inner.endswith("]"), F.substring(inner, F.lit(2), F.length(inner) - 2)).otherwise(inner)
+    parts = F.transform(F.split(inner, ","), lambda x: F.trim(x).try_cast("double"))
+    return F.when(inner == "", F.array().cast("array<double>")).when(~F.exists(parts, lambda x: x.isNull()), parts)
+
+
+def starts(lengths: Column) -> Column:
+    """Running sums before each element, in runs of 256 so that long lists don't take quadratic time."""
+    run = 256
+
+    def total(a: Column) -> Column:
+        return F.aggregate(a, F.lit(0), lambda acc, x: acc + x)
+
+    def of(i: Column) -> Column:
+        return F.floor(i / run).cast("int")
+
+    def place(lens: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), of(F.size(lens) - 1)), lambda g: total(F.slice(lens, g * run + 1, F.lit(run))))
+        before = let(sums, lambda x: F.transform(x, lambda _, g: total(F.slice(x, F.lit(1), g))))
+        return let(before, lambda b: F.transform(lens, lambda _, i: F.get(b, of(i)) + total(F.slice(lens, of(i) * run + 1, i % run))))
+
+    return let(lengths, place)
+
+
 @F.pandas_udf(T.StringType())
 def vector_hash_f32(s: pd.Series) -> pd.Series:
     """SHA-256 of the little-endian float32 bytes."""

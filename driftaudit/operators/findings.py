@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,23 +12,40 @@ from driftaudit.functions.ids import content_id, json_string
 
 #: All finding codes with their default severity.
 SEVERITIES = {
-    "STALE_SOURCE": "high", "STALE_PARSE": "high", "STALE_CHUNKING": "high", "MISSING_IN_INDEX": "high", "ORPHAN_IN_INDEX": "high", "DUPLICATE_POINT_ID": "critical", "DUPLICATE_CONTENT": "medium",
+    "STALE_SOURCE": "high", "STALE_PARSE": "medium", "STALE_CHUNKING": "high", "MISSING_IN_INDEX": "high", "ORPHAN_IN_INDEX": "high", "DUPLICATE_POINT_ID": "critical", "DUPLICATE_CONTENT": "medium",
     "PAYLOAD_DRIFT": "medium", "SOURCE_METADATA_MISSING": "medium", "EMBEDDING_DIMENSION_MISMATCH": "critical", "EMBEDDING_MODEL_MISMATCH": "high", "VECTOR_HASH_MISMATCH": "high", "TENANT_MISSING": "critical",
     "TENANT_MISMATCH": "critical", "ACL_MISSING": "critical", "ACL_BROADER_THAN_SOURCE": "critical", "ACL_MISMATCH": "high", "PII_POLICY_VIOLATION": "high", "LICENSE_POLICY_VIOLATION": "high", "LICENSE_UNKNOWN": "medium",
     "MANIFEST_INCOMPLETE": "high", "SNAPSHOT_INCOMPLETE": "high", "TARGET_SCHEMA_DRIFT": "high", "UNVERIFIABLE_POINT": "medium",
 }
-RANKS = {"info": 0, "low": 1, "medium": 2, "high": 3, "critical": 4}
+#: Codes whose default only a stated reason may lower.
+CRITICAL = tuple(c for c, s in SEVERITIES.items() if s == "critical")
+#: The action that a plan names for a code, and whether it destroys something; any other code asks for a review.
 ACTIONS = {
-    "MISSING_IN_INDEX": ("reindex", False), "ORPHAN_IN_INDEX": ("delete", True), "DUPLICATE_POINT_ID": ("deduplicate", True), "DUPLICATE_CONTENT": ("deduplicate", True), "STALE_SOURCE": ("reindex", False), "STALE_CHUNKING": ("reindex", False),
-    "PAYLOAD_DRIFT": ("update_payload", False), "ACL_MISSING": ("update_acl", False), "ACL_BROADER_THAN_SOURCE": ("update_acl", False), "ACL_MISMATCH": ("update_acl", False), "TENANT_MISSING": ("update_tenant", False), "TENANT_MISMATCH": ("update_tenant", False),
-    "EMBEDDING_DIMENSION_MISMATCH": ("reembed", False), "VECTOR_HASH_MISMATCH": ("reembed", False),
-}
+    "reindex_source": (False, ["MISSING_IN_INDEX", "STALE_SOURCE", "STALE_PARSE", "STALE_CHUNKING", "EMBEDDING_MODEL_MISMATCH"]),
+    "delete_point_candidate": (True, ["ORPHAN_IN_INDEX", "DUPLICATE_POINT_ID", "DUPLICATE_CONTENT"]),
+    "update_payload_candidate": (False, ["PAYLOAD_DRIFT", "ACL_MISMATCH", "ACL_MISSING", "ACL_BROADER_THAN_SOURCE", "TENANT_MISMATCH", "TENANT_MISSING"]),
+    "full_rebuild_required": (True, ["EMBEDDING_DIMENSION_MISMATCH", "TARGET_SCHEMA_DRIFT", "MANIFEST_INCOMPLETE"]),
+}
+REVIEW = "review_required"
+CAUTIONS = {
+    "delete_point_candidate": "What is deleted from a live target is gone: look at every candidate first. Nothing here deletes.",
+    "full_rebuild_required": "No change of single points can mend this: the target has to be filled anew from a manifest that fits.",
+}
 
 
 def severity_of(code: Column) -> Column:
     return reduce(lambda acc, kv: acc.when(code == kv[0], kv[1]), list(SEVERITIES.items())[1:], F.when(code == "STALE_SOURCE", "high"))
 
 
+def override(code: str, severity: str, reason: str | None = None) -> str:
+    """A severity other than a code's default; that of a critical code is lowered only for a reason."""
+    if severity not in ("low", "medium", "high", "critical"):
+        raise ValueError(f"no severity: {severity}")
+    if code in CRITICAL and severity != "critical" and not reason:
+        raise ValueError(f"{code} is critical; {severity} needs a reason")
+    return severity
+
+
 def _hit(cond: Column, code: str, name: str) -> Column:
     return F.when(cond, F.struct(F.lit(code).alias("code"), F.lit(name).alias("field")))
 
@@ -113,17 +129,49 @@ def with_current_version(rows: DataFrame, sources: DataFrame, source_id: str) ->
     return rows.join(current, F.col(source_id) == F.col("cv_id"), "left").drop("cv_id")
 
 
-def all_findings(matched: DataFrame, duplicates: DataFrame, sources: DataFrame, target: str, scope: str) -> DataFrame:
-    """(fingerprint, code, severity, field, subject_id, point_key, match_level) of a cascade's outcome."""
+COLUMNS = ["code", "field", "subject_id", "point_key", "match_level"]
+
+
+def _other(spark, code: str, subject: str, field: str) -> DataFrame:
+    """A finding on the run as a whole."""
+    return spark.createDataFrame([(code, field, subject)], "code string, field string, subject_id string").select("code", "field", "subject_id", F.lit(None).cast("string").alias("point_key"), F.lit(None).cast("int").alias("match_level"))
+
+
+def manifest_findings(spark, build_id: str, status: str) -> list[DataFrame]:
+    """MANIFEST_INCOMPLETE unless the build is complete."""
+    return [] if status == "complete" else [_other(spark, "MANIFEST_INCOMPLETE", build_id, "build.status")]
+
+
+def snapshot_findings(spark, target: str, scope: str, completeness: str) -> list[DataFrame]:
+    """SNAPSHOT_INCOMPLETE if the scan says so of itself."""
+    return [_other(spark, "SNAPSHOT_INCOMPLETE", f"{target}:{scope}", "consistency.completeness")] if completeness == "incomplete" else []
+
+
+def preflight_findings(spark, target: str, scope: str, expected: set[int], present: set[int]) -> list[DataFrame]:
+    """EMBEDDING_DIMENSION_MISMATCH if both sides have dimensions and none in common."""
+    return [_other(spark, "EMBEDDING_DIMENSION_MISMATCH", f"{target}:{scope}", "dimension")] if expected and present and not expected & present else []
+
+
+def fingerprinted(rows: DataFrame, target: str, scope: str) -> DataFrame:
+    """`rows` (COLUMNS, and `severity` where it isn't the default) with fingerprint and severity."""
+    print_ = content_id("finding", json_string(F.col("code")), json_string(F.lit(target)), json_string(F.lit(scope)), json_string(F.col("subject_id")), json_string(F.col("field")))
+    severity = F.coalesce("severity", severity_of(F.col("code"))) if "severity" in rows.columns else severity_of(F.col("code"))
+    return rows.select(print_.alias("fingerprint"), "code", severity.alias("severity"), "field", "subject_id", "point_key", "match_level")
+
+
+def all_findings(matched: DataFrame, duplicates: DataFrame, sources: DataFrame, target: str, scope: str, more: Iterable[DataFrame] = ()) -> DataFrame:
+    """(fingerprint, code, severity, field, subject_id, point_key, match_level) of a cascade's outcome.
+
+    `more` are findings of other producers: on personal data, licences, the manifest, the snapshot.
+    """
     pairs = with_current_version(matched.where("match_level is not null"), sources, "e_source_id")
     found = pair_findings(pairs)
     missing = matched.where("match_level is null and e_ord is not null").select(F.col("e_binding_id").alias("subject_id"), F.col("e_point_key").alias("point_key"), F.lit(None).cast("int").alias("match_level"), F.lit("MISSING_IN_INDEX").alias("code"), F.lit("point_id").alias("field"))
     orphans = with_current_version(matched.where("match_level is null and o_ord is not null"), sources, "o_source_id")
     orphans = orphans.select(F.col("o_point_key").alias("subject_id"), F.col("o_point_key").alias("point_key"), F.lit(None).cast("int").alias("match_level"), orphan_code().alias("code"), F.lit("point_id").alias("field"))
     twice = duplicates.select(F.col("key").alias("subject_id"), "point_key", F.col("level").alias("match_level"), F.when(F.col("level") == 1, "DUPLICATE_POINT_ID").otherwise("DUPLICATE_CONTENT").alias("code"), F.element_at(F.array(*map(F.lit, ("point_id", "embedding_id", "chunk_id"))), F.col("level")).alias("field"))
-    rows = reduce(DataFrame.unionByName, [found, missing, orphans, twice])
-    print_ = content_id("finding", json_string(F.col("code")), json_string(F.lit(target)), json_string(F.lit(scope)), json_string(F.col("subject_id")), json_string(F.col("field")))
-    return rows.select(print_.alias("fingerprint"), "code", severity_of(F.col("code")).alias("severity"), "field", "subject_id", "point_key", "match_level")
+    rows = [x.select(*COLUMNS, F.lit(None).cast("string").alias("severity")) if "severity" not in x.columns else x.select(*COLUMNS, "severity") for x in (found, missing, orphans, twice, *more)]
+    return fingerprinted(reduce(DataFrame.unionByName, rows), target, scope)
 
 
 def ratios(matched: DataFrame, findings: DataFrame) -> DataFrame:
@@ -143,85 +191,41 @@ def ratios(matched: DataFrame, findings: DataFrame) -> DataFrame:
     )
 
 
-@dataclass
-class Policy:
-    """Requirements, gates and rules; unknown keys are errors."""
-
-    lineage_coverage_min: float | None = None
-    acl_compliance_min: float | None = None
-    stale_ratio_max: float | None = None
-    orphan_ratio_max: float | None = None
-    missing_ratio_max: float | None = None
-    fail_on_severity: tuple[str, ...] = ()
-    warn_on_severity: tuple[str, ...] = ()
-    rules: list[dict] = field(default_factory=list)
-
-    @classmethod
-    def load(cls, doc: dict) -> Policy:
-        unknown = set(doc) - set(cls.__dataclass_fields__)
-        if unknown:
-            raise ValueError(f"unknown policy keys: {sorted(unknown)}")
-        for rule in doc.get("rules", []):
-            bad = set(rule) - {"category", "taxonomy_codes", "comparator", "threshold", "verdict_on_violation"}
-            if bad:
-                raise ValueError(f"unknown rule keys: {sorted(bad)}")
-        return cls(**{k: tuple(v) if k.endswith("severity") else v for k, v in doc.items()})
-
-
-VERDICTS = ("FAIL", "INCONCLUSIVE", "WARN", "PASS")
-
+def action_of(code: Column) -> Column:
+    return reduce(lambda acc, kv: acc.when(code.isin(*kv[1][1]), kv[0]), ACTIONS.items(), F.when(F.lit(False), "")).otherwise(REVIEW)
 
-def evaluate(policy: Policy, ratio_row: DataFrame, findings: DataFrame) -> DataFrame:
-    """(rule, verdict), one row per rule that applies: metrics against limits, strictly; a null ratio is inconclusive for a floor and skips a ceiling."""
-    counts = findings.agg(*(F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in RANKS), *(F.count_if(F.col("code").isin(*r["taxonomy_codes"])).alias(f"rule_{i}") for i, r in enumerate(policy.rules)))
-    m = ratio_row.crossJoin(counts)  # one row each
-    out: list[Column] = []
 
-    def rule(name: str, verdict: Column) -> None:
-        out.append(F.struct(F.lit(name).alias("rule"), verdict.alias("verdict")))
-
-    for name in ("lineage_coverage", "acl_compliance"):
-        if (least := getattr(policy, f"{name}_min")) is not None:
-            rule(f"{name}_min", F.when(F.col(name).isNull(), "INCONCLUSIVE").when(F.col(name) < least, "FAIL").otherwise("PASS"))
-    for name in ("stale_ratio", "orphan_ratio", "missing_ratio"):
-        if (most := getattr(policy, f"{name}_max")) is not None:
-            rule(f"{name}_max", F.when(F.col(name) > most, "FAIL").when(F.col(name).isNotNull(), "PASS"))
-    for gate, verdict in (("fail", "FAIL"), ("warn", "WARN")):
-        for s in getattr(policy, f"{gate}_on_severity"):
-            rule(f"{gate}_on_{s}", F.when(F.col(f"n_{s}") > 0, verdict).otherwise("PASS"))
-    for i, r in enumerate(policy.rules):
-        n, limit = F.col(f"rule_{i}"), r.get("threshold") or 0
-        tests = {">": n > limit, ">=": n >= limit, "<": n < limit, "<=": n <= limit, "==": n == limit}
-        rule(f"rule_{i}", F.when(tests[r.get("comparator", ">=")], r.get("verdict_on_violation", "FAIL")).otherwise("PASS"))
-    return m.select(F.inline(F.array(*out))).where("verdict is not null")
-
-
-def verdict(rules: DataFrame) -> DataFrame:
-    """One row: the worst verdict, PASS without rules."""
-    rank = reduce(lambda acc, iv: acc.when(F.col("verdict") == iv[1], iv[0]), list(enumerate(VERDICTS))[1:], F.when(F.col("verdict") == "FAIL", 0))
-    return rules.agg(F.coalesce(F.min_by("verdict", rank), F.lit("PASS")).alias("verdict"))
-
-
-def action_of(code: Column) -> tuple[Column, Column]:
-    action = reduce(lambda acc, kv: acc.when(code == kv[0], kv[1][0]), ACTIONS.items(), F.when(F.lit(False), "")).otherwise("investigate")
-    return action, code.isin(*(k for k, (_, d) in ACTIONS.items() if d))
+def remediation_candidates(findings: DataFrame) -> DataFrame:
+    """(code, action, candidate), distinct: what a plan's actions are about, one row each. The candidate is the binding, else the point."""
+    return findings.select("code", action_of(F.col("code")).alias("action"), F.coalesce(F.nullif("subject_id", F.lit("")), "point_key").alias("candidate")).where("candidate is not null").distinct()
 
 
 def remediation_plan(findings: DataFrame, target: str, scope: str) -> DataFrame:
-    """(code, target, scope, action, destructive, n_candidates, candidates), candidates sorted and distinct."""
-    action, destructive = action_of(F.col("code"))
-    groups = findings.groupBy("code").agg(F.sort_array(F.collect_set("subject_id")).alias("candidates"))
-    return groups.select("code", F.lit(target).alias("target"), F.lit(scope).alias("scope"), action.alias("action"), destructive.alias("destructive"), F.size("candidates").cast("bigint").alias("n_candidates"), "candidates")
+    """(action, code, target, scope, destructive, n_findings, n_candidates, caution, rationale), one row per code.
+
+    The candidates themselves are rows of `remediation_candidates`: a code may have any number.
+    """
+    n = findings.groupBy("code").agg(F.count("*").alias("n_findings"))
+    found = remediation_candidates(findings).groupBy("code").agg(F.count("*").alias("n_candidates"))
+    action = F.col("action")
+    caution = reduce(lambda acc, kv: acc.when(action == kv[0], kv[1]), CAUTIONS.items(), F.when(F.lit(False), ""))
+    return n.join(found, "code", "left").withColumn("action", action_of(F.col("code"))).select(
+        "action", "code", F.lit(target).alias("target"), F.lit(scope).alias("scope"), action.isin(*(a for a, (d, _) in ACTIONS.items() if d)).alias("destructive"), "n_findings", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"),
+        caution.alias("caution"), F.concat(F.col("n_findings").cast("string"), F.lit(" findings of "), "code").alias("rationale"),
+    )
 
 
-#: Process exit codes of a reconciliation.
-EXIT_CODES = {"PASS": 0, "WARN": 0, "FAIL": 1, "INCONCLUSIVE": 2}
+def sink_rows(findings: DataFrame) -> DataFrame:
+    """Findings as a table keeps them: one per fingerprint, the last in order of match level (none last) and point."""
+    columns = [c for c in findings.columns if c != "fingerprint"]
+    order = F.struct(F.coalesce("match_level", F.lit(99)).alias("level"), F.coalesce("point_key", F.lit("")).alias("point"), F.coalesce("subject_id", F.lit("")).alias("subject"))
+    return findings.groupBy("fingerprint").agg(F.max_by(F.struct(*columns), order).alias("r")).select("fingerprint", "r.*")
 
 
 def ci_summary(ratio_row: dict, severities: dict[str, int], verdict: str) -> str:
     """Plain text for a log."""
     lines = [f"verdict: {verdict}", f"expected {ratio_row['expected']}, observed {ratio_row['observed']}, matched {ratio_row['matched']}"]
-    lines += [f"{s}: {severities[s]}" for s in sorted(severities, key=lambda s: -RANKS[s])]
+    lines += [f"{s}: {severities[s]}" for s in ("critical", "high", "medium", "low") if s in severities]
     return "\n".join(lines) + "\n"
 
 

@@ -122,14 +122,12 @@ def duplicate_keys(expected: DataFrame, observed: DataFrame, done: list | None =
     return reduce(DataFrame.unionByName, out)
 
 
-def duplicate_groups(expected: DataFrame, observed: DataFrame, done: list | None = None) -> DataFrame:
-    """(level, key, n, point_keys): the duplicate keys with the point keys of all their points, sorted, in one row each."""
+def duplicate_members(expected: DataFrame, observed: DataFrame, done: list | None = None) -> DataFrame:
+    """(level, key, ord, point_key): the points of the duplicate keys, one row each, however many share a key."""
     out = []
     for level, (e, o, _) in enumerate(done or rounds(expected, observed)):
         key = LEVELS[level]
-        points = o.select(F.col(key).alias("key"), "point_key").join(_shared(e, o, key).select("key"), "key", "left_semi")
-        groups = points.groupBy("key").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("point_key")).alias("point_keys"))
-        out.append(groups.select(F.lit(level + 1).alias("level"), "key", "n", "point_keys"))
+        out.append(o.select(F.col(key).alias("key"), "ord", "point_key").join(_shared(e, o, key).select("key"), "key", "left_semi").select(F.lit(level + 1).alias("level"), "key", "ord", "point_key"))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftaudit.operators import findings, matching
+from driftaudit.operators import policy as pol
 from driftaudit.plans.fixture import FIXTURE_SQL, IDS_SQL, SCOPE, TARGET, Fixture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,9 +95,16 @@ def q_orphan_classes(x: Fixture) -> DataFrame:
     return rows.select(F.col("o_point_key").alias("point_key"), findings.orphan_code().alias("code"))
 
 
-@query(_with("select lv as level, k as key, n, array_to_string(pks, '|') point_keys from dup"))
+@query(_with("select lv as level, k as key, n, pks[1] point_key from dup"))
 def q_duplicate_groups(x: Fixture) -> DataFrame:
-    return x.duplicates.select("level", "key", "n", F.array_join("point_keys", "|").alias("point_keys"))
+    return x.duplicates
+
+
+@query(_with("""select 1 as level, o.point_key as key, o.ord, o.point_key from observed o join dup on lv = 1 and k = o.point_key union all
+select 2, o.embedding_id, o.ord, o.point_key from ol1 o join dup on lv = 2 and k = o.embedding_id union all select 3, o.chunk_id, o.ord, o.point_key from ol2 o join dup on lv = 3 and k = o.chunk_id"""))
+def q_duplicate_members(x: Fixture) -> DataFrame:
+    """The points of the duplicate keys, a row each."""
+    return matching.duplicate_members(x.expected, x.observed, x.rounds)
 
 
 @query(_with("""select binding_id, point_key, level from (select e.binding_id, o.point_key, 'source_version_id' as level from
@@ -144,33 +152,68 @@ def q_ratios(x: Fixture) -> DataFrame:
 
 
 POLICY = {
-    "lineage_coverage_min": 0.5, "acl_compliance_min": 0.99, "stale_ratio_max": 0.05, "orphan_ratio_max": 0.5, "missing_ratio_max": 0.2, "fail_on_severity": ["critical"], "warn_on_severity": ["medium", "low"],
-    "rules": [{"category": "drift", "taxonomy_codes": ["PAYLOAD_DRIFT"], "comparator": ">", "threshold": 100000, "verdict_on_violation": "WARN"}, {"category": "identity", "taxonomy_codes": ["DUPLICATE_POINT_ID"], "comparator": ">=", "threshold": 1, "verdict_on_violation": "FAIL"}],
+    "version": 1, "name": "catalogue", "requirements": {"manifest_signature": "required", "full_snapshot": "required", "lineage_coverage_min": 0.5}, "findings": {"fail_on_severity": ["critical"], "warn_on_severity": ["medium", "low"]},
+    "licenses": {"unknown": "warn"}, "access": {"acl_required": True, "acl_compliance_min": 0.99}, "drift": {"stale_ratio_max": 0.05, "orphan_ratio_max": 0.5, "missing_ratio_max": 0.2},
+    "rules": [
+        {"category": "count", "taxonomy_codes": ["PAYLOAD_DRIFT"], "comparator": "gt", "threshold": 100000, "verdict_on_violation": "WARN"}, {"category": "acl", "taxonomy_codes": ["DUPLICATE_POINT_ID"], "comparator": "gte", "threshold": 1, "verdict_on_violation": "FAIL"},
+        {"category": "severity", "threshold": 2, "verdict_on_violation": "WARN"}, {"category": "severity", "taxonomy_codes": ["TENANT_MISMATCH", "TENANT_MISSING"], "comparator": "lt", "threshold": 1000000, "verdict_on_violation": "WARN"}, {"category": "count", "verdict_on_violation": "WARN"},
+    ],
 }
-_RULES = """rules as (select 'lineage_coverage_min' as "rule", case when lineage_coverage is null then 'INCONCLUSIVE' when lineage_coverage<0.5 then 'FAIL' else 'PASS' end verdict from ratios union all
-select 'acl_compliance_min', case when acl_compliance is null then 'INCONCLUSIVE' when acl_compliance<0.99 then 'FAIL' else 'PASS' end from ratios union all
-select 'stale_ratio_max', case when stale_ratio>0.05 then 'FAIL' when stale_ratio is not null then 'PASS' end from ratios union all select 'orphan_ratio_max', case when orphan_ratio>0.5 then 'FAIL' when orphan_ratio is not null then 'PASS' end from ratios union all
-select 'missing_ratio_max', case when missing_ratio>0.2 then 'FAIL' when missing_ratio is not null then 'PASS' end from ratios union all
-select 'fail_on_critical', case when count(*) filter (severity='critical')>0 then 'FAIL' else 'PASS' end from findings union all select 'warn_on_medium', case when count(*) filter (severity='medium')>0 then 'WARN' else 'PASS' end from findings union all
-select 'warn_on_low', case when count(*) filter (severity='low')>0 then 'WARN' else 'PASS' end from findings union all
-select 'rule_0', case when count(*) filter (code='PAYLOAD_DRIFT')>100000 then 'WARN' else 'PASS' end from findings union all select 'rule_1', case when count(*) filter (code='DUPLICATE_POINT_ID')>=1 then 'FAIL' else 'PASS' end from findings)"""
-
-
-@query(_with(f', {_RATIOS}, {_RULES} select "rule", verdict from rules where verdict is not null'))
+FACTS = pol.Facts(manifest_signed=True, snapshot_kind="full", completeness="incomplete")
+#: Rules as the document states them; a threshold on severity without codes is a rank and a count at once.
+_RULES = """n as (select count(*) filter (severity='critical') crit, count(*) filter (severity in ('medium','low')) warn, count(*) filter (code='LICENSE_UNKNOWN') unk, count(*) filter (code='PAYLOAD_DRIFT') drift, count(*) filter (code='DUPLICATE_POINT_ID') dup,
+  count(*) filter (severity in ('high','critical')) ranked, count(*) filter (code in ('TENANT_MISMATCH','TENANT_MISSING')) tenants, count(*) al from findings),
+rules as (select 'requirements.manifest_signature' as "rule", 'PASS' verdict union all select 'requirements.full_snapshot', 'FAIL' union all
+select 'requirements.lineage_coverage_min', case when lineage_coverage is null then 'INCONCLUSIVE' when lineage_coverage<0.5 then 'FAIL' else 'PASS' end from ratios union all
+select 'findings.fail_on_severity', case when crit>0 then 'FAIL' else 'PASS' end from n union all select 'findings.warn_on_severity', case when warn>0 then 'WARN' else 'PASS' end from n union all select 'licenses.unknown', case when unk>0 then 'WARN' else 'PASS' end from n union all
+select 'access.acl_compliance_min', case when acl_compliance is null then 'INCONCLUSIVE' when acl_compliance<0.99 then 'FAIL' else 'PASS' end from ratios union all
+select 'drift.stale_ratio_max', case when stale_ratio>0.05 then 'FAIL' when stale_ratio is not null then 'PASS' end from ratios union all select 'drift.orphan_ratio_max', case when orphan_ratio>0.5 then 'FAIL' when orphan_ratio is not null then 'PASS' end from ratios union all
+select 'drift.missing_ratio_max', case when missing_ratio>0.2 then 'FAIL' when missing_ratio is not null then 'PASS' end from ratios union all
+select 'rules[0].count', case when drift>100000 then 'WARN' else 'PASS' end from n union all select 'rules[1].acl', case when dup>=1 then 'FAIL' else 'PASS' end from n union all select 'rules[2].severity', case when ranked>=2 then 'WARN' else 'PASS' end from n union all
+select 'rules[3].severity', case when tenants<1000000 then 'WARN' else 'PASS' end from n union all select 'rules[4].count', case when al>=0 then 'WARN' else 'PASS' end from n)"""
+
+
+@query(_with(f', {_RATIOS}, {_RULES} select "rule", verdict, verdict = \'PASS\' passed from rules where verdict is not null'))
 def q_policy_rules(x: Fixture) -> DataFrame:
-    return findings.evaluate(findings.Policy.load(POLICY), findings.ratios(x.matched, x.findings), x.findings)
+    return pol.evaluate(pol.Policy.load(POLICY), findings.ratios(x.matched, x.findings), x.findings, FACTS).select("rule", "verdict", "passed")
 
 
 @query(_with(f", {_RATIOS}, {_RULES} select coalesce(min_by(verdict, case verdict when 'FAIL' then 0 when 'INCONCLUSIVE' then 1 when 'WARN' then 2 else 3 end),'PASS') verdict from rules where verdict is not null"))
 def q_policy_verdict(x: Fixture) -> DataFrame:
-    return findings.verdict(q_policy_rules(x))
+    return pol.verdict(q_policy_rules(x))
 
 
-@query(_with("""select code, 'primary' target, 'documents' scope, case when code in ('MISSING_IN_INDEX','STALE_SOURCE','STALE_CHUNKING') then 'reindex' when code='ORPHAN_IN_INDEX' then 'delete' when code in ('DUPLICATE_POINT_ID','DUPLICATE_CONTENT') then 'deduplicate' when code='PAYLOAD_DRIFT' then 'update_payload'
-when code like 'ACL%' then 'update_acl' when code like 'TENANT%' then 'update_tenant' when code in ('EMBEDDING_DIMENSION_MISMATCH','VECTOR_HASH_MISMATCH') then 'reembed' else 'investigate' end action,
-code in ('ORPHAN_IN_INDEX','DUPLICATE_POINT_ID','DUPLICATE_CONTENT') destructive, count(distinct subject_id) n_candidates, array_to_string(list_sort(list(distinct subject_id)),'|') candidates from findings group by code"""))
+# written from the specification of the plan: which codes are mended by what, not from the operator
+_ACTION = """case when code in ('MISSING_IN_INDEX','STALE_SOURCE','STALE_PARSE','STALE_CHUNKING','EMBEDDING_MODEL_MISMATCH') then 'reindex_source' when code in ('ORPHAN_IN_INDEX','DUPLICATE_POINT_ID','DUPLICATE_CONTENT') then 'delete_point_candidate'
+when code in ('PAYLOAD_DRIFT','ACL_MISMATCH','TENANT_MISMATCH','ACL_MISSING','TENANT_MISSING','ACL_BROADER_THAN_SOURCE') then 'update_payload_candidate' when code in ('EMBEDDING_DIMENSION_MISMATCH','TARGET_SCHEMA_DRIFT','MANIFEST_INCOMPLETE') then 'full_rebuild_required' else 'review_required' end"""
+
+
+@query(_with(f"""select {_ACTION} as "action", code, 'primary' target, 'documents' scope, {_ACTION} in ('delete_point_candidate','full_rebuild_required') destructive, count(*) n_findings, count(distinct subject_id) n_candidates from findings group by code"""))
 def q_remediation_plan(x: Fixture) -> DataFrame:
-    return findings.remediation_plan(x.findings, TARGET, SCOPE).withColumn("candidates", F.array_join("candidates", "|"))
+    return findings.remediation_plan(x.findings, TARGET, SCOPE).drop("caution", "rationale")
+
+
+@query(_with(f"""select distinct code, {_ACTION} as "action", subject_id candidate from findings"""))
+def q_remediation_candidates(x: Fixture) -> DataFrame:
+    return findings.remediation_candidates(x.findings)
+
+
+@query(_with("select severity, code, count(*) n from findings where code not in ('EMBEDDING_DIMENSION_MISMATCH') group by all union all select 'critical', 'EMBEDDING_DIMENSION_MISMATCH', count(*) from findings where code = 'EMBEDDING_DIMENSION_MISMATCH' union all select 'high', 'MANIFEST_INCOMPLETE', 1 union all select 'high', 'SNAPSHOT_INCOMPLETE', 1"))
+def q_reconcile_incomplete(x: Fixture) -> DataFrame:
+    """The whole run of an incomplete build against an incomplete scan: the findings on points, and one on each of the two."""
+    from driftaudit.operators.reconcile import Consistency, reconcile
+
+    run = reconcile(x.expected, x.observed, x.sources, TARGET, SCOPE, "bld_1", "incomplete", Consistency.probed("best_effort_live", 10, 11), {4, 8})
+    return run.findings.groupBy("severity", "code").agg(F.count("*").alias("n"))
+
+
+@query("select 'critical' severity, 'EMBEDDING_DIMENSION_MISMATCH' code, 'primary:documents' subject_id, 'dimension' field, 0::bigint expected, 0::bigint observed, null::double missing_ratio")
+def q_preflight(x: Fixture) -> DataFrame:
+    """A target whose vectors have dimensions that no expected point has: one finding, and nothing is read."""
+    from driftaudit.operators.reconcile import reconcile
+
+    run = reconcile(x.expected, x.observed, x.sources, TARGET, SCOPE, target_dimensions={1024})
+    return run.findings.crossJoin(run.ratios).select("severity", "code", "subject_id", "field", "expected", "observed", "missing_ratio")  # one row each
 
 
 @query(_with("select fingerprint, code, severity, subject_id from findings where severity = 'critical' order by fingerprint, subject_id limit 100 offset 50"))
@@ -185,11 +228,13 @@ def q_lineage_drilldown(x: Fixture) -> DataFrame:
     e = x.expected.select(F.col("binding_id").alias("subject_id"), "source_id", "chunk_id")
     top = x.findings.where("code = 'MISSING_IN_INDEX'").agg(F.max("subject_id").alias("subject_id"))  # one row
     one = e.join(F.broadcast(top), "subject_id").select(F.col("source_id").alias("s"), F.col("chunk_id").alias("c"))
-    hit = e.crossJoin(F.broadcast(one)).where("source_id = s or chunk_id = c").drop("s", "c")
-    return x.findings.join(hit, "subject_id").select("code", "subject_id", "source_id", "chunk_id")
+    # two joins by equality instead of one with `or`; what both find counts once
+    by_source = e.join(F.broadcast(one.select("s")), F.col("source_id") == F.col("s")).drop("s")
+    by_chunk = e.join(F.broadcast(one.select("c", F.col("s").alias("not_s"))), (F.col("chunk_id") == F.col("c")) & ~F.col("source_id").eqNullSafe(F.col("not_s"))).drop("c", "not_s")
+    return x.findings.join(by_source.unionByName(by_chunk), "subject_id").select("code", "subject_id", "source_id", "chunk_id")
 
 
-@query(_with("""select fingerprint, code, severity from (select *, row_number() over (partition by fingerprint order by severity, subject_id, match_level desc nulls last, point_key) rn from findings) where rn = 1"""))
+@query(_with("""select fingerprint, code, severity, field, subject_id, point_key, match_level from findings qualify row_number() over (partition by fingerprint order by coalesce(match_level, 99) desc, coalesce(point_key, '') desc, coalesce(subject_id, '') desc) = 1"""))
 def q_findings_sink(x: Fixture) -> DataFrame:
-    """Findings as the table sink keeps them: one per fingerprint."""
-    return x.findings.select("fingerprint", "code", "severity").dropDuplicates(["fingerprint"])
+    """Findings as the table sink keeps them: one per fingerprint, the last."""
+    return findings.sink_rows(x.findings).select("fingerprint", "code", "severity", "field", "subject_id", "point_key", "match_level")

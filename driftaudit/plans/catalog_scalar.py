@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftaudit.functions import checks, ids, text
-from driftaudit.operators import discovery
+from driftaudit.operators import access, discovery, recognizers
+from driftaudit.plans.fixture import b32
 from driftaudit.plans.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,26 +56,61 @@ def q_iban(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", s.alias("iban")).withColumn("ok", checks.iban_ok(F.col("iban")))
 
 
-_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: The six patterns for DuckDB, whose engine has no look-around: digits before and after are matched as guards and cut off.
+_SQL_PATTERNS = {
+    "EMAIL_ADDRESS": (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", 0, "true"),
+    "PHONE_NUMBER": (r"(?:^|\P{Nd})((?:\+\p{Nd}{1,3}[-.\s]?)?\(?\p{Nd}{3}\)?[-.\s]\p{Nd}{3}[-.\s]\p{Nd}{4})(?:\P{Nd}|$)", 1, "true"),
+    "CREDIT_CARD": (r"(?:^|\P{Nd})(\p{Nd}{4}[-\s]?\p{Nd}{4}[-\s]?\p{Nd}{4}[-\s]?\p{Nd}{1,7})(?:\P{Nd}|$)", 1, "luhn(d)"),
+    "US_SSN": (r"(?:^|\P{Nd})(\p{Nd}{3}-\p{Nd}{2}-\p{Nd}{4})(?:\P{Nd}|$)", 1, "length(d) = 9 and substr(d,1,3) not in ('000','666') and substr(d,1,1) <> '9' and substr(d,4,2) <> '00' and substr(d,6) <> '0000'"),
+    "TR_TCKN": (r"(?:^|\P{Nd})(\p{Nd}{11})(?:\P{Nd}|$)", 1, "substr(d,1,1) <> '0' and (((g[1]+g[3]+g[5]+g[7]+g[9])*7 - (g[2]+g[4]+g[6]+g[8])) % 10 + 10) % 10 = g[10] and list_sum(g[1:10]) % 10 = g[11]"),
+    "IBAN": (r"\b[A-Z]{2}\p{Nd}{2}(?:[ ]?[A-Z0-9]{4}){2,7}[ ]?[A-Z0-9]{1,4}\b", 0, "length(c) between 15 and 34 and list_reduce(list_prepend(0, list_transform(string_split(substr(c,5) || substr(c,1,4), ''), lambda x: strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', x) - 1)), lambda a, x: (a * case when x > 9 then 100 else 10 end + x) % 97) = 1"),
+}
+_LUHN = "length(d) between 13 and 19 and list_sum(list_transform(range(1, length(d) + 1), lambda i: case when i % 2 = 0 then case when substr(reverse(d), i, 1)::int > 4 then substr(reverse(d), i, 1)::int * 2 - 9 else substr(reverse(d), i, 1)::int * 2 end else substr(reverse(d), i, 1)::int end)) % 10 = 0"
+_CONFIDENCE = {"EMAIL_ADDRESS": 0.85, "PHONE_NUMBER": 0.5, "CREDIT_CARD": 0.9, "US_SSN": 0.75, "TR_TCKN": 0.9, "IBAN": 0.9}
 
 
-@query(f"select note_id, unnest(regexp_extract_all(coalesce(contact_email,'') || ' ' || coalesce(notes,'') || ' ' || coalesce(text,''), '{_EMAIL}')) as \"value\" from contact_rows")
+def _found_sql() -> str:
+    """v(note_id, field_name, entity_type, x): the values of each recognizer. Of values apart by one character guards would
+    take every other one, so the character is doubled first."""
+    fields = " union all ".join(f"select note_id, '{f}' field_name, {f} t from contact_rows where {f} is not null" for f in ("notes", "contact_email", "text"))
+    parts = []
+    for name, (pattern, group, ok) in _SQL_PATTERNS.items():
+        text = "t" if not group else "regexp_replace(t, '(\\P{Nd})', '\\1\\1', 'g')" if name == "TR_TCKN" else "t"
+        parts.append(f"select note_id, field_name, '{name}' entity_type, x from (select *, regexp_replace(x, '[^0-9]', '', 'g') d, replace(upper(x), ' ', '') c, list_transform(string_split(regexp_replace(x, '[^0-9]', '', 'g'), ''), lambda q: try_cast(q as int)) g from (select note_id, field_name, unnest(regexp_extract_all({text}, '{pattern}', {group})) x from f)) where {ok.replace('luhn(d)', _LUHN)}")
+    return f"f as ({fields}), v as materialized ({' union all '.join(parts)})"
+
+
+def _found(t: Tables) -> DataFrame:
+    return recognizers.values(t.contact_rows, "note_id", ["notes", "contact_email", "text"])
+
+
+@query(f'with {_found_sql()} select note_id, field_name, entity_type, x as "value" from v')
 def q_pii_values(t: Tables) -> DataFrame:
-    whole = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in ("contact_email", "notes", "text")))
-    return t.contact_rows.select("note_id", F.explode(F.regexp_extract_all(whole, F.lit(_EMAIL), F.lit(0))).alias("value"))
+    return _found(t).select("note_id", "field_name", "entity_type", "value")
 
 
-@query(f"""with v as (select note_id, unnest(regexp_extract_all(coalesce(contact_email,'') || ' ' || coalesce(notes,'') || ' ' || coalesce(text,''), '{_EMAIL}')) x from contact_rows)
-select note_id, x as "value", substr(x,1,2) || '***@' || substr(split_part(x,'@',2),1,2) || '***.' || regexp_extract(x, '[^.]*$') masked, case when length(x) <= 4 then repeat('*', length(x)) else repeat('*', length(x) - 4) || right(x, 4) end generic from v""")
+@query()
+def q_pii_positions(t: Tables) -> DataFrame:
+    """Findings with their places, in order of start, end and type."""
+    return _found(t).select("note_id", "field_name", "start", "end", "entity_type", "confidence")
+
+
+@query(f"""with {_found_sql()} select note_id, field_name, entity_type, x as "value", case when entity_type <> 'EMAIL_ADDRESS' then case when length(x) <= 4 then repeat('*', length(x)) else repeat('*', length(x) - 4) || right(x, 4) end
+else left(l, case when length(l) > 2 then 2 else 1 end) || '***@' || left(h, case when length(h) > 2 then 2 else 1 end) || '***' || substr(host, length(h) + 1) end masked from (select *, split_part(host, '.', 1) h from (select *, split_part(x, '@', 1) l, split_part(x, '@', 2) host from v))""")
 def q_pii_mask(t: Tables) -> DataFrame:
-    return q_pii_values(t).select("note_id", "value", checks.mask_email(F.col("value")).alias("masked"), checks.mask_generic(F.col("value")).alias("generic"))
+    return _found(t).select("note_id", "field_name", "entity_type", "value", recognizers.masked(F.col("entity_type"), F.col("value")).alias("masked"))
 
 
-@query(f"""with v as (select note_id, unnest(regexp_extract_all(coalesce(contact_email,'') || ' ' || coalesce(notes,'') || ' ' || coalesce(text,''), '{_EMAIL}')) x from contact_rows)
-select split_part(lower(x),'@',2) host, count(*) n, count(distinct lower(x)) n_distinct from v group by 1""")
+@query(f"with {_found_sql()} select entity_type, count(*) n, count(distinct x) n_distinct, count(distinct note_id) n_notes from v group by 1")
 def q_pii_counts(t: Tables) -> DataFrame:
-    v = q_pii_values(t).select(F.lower("value").alias("v"))
-    return v.groupBy(F.substring_index("v", "@", -1).alias("host")).agg(F.count("*").alias("n"), F.count_distinct("v").alias("n_distinct"))
+    return _found(t).groupBy("entity_type").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_distinct"), F.count_distinct("note_id").alias("n_notes"))
+
+
+@query(f"with {_found_sql()}, n as (select note_id, count(*) n, max(case entity_type {' '.join(f'when {chr(39)}{k}{chr(39)} then {c}' for k, c in _CONFIDENCE.items())} end)::double top, bool_or(entity_type in ('IBAN', 'US_SSN')) blocked from v where field_name = 'notes' group by 1) select c.note_id, case when n > 0 then 'findings_detected' else 'no_findings_detected' end status, coalesce(n, 0) n_findings, top, coalesce(blocked, false) blocked from contact_rows c left join n using (note_id)")
+def q_pii_assertions(t: Tables) -> DataFrame:
+    a = recognizers.assertions(t.contact_rows.select(F.col("note_id").cast("string").alias("note_id"), "notes"), "note_id", "notes", recognizers.ScanConfig(secret=_KEY))
+    top = F.array_max(F.transform("findings", lambda f: f["confidence"]))
+    return a.select(F.col("subject_ref").cast("bigint").alias("note_id"), "status", F.size("findings").cast("bigint").alias("n_findings"), top.alias("top"), recognizers.blocked(F.col("findings"), ["IBAN", "US_SSN"], 0.5).alias("blocked"))
 
 
 _KEY = b"audit-secret"
@@ -106,20 +142,50 @@ def q_acl_mask(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", F.array_join(checks.acl_masked(acl, _KEY), "|").alias("masked"))
 
 
-#: Rules of expected access by uri pattern, the first that matches holds; none means unknown, which is not empty.
-ACL_RULES = [("%/1%", ["GROUP:one"]), ("%5.txt", ["PUBLIC"]), ("%/2%.txt", ["GROUP:two", "ROLE:auditor"])]
+_DIRECT = "case when doc_id % 50 = 0 then ['ROLE:owner', 'PUBLIC', 'ROLE:owner']"
+
+
+def _uris(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.concat(F.lit("docs/"), "doc_id", F.lit(".txt")).alias("uri"))
+
 
+def _acl_rules(t: Tables) -> access.Rules:
+    direct = _uris(t).where("doc_id % 50 = 0").select("uri", F.array(F.lit("ROLE:owner"), F.lit("PUBLIC"), F.lit("ROLE:owner")).alias("value"))
+    return access.Rules(direct, [("docs/1*", ["GROUP:one"]), ("*5.txt", ["PUBLIC"]), ("docs/2*.txt", ["GROUP:two", "ROLE:auditor"]), ("docs/3[0-4]*", [])])
 
-@query("""select doc_id, array_to_string(case when uri like '%/1%' then ['GROUP:one'] when uri like '%5.txt' then ['PUBLIC'] when uri like '%/2%.txt' then ['GROUP:two','ROLE:auditor'] end, '|') acl from (select doc_id, 'docs/' || doc_id || '.txt' uri from documents)""")
+
+_ACL_SQL = f"""a as (select doc_id, list_sort(list_distinct({_DIRECT} when uri like 'docs/1%' then ['GROUP:one'] when uri like '%5.txt' then ['PUBLIC'] when uri like 'docs/2%.txt' then ['GROUP:two','ROLE:auditor'] when regexp_matches(uri, '^docs/3[0-4]') then []::varchar[] end)) acl from (select doc_id, 'docs/' || doc_id || '.txt' uri from documents))"""
+
+
+@query(f"with {_ACL_SQL} select doc_id, acl is not null known, array_to_string(acl, '|') acl from a")
 def q_expected_acl_rules(t: Tables) -> DataFrame:
-    d = t.documents.select("doc_id", F.concat(F.lit("docs/"), "doc_id", F.lit(".txt")).alias("uri"))
-    return d.select("doc_id", F.array_join(F.coalesce(*(F.when(F.col("uri").like(p), F.array(*map(F.lit, a))) for p, a in ACL_RULES)), "|").alias("acl"))
+    d = access.expected_acl(_uris(t), "uri", _acl_rules(t))
+    return d.select("doc_id", F.col("acl").isNotNull().alias("known"), F.array_join("acl", "|").alias("acl"))
+
 
+@query(f"""with {_ACL_SQL}, h as (select doc_id, sha256('[' || array_to_string(list_transform(acl, lambda x: '"' || x || '"'), ',') || ']') acl_hash from a where acl is not null) select doc_id, acl_hash, 'acl_sha256_' || {b32("i")} id from (select *, sha256('["' || doc_id || '","' || acl_hash || '"]') i from h)""")
+def q_acl_assertions(t: Tables) -> DataFrame:
+    d = access.expected_acl(_uris(t), "uri", _acl_rules(t)).select(F.col("doc_id").cast("string").alias("subject"), "acl")
+    return access.acl_assertions(d, "subject", "acl").select(F.col("subject_ref").cast("bigint").alias("doc_id"), "acl_hash", "id")
 
-@query("""select doc_id, case when uri like '%/3%' then 'tenant-a' when uri like '%7.txt' then 'tenant-b' end tenant from (select doc_id, 'docs/' || doc_id || '.txt' uri from documents)""")
+
+_TENANT_SQL = "t as (select doc_id, case when doc_id % 40 = 0 then 'org' when uri like 'docs/3%' then 'team' when uri like '%7.txt' then 'org' end k, case when doc_id % 40 = 0 then 'direct' when uri like 'docs/3%' then 'tenant-a' when uri like '%7.txt' then 'tenant-b' end v from (select doc_id, 'docs/' || doc_id || '.txt' uri from documents))"
+
+
+def _tenants(t: Tables) -> DataFrame:
+    direct = _uris(t).where("doc_id % 40 = 0").select("uri", F.struct(F.lit("org").alias("key"), F.lit("direct").alias("value")).alias("value"))
+    return access.expected_tenant(_uris(t), "uri", access.Rules(direct, [("docs/3*", ("team", "tenant-a")), ("*7.txt", ("org", "tenant-b"))]))
+
+
+@query(f'with {_TENANT_SQL} select doc_id, k as "key", v as "value" from t')
 def q_expected_tenant_rules(t: Tables) -> DataFrame:
-    uri = F.concat(F.lit("docs/"), "doc_id", F.lit(".txt"))
-    return t.documents.select("doc_id", F.when(uri.like("%/3%"), "tenant-a").when(uri.like("%7.txt"), "tenant-b").alias("tenant"))
+    return _tenants(t).select("doc_id", "tenant.key", "tenant.value")
+
+
+@query(f"""with {_TENANT_SQL} select doc_id, sha256('{{"key":"' || k || '","value":"' || v || '"}}') tenant_hash, 'tnt_sha256_' || {b32("i")} id from (select *, sha256('["' || doc_id || '","' || k || '","' || v || '"]') i from t where k is not null)""")
+def q_tenant_assertions(t: Tables) -> DataFrame:
+    d = _tenants(t).select(F.col("doc_id").cast("string").alias("subject"), "tenant")
+    return access.tenant_assertions(d, "subject", "tenant").select(F.col("subject_ref").cast("bigint").alias("doc_id"), "tenant_hash", "id")
 
 
 @query("""with d as (select doc_id, 'docs/' || doc_id || case doc_id % 5 when 0 then '.md' when 1 then '.html' when 2 then '.csv' when 3 then '.json' else '' end path, text from documents where text is not null)
@@ -148,22 +214,33 @@ def q_l2_normalize(t: Tables) -> DataFrame:
 
 @query("select vec_id, len(list_filter(embedding, lambda x: isnan(x) or isinf(x))) = 0 and len(embedding) = (select mode(len(embedding)) from embeddings) ok from embeddings")
 def q_vector_finite(t: Tables) -> DataFrame:
-    size = t.embeddings.agg(F.mode(F.size("embedding")).alias("dim"))  # one row
-    return t.embeddings.crossJoin(F.broadcast(size)).select("vec_id", (text.finite(F.col("embedding")) & (F.size("embedding") == F.col("dim"))).alias("ok"))
+    size = t.embeddings.agg(F.mode(F.size("embedding"))).first()[0]  # the dimension that a provider would declare
+    return t.embeddings.select("vec_id", text.finite(F.col("embedding"), size).alias("ok"))
+
 
+def _word(i: int) -> str:
+    return f"round((('0x' || substr(h, {8 * i + 1}, 8))::bigint) / 4294967295.0 * 2.0 - 1.0, 9) + 0.0"
 
-@query("""select c_custkey, round((('0x' || substr(h, 1, 8))::bigint) / 4294967295.0 * 2.0 - 1.0, 9) + 0.0 as x0, round((('0x' || substr(h, 57, 8))::bigint) / 4294967295.0 * 2.0 - 1.0, 9) + 0.0 as x7 from (select c_custkey, sha256(encode('s1' || chr(31) || c_name) || '\\x00\\x00\\x00\\x00'::blob) h from customer)""")
+
+@query(f"""with b as (select c_custkey, counter, sha256(encode('7:' || c_name) || unhex(printf('%08x', counter))) h from customer, range(2) t(counter)) select c_custkey, counter * 8 + i as position, case i {' '.join(f'when {i} then {_word(i)}' for i in range(8))} end x from b, range(8) r(i)""")
 def q_embedding_project(t: Tables) -> DataFrame:
-    v = t.customer.select("c_custkey", text.hash_embedding(F.col("c_name"), "s1", 8).alias("v"))
-    return v.select("c_custkey", (F.round(F.col("v")[0], 9) + 0.0).alias("x0"), (F.round(F.col("v")[7], 9) + 0.0).alias("x7"))
+    v = t.customer.select("c_custkey", F.posexplode(text.hash_embedding(F.col("c_name"), 7, 16)).alias("position", "x"))
+    return v.select("c_custkey", F.col("position").cast("bigint").alias("position"), (F.round("x", 9) + 0.0).alias("x"))
 
 
-@query()
+_BYTES = "array_to_string(list_transform(embedding, lambda x: array_to_string(list_transform([25, 17, 9, 1], lambda i: lpad(to_base(list_reduce(list_prepend(0::bigint, list_transform(range(i, i + 8), lambda k: substr(x::float::bit::varchar, k, 1)::bigint)), lambda a, b: a * 2 + b), 16), 2, '0')), '')), '')"
+
+
+@query(f"select vec_id, sha256(unhex({_BYTES})) hash from embeddings")
 def q_vector_hash_f32(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", text.vector_hash_f32(F.col("embedding")).alias("hash"))
 
 
-@query()
+#: A double as ECMAScript prints it, from DuckDB's text: plain down to 1e-6, no zero in front of an exponent, no `.0`.
+_ES = r"case when regexp_matches(s, 'e-0[56]$') then regexp_extract(s, '^-?') || '0.' || repeat('0', regexp_extract(s, 'e-0(.)$', 1)::int - 1) || regexp_replace(regexp_extract(s, '^-?(.*)e', 1), '\.', '') else regexp_replace(regexp_replace(s, '\.0$', ''), 'e([+-])0', 'e\1') end"
+
+
+@query(f"select vec_id, sha256('[' || string_agg({_ES}, ',' order by i) || ']') hash from (select vec_id, unnest(embedding)::double::varchar s, unnest(range(len(embedding))) i from embeddings) group by vec_id")
 def q_vector_hash_json(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", text.vector_hash_json(F.col("embedding").cast("array<double>")).alias("hash"))
 

@@ -90,11 +90,11 @@ class Fixture:
 
     @cached_property
     def duplicates(self) -> DataFrame:
-        return matching.duplicate_groups(self.expected, self.observed, self.rounds)
+        return matching.duplicate_keys(self.expected, self.observed, self.rounds)
 
     @cached_property
     def findings(self) -> DataFrame:
-        return findings.all_findings(self.matched, matching.duplicate_keys(self.expected, self.observed, self.rounds), self.sources, TARGET, SCOPE)
+        return findings.all_findings(self.matched, self.duplicates, self.sources, TARGET, SCOPE)
 
 
 def b32(h: str) -> str:

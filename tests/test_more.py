@@ -55,7 +55,7 @@ def test_command_line(spark, tmp_path, capsys):
     f = Fixture(spark, "/root/testdata/sf0.001")
     for name, df in (("expected", f.expected), ("observed", f.observed), ("sources", f.sources)):
         df.write.parquet(str(tmp_path / f"{name}.parquet"))
-    (tmp_path / "policy.json").write_text(json.dumps({"fail_on_severity": ["critical"]}))
+    (tmp_path / "policy.json").write_text(json.dumps({"name": "p", "requirements": {}, "findings": {"fail_on_severity": ["critical"]}}))
     assert cli.main(["reconcile", str(tmp_path), TARGET, SCOPE, "--policy", str(tmp_path / "policy.json"), "--html", str(tmp_path / "r.html")]) == cli.EXIT["fail"]
     assert "verdict: FAIL" in capsys.readouterr().out and "<table>" in (tmp_path / "r.html").read_text()
     (tmp_path / "m.json").write_text('{"a":1}')
