@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftaudit.operators import findings, matching
 from driftaudit.operators import policy as pol
+from driftaudit.plans.tables import Tables
 from driftaudit.plans.fixture import FIXTURE_SQL, IDS_SQL, SCOPE, TARGET, Fixture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,7 +77,7 @@ def q_expected_points(x: Fixture) -> DataFrame:
 
 @query(_with("select eo e_ord, oo o_ord from m1"))
 def q_match_level1(x: Fixture) -> DataFrame:
-    return matching.match_round(x.expected, x.observed, 0).where("e_ord is not null and o_ord is not null").select("e_ord", "o_ord")
+    return x.matched.where("match_level = 1").select("e_ord", "o_ord")
 
 
 @query(_with("select match_level, eo e_ord, oo o_ord from pairs union all select null, ord, null from el3 union all select null, null, ord from ol3"))
@@ -238,3 +239,35 @@ def q_lineage_drilldown(x: Fixture) -> DataFrame:
 def q_findings_sink(x: Fixture) -> DataFrame:
     """Findings as the table sink keeps them: one per fingerprint, the last."""
     return findings.sink_rows(x.findings).select("fingerprint", "code", "severity", "field", "subject_id", "point_key", "match_level")
+
+
+def _bulk(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All orders as points of one source, on both sides; nations are expected only, suppliers observed only, without identity."""
+    c, lit = F.col, F.lit
+    null = lambda kind="string": lit(None).cast(kind)
+    i = c("o_orderkey")
+    ids = t.orders.select(i.alias("i")).unionByName(t.nation.select((-1 - c("n_nationkey")).cast("bigint").alias("i")))
+    named = {n: F.concat(lit(f"{p}_"), F.sha2(F.concat(lit(p), c("i").cast("string")), 256)) for n, p in (("embedding_id", "emb"), ("chunk_id", "chk"), ("payload_hash", "pay"))}
+    key = F.concat(lit('"point-'), c("i").cast("string"), lit('"')).alias("point_key")
+    whole = ids.select(key, *(x.alias(n) for n, x in named.items()), c("i").alias("ord"))
+    expected = whole.select(F.concat(lit("idx_"), c("ord").cast("string")).alias("binding_id"), "*", lit("ver_1").alias("source_version_id"), lit("src_1").alias("source_id"), lit(4).alias("dimension"), null().alias("vector_hash"), lit("tenant-a").alias("tenant"), F.array(lit("GROUP:finance")).alias("acl"))
+    seen = whole.where("ord >= 0").select("*", F.when(c("ord") % 1000 == 0, "ver_0").otherwise("ver_1").alias("source_version_id"), lit("src_1").alias("source_id"), lit("tenant-a").alias("tenant"), F.array(F.when(c("ord") % 500 == 0, "PUBLIC").otherwise("GROUP:finance")).alias("acl"))
+    orphans = t.supplier.select(F.concat(lit('"orphan-'), "s_suppkey", lit('"')).alias("point_key"), *(null().alias(n) for n in named), (-1000 - c("s_suppkey")).cast("bigint").alias("ord"), null().alias("source_version_id"), null().alias("source_id"), null().alias("tenant"), null("array<string>").alias("acl"))
+    observed = seen.unionByName(orphans).select("*", F.create_map(lit("default"), lit(4)).alias("dimensions"), null("map<string,string>").alias("vector_hashes"))
+    sources = t.region.limit(1).select(lit("src_1").alias("id"), lit("ver_1").alias("version_id"), lit(1).alias("ord"))
+    return expected, observed, sources
+
+
+def _bulk_query(spark: SparkSession, folder: str) -> DataFrame:
+    from driftaudit.operators.reconcile import reconcile
+
+    run = reconcile(*_bulk(Tables(spark, folder)), "bulk", "orders")
+    counts = run.findings.groupBy("code").agg(F.count("*").alias("n"))
+    whole = run.ratios.select(F.expr("stack(5, 'expected', expected, 'observed', observed, 'matched', matched, 'missing', missing, 'orphans', orphans) as (code, n)"))
+    return counts.unionByName(whole)
+
+
+QUERIES["q_reconcile_bulk"] = _bulk_query
+ORACLES["q_reconcile_bulk"] = """with n as (select (select count(*) from orders) o, (select count(*) from nation) m, (select count(*) from supplier) s)
+select 'STALE_SOURCE' code, count(*) n from orders where o_orderkey % 1000 = 0 having count(*) > 0 union all select 'ACL_BROADER_THAN_SOURCE', count(*) from orders where o_orderkey % 500 = 0 having count(*) > 0
+union all select 'MISSING_IN_INDEX', m from n union all select 'UNVERIFIABLE_POINT', s from n union all select 'expected', o + m from n union all select 'observed', o + s from n union all select 'matched', o from n union all select 'missing', m from n union all select 'orphans', s from n"""

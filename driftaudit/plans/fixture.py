@@ -81,7 +81,7 @@ class Fixture:
         return o.unionByName(twice).unionByName(orphans)
 
     @cached_property
-    def rounds(self) -> list:
+    def rounds(self) -> matching.Rounds:
         return matching.rounds(self.expected, self.observed)
 
     @cached_property

@@ -4,12 +4,42 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftaudit.operators import artifacts, findings, matching, reports
+from driftaudit.session import cut
 from driftaudit.sources import signing
 
 
 def test_hot_keys_are_ranked_in_parts(spark):
-    df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("point_key"), F.lit(None).cast("string").alias("embedding_id"), F.lit(None).cast("string").alias("chunk_id"), (F.col("id") * 7919 % 100003).alias("ord"))
-    assert {tuple(r) for r in matching._ranked(df, 0, 50).select("ord", "rn").collect()} == {tuple(r) for r in matching._ranked(df, 0).select("ord", "rn").collect()}
+    df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), (F.col("id") * 7919 % 100003).alias("pos"))
+    ids_ = cut(df.orderBy("pos").repartitionByRange(7, "pos").sortWithinPartitions("pos").withColumn("pos", F.monotonically_increasing_id()))
+    for d in (df, ids_):
+        assert {tuple(r) for r in matching._ranked(d, "k", 50).select("pos", "rn").collect()} == {tuple(r) for r in matching._ranked(d, "k").select("pos", "rn").collect()}
+
+
+def test_matches_are_the_same_by_any_way(spark):
+    """Odd keys by broadcast, by shuffle, and everything through the rounds."""
+    import random
+
+    r = random.Random(3)
+    rows = lambda n, p: [(f"{p}{i}", r.choice([None, *(f"k{j}" for j in range(n))]), r.choice(["e1", "e2", None, f"e{i}"]), r.choice(["c1", None, f"c{i}"]), i) for i in range(n)]
+    schema = "binding_id string, point_key string, embedding_id string, chunk_id string, ord int"
+    e, o = spark.createDataFrame(rows(150, "b"), schema), spark.createDataFrame(rows(150, "o"), schema)
+
+    def brute():
+        left_e, left_o, out = sorted(e.collect(), key=lambda x: x.ord), sorted(o.collect(), key=lambda x: x.ord), set()
+        for level, key in enumerate(matching.LEVELS, 1):
+            for side in (left_e, left_o):
+                side.sort(key=lambda x: (x[key] is None, x[key] or ""))
+            pairs = []
+            for k in {x[key] for x in left_e if x[key]}:
+                pairs += zip([x for x in left_e if x[key] == k], [x for x in left_o if x[key] == k])
+            out |= {(level, a.ord, b.ord) for a, b in pairs}
+            left_e, left_o = [x for x in left_e if x not in [a for a, _ in pairs]], [x for x in left_o if x not in [b for _, b in pairs]]
+        return out | {(None, x.ord, None) for x in left_e} | {(None, None, x.ord) for x in left_o}
+
+    want = brute()
+    for bound in (0, 1000):
+        got = matching.cascade(e, o, matching.rounds(e, o, broadcast_rows=bound))
+        assert {(x.match_level, x.e_ord, x.o_ord) for x in got.collect()} == want
 
 
 def test_policy_findings(spark):
