@@ -9,6 +9,7 @@ Keys and child ids travel as 128-bit hashes, so that no shuffle carries an id's
 2. groups: parents and children by (parent table, key), all aggregates fixed-width, copies and hot keys combine map-side;
    a key with a parent that was recorded before any child and never deleted is settled here;
 3. the remaining keys' periods are merged where they overlap; a child outside all of them is an orphan, with its reason;
+   only the children that refer to such a key are put together again for that;
 4. the orphans' id texts are fetched from the child tables.
 
 Steps 3 and 4 keep few rows of many. What they look up has rows of fixed width, is checkpointed and counted: below `broadcast_rows` it is
@@ -50,8 +51,8 @@ def _micros(name: str):
     return F.unix_micros(F.col(name))
 
 
-def _children(children: list[Child]) -> DataFrame:
-    """(tag, c1, c2, t, refs): t in microseconds, refs the distinct (ref, k1, k2) of all rows of the child id."""
+def _child_rows(children: list[Child]) -> DataFrame:
+    """(tag, c1, c2, t, refs): every row, with t in microseconds and refs the (ref, k1, k2) that aren't blank."""
     parts = []
     for tag, c in enumerate(children):
         c1, c2 = wide_hash(norm_id(F.col(c.id)))
@@ -62,20 +63,23 @@ def _children(children: list[Child]) -> DataFrame:
         parts.append(c.df.where(norm_id(F.col(c.id)).isNotNull()).select(
             F.lit(tag).alias("tag"), c1.alias("c1"), c2.alias("c2"), _micros(c.recorded).alias("t"), F.array_compact(F.array(*refs)).alias("refs"),
         ))
-    # distinct lists of references, of which a child id has one unless its rows disagree
-    return reduce(DataFrame.unionByName, parts).groupBy("tag", "c1", "c2").agg(
-        F.min("t").alias("t"), F.array_distinct(F.flatten(F.collect_set("refs"))).alias("refs")
-    )
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _references(children: list[Child], parents: list[Parent]) -> DataFrame:
-    """(tag, c1, c2, t, ref, parent, k1, k2), one row per child id and distinct reference; a child without any time has none."""
+def _with_parent(long: DataFrame, children: list[Child], parents: list[Parent]) -> DataFrame:
     place = {p.name: i for i, p in enumerate(parents)}
     of = F.array(*(F.array(*(F.lit(place[p]) for p in c.refs.values())) for c in children))
-    long = _children(children).where("t is not null").select("tag", "c1", "c2", "t", F.inline("refs"))
     return long.withColumn("parent", F.get(F.get(of, F.col("tag")), F.col("ref")))
 
 
+def _references(rows: DataFrame, children: list[Child], parents: list[Parent]) -> DataFrame:
+    """(tag, c1, c2, t, ref, parent, k1, k2), one row per child id and distinct reference, t the earliest of all rows of the id;
+    a child without any time has none."""
+    # distinct lists of references, of which a child id has one unless its rows disagree
+    ids = rows.groupBy("tag", "c1", "c2").agg(F.min("t").alias("t"), F.array_distinct(F.flatten(F.collect_set("refs"))).alias("refs"))
+    return _with_parent(ids.where("t is not null").select("tag", "c1", "c2", "t", F.inline("refs")), children, parents)
+
+
 def _parent_rows(parents: list[Parent]) -> DataFrame:
     parts = []
     for i, p in enumerate(parents):
@@ -115,9 +119,12 @@ def orphans(children: list[Child], parents: list[Parent], broadcast_rows: int =
     refer to nothing; rows without a child id, and child ids without any time, are not reported. A parent row without a
     recorded time holds from the beginning. Equal rows count once; empty tables give no rows, or only `missing`.
     """
-    refs, rows = _references(children, parents), _parent_rows(parents).withColumn("since", F.coalesce("since", F.lit(-(2**62))))
-    keys = ["parent", "k1", "k2"]
-    suspects = lookup(suspect_keys(refs, rows), broadcast_rows)
+    delivered, rows = _child_rows(children), _parent_rows(parents).withColumn("since", F.coalesce("since", F.lit(-(2**62))))
+    keys, ids = ["parent", "k1", "k2"], ["tag", "c1", "c2"]
+    suspects = lookup(suspect_keys(_references(delivered, children, parents), rows), broadcast_rows)
+    # from here on only children with a suspect reference: all their rows, for the earliest time is that of any
+    pointing = _with_parent(delivered.select(*ids, F.inline("refs")), children, parents).join(suspects, keys, "left_semi").select(*ids)
+    refs = _references(delivered.join(lookup(pointing.distinct(), broadcast_rows), ids, "left_semi"), children, parents)
     known = rows.join(suspects, keys, "left_semi")
     held = lookup(suspects.join(known.groupBy(*keys).agg(F.max("since").alias("last")), keys, "left"), broadcast_rows)
     spans = lookup(merged_periods(known), broadcast_rows).select(*(F.col(c).alias("p_" + c) for c in (*keys, "since", "until")))
