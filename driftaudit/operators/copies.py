@@ -28,6 +28,17 @@ def latest(df: DataFrame, keys: dict[str, Column], values: dict[str, Column], or
     return rows.groupBy(*keys).agg(*(F.max_by(n, "order_").alias(n) for n in lanes))
 
 
+def hashed(df: DataFrame, keys: dict[str, Column], values: dict[str, Column]) -> DataFrame:
+    """The same columns for a side whose keys are known to be unique: row by row, without a shuffle."""
+    lanes = {f"{n}{i}": h for n, v in values.items() for i, h in enumerate(wide_hash(v), 1)}
+    return df.select(*(k.alias(n) for n, k in keys.items()), *(h.alias(n) for n, h in lanes.items()))
+
+
+def buckets_for(rows: int) -> int:
+    """About 256 rows to a bucket, a power of two between 256 and MAX_BUCKETS: sums of a task combine, and a bucket stays small."""
+    return min(MAX_BUCKETS, max(256, 1 << (rows // 256).bit_length()))
+
+
 def _lanes(hashes: tuple[Column, Column]) -> list[Column]:
     low = F.lit(0xFFFFFFFF).cast("bigint")
     return [part for h in hashes for part in (h.bitwiseAND(low), F.shiftrightunsigned(h, 32))]
@@ -55,11 +66,13 @@ def unequal_cells(left: DataFrame, right: DataFrame, keys: list[str], values: li
 
 
 def differences(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], names: tuple[str, str] = ("missing_in_right", "missing_in_left"), buckets: int = 4096) -> DataFrame:
-    """(*keys, difference) for two sides made by `latest` with the same keys and values.
+    """(*keys, difference) for two sides made by `latest` or `hashed` with the same keys and values.
 
     `difference` is names[0] for a key that only the left has, names[1] for one that only the right has, else the name of
-    a column whose values differ (null equals null only), one row each. Both sides are partitioned by the key already,
-    so the join needs no further shuffle; the list of unequal buckets has at most MAX_BUCKETS rows and is broadcast.
+    a column whose values differ (null equals null only), one row each. The list of unequal buckets has at most
+    MAX_BUCKETS rows and is broadcast. Sides made by `latest` are partitioned by the key already, so the join needs no
+    further shuffle. Of sides made by `hashed` only the rows of unequal buckets are ever shuffled: with few differences
+    next to nothing is.
     """
     if not 1 <= buckets <= MAX_BUCKETS:
         raise ValueError(f"buckets must be between 1 and {MAX_BUCKETS}")
@@ -76,6 +89,15 @@ def differences(left: DataFrame, right: DataFrame, keys: list[str], values: list
     return both.select(*keys, F.explode(found).alias("difference"))
 
 
+def copy_differences(left: DataFrame, right: DataFrame, keys: dict[str, Column], values: dict[str, Column], names: tuple[str, str] = ("missing_in_right", "missing_in_left"), buckets: int | None = None) -> DataFrame:
+    """(*keys, difference) between two copies whose keys are unique on either side. Rows with a null key have no identity."""
+    if buckets is None:
+        buckets = buckets_for(max(left.count(), right.count()))
+    known = [df.where(~F.greatest(*(k.isNull() for k in keys.values()), F.lit(False))) for df in (left, right)]
+    sides = [hashed(df, keys, values) for df in known]
+    return differences(*sides, list(keys), list(values), names, buckets)
+
+
 def index_differences(bindings: DataFrame, points: DataFrame, headers: DataFrame, buckets: int = 4096) -> DataFrame:
     """(target_id, scope, point_key, difference): the manifest's points against the newest full and complete snapshot.
 

@@ -42,6 +42,16 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return copies.index_differences(t.index_bindings, t.observed_points, t.snapshot_headers)
 
 
+def p4_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents against a copy of theirs that lost every 997th and has another text, language or source here and there."""
+    from pyspark.sql import functions as F
+
+    d, n = Tables(spark, folder).documents, F.col("doc_id")
+    copy = d.where(n % 997 != 5).withColumns({"text": F.when(n % 1009 == 7, F.concat("text", F.lit("."))).otherwise(F.col("text")), "lang": F.when(n % 1013 == 11, None).otherwise(F.col("lang")), "source": F.when(n % 1019 == 13, "moved").otherwise(F.col("source"))})
+    values = {c: F.col(c) for c in ("text", "lang", "source", "media_type")}
+    return copies.copy_differences(d, copy, {"doc_id": n}, values, ("missing_in_copy", "missing_in_documents"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return nested.manifest_records(Tables(spark, folder).manifest_bodies)
 
@@ -57,7 +67,7 @@ def p5_levels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_counts, p4_found, p5_found, p5_levels)
+    f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_counts, p4_found, p4_copies, p5_found, p5_levels)
 }
 
 _WS = r"[\s\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
@@ -130,4 +140,6 @@ ORACLES: dict[str, str] = {
     "p3_found": f"select distinct * from ({_P3})",
     "p3_counts": f"select child_table, ref_column, reason, period, count(*) n_children from (select distinct * from ({_P3})) group by all",
     "p4_found": _P4,
+    "p4_copies": """select doc_id, unnest(list_filter([case when doc_id % 997 = 5 then 'missing_in_copy' end, case when doc_id % 997 <> 5 and doc_id % 1009 = 7 and text is not null then 'text' end,
+      case when doc_id % 997 <> 5 and doc_id % 1013 = 11 and lang is not null then 'lang' end, case when doc_id % 997 <> 5 and doc_id % 1019 = 13 and source is distinct from 'moved' then 'source' end], lambda x: x is not null)) difference from documents""",
 }

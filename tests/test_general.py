@@ -73,6 +73,16 @@ def test_equal_copies_have_no_unequal_cells(spark):
     assert [tuple(r) for r in copies.differences(side, other, ["k"], ["v"], buckets=64).collect()] == [("77", "v")]
 
 
+def test_copies_with_unique_keys_shuffle_only_unequal_buckets(spark):
+    df = spark.range(20000).select("id", (F.col("id") % 7).cast("string").alias("v"), F.lit("z").alias("bucket")).unionByName(spark.createDataFrame([(None, "x", "z")], "id bigint, v string, bucket string"))
+    other = df.where("id <> 5").withColumn("v", F.when(F.col("id") == 77, None).otherwise(F.col("v")))
+    for buckets in (None, 1, 4096):
+        got = copies.copy_differences(df, other, {"id": F.col("id")}, {"v": F.col("v")}, buckets=buckets)
+        assert {tuple(r) for r in got.collect()} == {(5, "missing_in_right"), (77, "v")}
+    assert copies.copy_differences(df, df.limit(0), {"id": F.col("id")}, {"v": F.col("v")}).count() == 20000
+    assert [copies.buckets_for(n) for n in (0, 10_000, 10**6, 10**12)] == [256, 256, 4096, copies.MAX_BUCKETS]
+
+
 def test_parent_periods_are_merged(spark):
     spans = {0: [(i, None) for i in range(50)], 1: [(i, 90) for i in range(50)] + [(99, 95)], 2: [(1, 4), (3, 7), (7, 9), (11, 13), (2, 3), (11, 12)], 3: [(5, 5)]}
     rows = [(0, k, 0, a, b) for k, v in spans.items() for a, b in v]
