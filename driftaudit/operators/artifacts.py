@@ -25,3 +25,14 @@ def get(spark: SparkSession, path: str, sha256: str) -> bytes | None:
 def damaged(spark: SparkSession, path: str) -> DataFrame:
     """(sha256) of artifacts whose content has another hash than its name."""
     return spark.read.parquet(path).where(F.sha2("content", 256) != F.col("sha256")).select("sha256")
+
+
+def exists(spark: SparkSession, path: str, digests: DataFrame) -> DataFrame:
+    """(sha256, present) of digests that are asked for."""
+    have = spark.read.parquet(path).select("sha256").withColumn("there", F.lit(True))
+    return digests.select("sha256").distinct().join(have, "sha256", "left").select("sha256", F.coalesce("there", F.lit(False)).alias("present"))
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """(sha256, size_bytes) of all artifacts."""
+    return spark.read.parquet(path).select("sha256", F.octet_length("content").cast("bigint").alias("size_bytes"))

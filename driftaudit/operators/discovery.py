@@ -59,21 +59,38 @@ def is_ignored(path: Column, patterns: list[str]) -> Column:
     return F.coalesce(*hits, F.lit(False))
 
 
-def discover(spark: SparkSession, root: str, namespace: str, ignore: list[str] = (), size_cap: int = 100 << 20) -> DataFrame:
-    """One source record per file under `root`: id, version_id, namespace, uri, media_type, size_bytes, content_hash, modified_at, status.
+def discover(spark: SparkSession, root: str, namespace: str, ignore: list[str] = (), size_cap: int = 100 << 20, follow_links: bool = False) -> DataFrame:
+    """One source record per file under `root`: id, version_id, namespace, uri, media_type, size_bytes, content_hash, modified_at,
+    status, content, and `error`.
 
-    The listing is a snapshot taken when the plan runs. A file above the cap fails the query.
+    The listing is a snapshot taken when the plan runs; a file that is no longer of the size listed is `SOURCE_CHANGED`.
+    Files above the cap are `INPUT_TOO_LARGE` rows without content, hash and version. Of a local folder, files behind
+    symbolic links are left out unless `follow_links`.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split("://")[-1]
     rel = F.regexp_replace("path", "^.*?" + re.escape(base) + "/", "")
     files = files.withColumn("rel", rel).where(~is_ignored(F.col("rel"), list(ignore)) & ~F.col("rel").rlike(r"(^|/)\.git/"))
-    files = files.withColumn("length", F.when(F.col("length") > size_cap, F.raise_error(F.concat(F.lit("file too large: "), F.col("rel")))).otherwise(F.col("length")))
-    d = files.select(F.lit(namespace).alias("namespace"), F.concat(F.lit("file:"), F.col("rel")).alias("uri"), media_type(F.col("rel"), F.col("content")).alias("media_type"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("content_hash"), F.col("modificationTime").alias("modified_at"), "content")
+    if not follow_links and (links := linked_paths(base)):
+        files = files.where(~reduce(lambda a, p: a | (F.col("rel") == p) | F.col("rel").startswith(p + "/"), links[1:], (F.col("rel") == links[0]) | F.col("rel").startswith(links[0] + "/")))
+    large = F.col("length") > size_cap
+    error = F.when(large, "INPUT_TOO_LARGE").when(F.octet_length("content") != F.col("length"), "SOURCE_CHANGED")
+    content = F.when(~large, F.col("content"))
+    d = files.select(F.lit(namespace).alias("namespace"), F.concat(F.lit("file:"), F.col("rel")).alias("uri"), media_type(F.col("rel"), content).alias("media_type"), F.col("length").alias("size_bytes"), F.sha2(content, 256).alias("content_hash"), F.col("modificationTime").alias("modified_at"), content.alias("content"), error.alias("error"))
     d = d.withColumn("id", id_of_strings("source", F.col("namespace"), F.col("uri")))
     return d.withColumn("version_id", id_of_strings("version", F.col("id"), F.col("content_hash"))).withColumn("status", F.lit("active"))
 
 
+def linked_paths(folder: str) -> list[str]:
+    """Symbolic links in a local folder, as relative paths; none of any other folder."""
+    import os
+
+    out: list[str] = []
+    for at, folders, names in os.walk(folder) if os.path.isdir(folder) else ():
+        out += [os.path.relpath(os.path.join(at, n), folder) for n in (*folders, *names) if os.path.islink(os.path.join(at, n))]
+    return sorted(out)
+
+
 def tombstones(previous: DataFrame, present: DataFrame) -> DataFrame:
     """Previous sources that are not present any more, the first of each id by `ord`, with status `tombstone`."""
     gone = previous.join(present.select("id"), "id", "left_anti")

@@ -36,14 +36,15 @@ def expected_points(bindings: DataFrame, embeddings: DataFrame, chunks: DataFram
 
     b = bindings.where((F.col("target") == target) & (F.col("namespace") == scope))
     e = one(embeddings, "id", "e_", ["chunk_id", "dimension", "vector_hash"])
-    c = one(chunks, "id", "c_", ["source_version_id", "parse_run_id"])
+    ids = [x for x in ("pii_assertion_ids", "license_assertion_ids") if x in chunks.columns]
+    c = one(chunks, "id", "c_", ["source_version_id", "parse_run_id", *ids])
     p = one(parse_runs, "id", "p_", ["parser_name"])
     s = one(sources, "version_id", "s_", ["id"])
     joined = b.join(e, b.embedding_id == e.e_key, "left").join(c, F.col("e_chunk_id") == F.col("c_key"), "left")
     joined = joined.join(p, F.col("c_parse_run_id") == F.col("p_key"), "left").join(s, F.col("c_source_version_id") == F.col("s_key"), "left")
     return joined.select(
         F.col("id").alias("binding_id"), "point_key", "embedding_id", F.col("e_chunk_id").alias("chunk_id"), F.col("c_source_version_id").alias("source_version_id"), F.col("s_id").alias("source_id"),
-        F.col("e_dimension").alias("dimension"), F.col("e_vector_hash").alias("vector_hash"), F.col("expected_payload_hash").alias("payload_hash"), "tenant", "acl", "ord",
+        F.col("e_dimension").alias("dimension"), F.col("e_vector_hash").alias("vector_hash"), F.col("expected_payload_hash").alias("payload_hash"), "tenant", "acl", "ord", *(F.col(f"c_{x}").alias(x) for x in ids),
     )
 
 

@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from driftaudit.functions.canonical import canonical
+from driftaudit.functions.ids import utc_text
 
 FIELDS = ("point_id", "payload_hash", "source_id", "source_version_id", "chunk_id", "embedding_id", "tenant", "observed_at", "raw_locator")
-SCHEMA = "target_id string, scope string, ord bigint, point_id string, payload_hash string, source_id string, source_version_id string, chunk_id string, embedding_id string, tenant string, observed_at string, raw_locator string, acl array<string>"
+NESTED = {"acl": "array<string>", "vector_names": "array<string>", "vector_dimensions": "map<string,int>", "vector_hashes": "map<string,string>", "normalization_warnings": "array<string>"}
+SCHEMA = "target_id string, scope string, ord bigint, " + ", ".join([*(f"{f} string" for f in FIELDS), *(f"{f} {t}" for f, t in NESTED.items())])
 
 
 class SnapshotError(ValueError):
@@ -63,6 +65,30 @@ def read_points(path: str, check_duplicates: bool = False) -> Iterator[tuple[dic
         raise SnapshotError(f"{path}: count or hash differs from the trailer")
 
 
+def read_header(path: str) -> dict:
+    line = next(iter(_lines(path)), None)
+    header = json.loads(line) if line else {}
+    if header.get("record_type") != "header":
+        raise SnapshotError(f"{path}: no header")
+    return header
+
+
+def read_trailer(path: str) -> dict:
+    """The last line, which says how the scan went."""
+    last = b"{}"
+    for line in _lines(path):
+        last = line
+    trailer = json.loads(last)
+    if trailer.get("record_type") != "trailer":
+        raise SnapshotError(f"{path}: no trailer, the file is truncated")
+    return trailer
+
+
+def observed(points: DataFrame) -> DataFrame:
+    """Points of a snapshot as the observed side of a match."""
+    return points.select(F.col("point_id").alias("point_key"), "embedding_id", "chunk_id", "source_id", "source_version_id", "payload_hash", "tenant", "acl", F.col("vector_dimensions").alias("dimensions"), "vector_hashes", "ord")
+
+
 class SnapshotSource(DataSource):
     """`spark.read.format("snapshot").option("checkDuplicates", "true").load(file or folder)`"""
 
@@ -88,15 +114,21 @@ class _Reader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         for i, (header, point) in enumerate(read_points(partition.value, self.check)):
             values = [canonical(point["point_id"]), *(point.get(f) for f in FIELDS[1:])]
-            yield (header["target_id"], header["scope"], i, *values, point.get("acl"))
+            yield (header["target_id"], header["scope"], i, *values, *(point.get(f) for f in NESTED))
+
 
+def write_snapshot(points: DataFrame, path: str, header: dict, finished_at: str, consistency=None) -> dict:
+    """Writes the points in order of `ord`, streaming partition by partition through the driver; returns the trailer.
 
-def write_snapshot(points: DataFrame, path: str, header: dict, finished_at: str) -> dict:
-    """Writes the points in order of `ord`, streaming partition by partition through the driver; returns the trailer."""
+    `consistency` is a function that is called when all points are written, as `scan` of a target gives it.
+    """
     import zstandard
 
     digest, n = hashlib.sha256(), 0
-    ordered = points.orderBy("ord").select("ord", *[c for c in (*FIELDS, "acl") if c in points.columns])
+    wanted = [c for c in (*FIELDS, *NESTED) if c in points.columns]
+    if "observed_at" in wanted and dict(points.dtypes)["observed_at"] != "string":
+        points = points.withColumn("observed_at", utc_text(F.col("observed_at")))
+    ordered = points.orderBy("ord").select("ord", *wanted)
     with open(path, "wb") as f, zstandard.ZstdCompressor(level=3, write_checksum=True).stream_writer(f) as z:
         z.write((canonical(header | {"record_type": "header"}) + "\n").encode())
         for row in ordered.toLocalIterator(prefetchPartitions=True):
@@ -107,6 +139,9 @@ def write_snapshot(points: DataFrame, path: str, header: dict, finished_at: str)
             n += 1
             z.write(line)
         trailer = {"record_type": "trailer", "point_count": n, "content_hash": digest.hexdigest(), "finished_at": finished_at}
+        if consistency:
+            said = consistency()
+            trailer |= {k: v for k, v in (("consistency_completeness", said.completeness), ("consistency_start_count", said.start_count), ("consistency_end_count", said.end_count)) if v is not None}
         z.write((canonical(trailer) + "\n").encode())
     return trailer
 

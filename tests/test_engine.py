@@ -297,31 +297,114 @@ def test_snapshot_file_round_trip(spark, tmp_path):
         list(snapshot.read_points(str(path)))
 
 
-def test_scroll_pages_and_guards():
-    pages = {None: ([{"id": 1}, {"id": "b"}], 7), 7: ([{"id": 3}], None)}
-    calls = []
+PAGES = {None: ([{"id": 1, "payload": {"meta": {"src": "s1"}, "acl": "PUBLIC"}, "vector": [0.5, 1.0]}, {"id": "b", "payload": [1]}], 7), 7: ([{"id": 3, "payload": {"acl": ["A", 1]}, "vector": "x"}], None)}
 
-    def transport(method, path, body):
-        calls.append(body["offset"])
-        if len(calls) == 1:
-            raise OSError("try again")
-        rows, nxt = pages[body["offset"]]
-        return {"result": {"points": rows, "next_page_offset": nxt}}
 
-    assert [r["id"] for r in connectors.scroll(transport, "kb")] == [1, "b", 3] and calls == [None, None, 7]
-    assert not connectors.allowed_request("DELETE", "/collections/kb") and not connectors.allowed_request("POST", "/collections/kb/points")
-    with pytest.raises(PermissionError):
-        connectors.read_only("select 1; drop table x")
-    with pytest.raises(ValueError):
-        connectors.TableTarget("t; drop", ["id"])
-    assert connectors.TableTarget("t", ["id"], {"tenant": "ten"}, {"a": [1, 2]}).query() == "SELECT id, ten FROM t WHERE a IN (1, 2)"
+def fake_transport(method, path, body):
+    """A scroll interface; a module's function, for executors import it."""
+    if method == "GET":
+        return {"result": {"/collections/kb": {"config": {"params": {"vectors": {"size": 2}}}, "payload_schema": {"b": 1, "a": 1}, "points_count": 3}, "/aliases": {"aliases": [{"alias_name": "kb", "collection_name": "kb_v2"}]}}.get(path)}
+    rows, following = PAGES[body.get("offset")]
+    return {"result": {"points": rows, "next_page_offset": following}}
 
 
-def test_payload_points(spark):
-    df = spark.createDataFrame([('"a"', '{"meta":{"src":"s1"},"acl":"PUBLIC"}'), ("1", "broken")], "id string, payload string")
-    got = connectors.payload_points(df, {"source_id": "meta.src", "acl": "acl"}).collect()
-    assert got[0].source_id == "s1" and got[0].acl == ["PUBLIC"] and got[0].normalization_warnings == []
-    assert "payload_unreadable" in got[1].normalization_warnings
+def test_scroll_pages_and_guards():
+    calls, pauses = [], []
+
+    def transport(method, path, body):
+        calls.append(body.get("offset"))
+        if len(calls) < 3:
+            raise OSError("try again")
+        return fake_transport(method, path, body)
+
+    assert connectors._tried(transport, "POST", "/collections/kb/points/scroll", {}, 3, 0.1, pauses.append)["result"] and pauses == [0.1, 0.2]
+    assert [r["id"] for r in connectors.scroll(fake_transport, "kb")] == [1, "b", 3] and [r["id"] for r in connectors.scroll(fake_transport, "kb", offset=7)] == [3]
+    with pytest.raises(OSError):
+        connectors._tried(lambda *_: (_ for _ in ()).throw(OSError()), "GET", "/aliases", None, 1, 0, lambda _: None)
+    assert all(connectors.allowed_request("GET", p) for p in ("/", "/collections", "/collections/kb", "/aliases", "/collections/kb/aliases"))
+    for method, path in (("DELETE", "/collections/kb"), ("POST", "/collections/kb/points"), ("GET", "/collections/kb/points/scroll"), ("GET", "/collections/../x"), ("GET", "/collections//x"), ("GET", "collections"), ("POST", "/collections/a?b/points/scroll")):
+        assert not connectors.allowed_request(method, path)
+    for sql in ("select 1; drop table x", "delete from x", "", "with x as (select 1) select * from x"):
+        with pytest.raises(PermissionError):
+            connectors.read_only(sql)
+
+
+def test_target_configuration():
+    make = connectors.TableTarget
+    assert make("t", ["id"], {"tenant": "ten"}, {"a": [1, "x'y"], "b": True}).query() == "SELECT id, ten FROM t WHERE a IN (1, 'x''y') AND b = TRUE ORDER BY id"
+    assert make("t", ["a", "b"], schema="s").query({"a": 1, "b": "x"}) == "SELECT a, b FROM s.t WHERE (a, b) > (1, 'x') ORDER BY a, b"
+    for bad in (dict(table="t; drop"), dict(primary_key=[]), dict(columns={"x": "y"}), dict(columns={"tenant": "1a"}), dict(where={"a": []}), dict(where={"a": None}), dict(page=0), dict(vector_column="id"), dict(consistency="none"), dict(dsn_env="A-B")):
+        with pytest.raises(connectors.ConfigError):
+            make(**({"table": "t", "primary_key": ["id"]} | bad))
+    with pytest.raises(connectors.ConfigError):
+        make("t", ["a", "b"]).query({"a": 1})
+    assert connectors.endpoint("https://h:1/p/") == "https://h:1/p"
+    for url in ("ftp://h", "http://", "http://u:p@h", "http://h?q=1", "http://h#f"):
+        with pytest.raises(connectors.ConfigError):
+            connectors.endpoint(url)
+    assert connectors.credential("X_Y", {"X_Y": "v"}) == "v"
+    for name in ("X Y", "NOPE"):
+        with pytest.raises(connectors.ConfigError):
+            connectors.credential(name, {})
+
+
+def test_scroll_target(spark):
+    t = connectors.ScrollTarget("kb", "test_engine:fake_transport", {"source_id": "meta.src", "acl": "acl"}, pause=0)
+    assert connectors.preflight(t, 2)["dimension_match"] and connectors.preflight(t, 3)["dimension_match"] is False
+    assert t.inspect() == connectors.Schema("kb", {"default": 2}, "string_or_integer", 3, ("a", "b"), "kb_v2")
+    points, done = t.scan(spark, vectors=True)
+    got = {r.point_id: r for r in points.collect()}
+    assert set(got) == {"1", '"b"', "3"} and got["1"].source_id == "s1" and got["1"].acl == ["PUBLIC"] and got["3"].acl == ["A", "1"] and done().completeness == "complete"
+    assert got["1"].normalization_warnings == ["acl_not_list", "vector_retrieval_enabled"] and got["1"].vector_hashes == {"default": hashlib.sha256(b"[0.5,1]").hexdigest()} and got["1"].raw_locator == "scroll:kb#1"
+    assert got['"b"'].normalization_warnings == ["payload_not_object", "missing_mapped_field:source_id", "missing_mapped_field:acl", "vector_retrieval_enabled", "vector_missing"] and "vector_shape_unrecognized" in got["3"].normalization_warnings
+    assert got["1"].payload_hash == hashlib.sha256(b'{"acl":["PUBLIC"],"source_id":"s1"}').hexdigest() and got['"b"'].payload_hash == hashlib.sha256(b"{}").hexdigest()
+    assert [r.point_id for r in t.read(spark, after=7).collect()] == ["3"]
+    assert not connectors.preflight(connectors.ScrollTarget("kb", "test_engine:broken", pause=0, retries=0))["reachable"]
+
+
+def broken(method, path, body):
+    raise OSError("down")
+
+
+def test_table_target(spark):
+    spark.createDataFrame([(1, "x", "s1", "PUBLIC", "[1,2]", "t"), (2, "y", None, None, "oops", "t"), (3, "z", "s3", "U", None, "other")], "a int, b string, src string, acl string, vec string, ten string").createOrReplaceTempView("points_table")
+    for name, rows, schema in (("pg_attribute", [(10, 2, "vec", 5)], "attrelid int, atttypmod int, attname string, atttypid int"), ("pg_class", [(10, 1, "points_table"), (11, 1, "idx_b")], "oid int, relnamespace int, relname string"), ("pg_namespace", [(1, "public")], "oid int, nspname string"), ("pg_type", [(5, "vector")], "oid int, typname string"), ("pg_index", [(10, 11)], "indrelid int, indexrelid int")):
+        spark.createDataFrame(rows, schema).createOrReplaceTempView(name)
+    t = connectors.TableTarget("points_table", ["a", "b"], {"source_id": "src", "acl": "acl"}, {"ten": ["t"]}, vector_column="vec", consistency="best_effort_paged", run=spark.sql)
+    assert t.inspect() == connectors.Schema("points_table", {"vec": 2}, "composite", 2, ("idx_b",)) and t.estimate_count() == 2 and connectors.preflight(t, 2, "vec")["dimension_match"]
+    points, done = t.scan(spark, vectors=True)
+    got = {r.point_id: r for r in points.collect()}
+    assert set(got) == {'{"a":1,"b":"x"}', '{"a":2,"b":"y"}'} and done().completeness == "complete"
+    one, two = got['{"a":1,"b":"x"}'], got['{"a":2,"b":"y"}']
+    assert one.acl == ["PUBLIC"] and one.vector_hashes == {"vec": hashlib.sha256(b"[1,2]").hexdigest()} and two.normalization_warnings == ["missing_mapped_field:source_id", "missing_mapped_field:acl", "vector_retrieval_enabled", "vector_shape_unrecognized"]
+    assert [r.point_id for r in t.read(spark, after={"a": 1, "b": "x"}).collect()] == ['{"a":2,"b":"y"}']
+    assert not connectors.TableTarget("nowhere", ["a"], run=spark.sql).test_connection(spark)[0]
+    assert t.capabilities().resume and t.capabilities().modes == ("strict_consistent", "best_effort_paged")
+
+
+def test_build(spark, tmp_path):
+    from driftaudit.operators import build
+
+    rows = [("a.md", "text/markdown", "---\nlicense: MIT\n---\n# T\n\none two\n\none two\n\nIBAN GB82WEST12345698765432 here"), ("b.txt", "text/plain", "// SPDX-License-Identifier: ISC\n\nplain words"), ("c.bin", "image/png", "x")]
+    found = spark.createDataFrame([(f"file:{u}", m, t, i) for i, (u, m, t) in enumerate(rows)], "uri string, media_type string, t string, ord int").select("uri", "media_type", F.lit("ns").alias("namespace"), F.octet_length("t").alias("size_bytes"), F.sha2("t", 256).alias("content_hash"), F.current_timestamp().alias("modified_at"), F.encode("t", "utf-8").alias("content"), F.lit("active").alias("status"), "ord")
+    found = found.withColumn("id", ids.id_of_strings("source", F.col("namespace"), F.col("uri"))).withColumn("version_id", ids.id_of_strings("version", F.col("id"), F.col("content_hash")))
+    gone = found.limit(1).withColumns({"id": F.lit("src_gone"), "uri": F.lit("file:gone")}).drop("content")
+    b = build.Build(found.drop("ord"), build.BuildConfig("ns", "bld_1", "2026-01-01T00:00:00Z", chunker_config={"max_tokens": 2}, provider=embedding.Local(4), pii=recognizers.ScanConfig(), blocked_types=("IBAN",), govern_licences=True, acl=access.Rules(None, [("a*", ["PUBLIC"])]), tenant=access.Rules(None, [("a*", ("org", "x"))]), tenant_required=True, previous=gone))
+    chunks = b.chunks.collect()
+    assert {r.raw_hash for r in chunks if r.locator.character_start is not None} and b.status() == "incomplete"
+    assert [(r.code, r.n) for r in b.quality_assertions.collect()] == [("DUPLICATE_CHUNK_CONTENT", 2)] and b.duplicate_chunks.count() == 2
+    blocked = [c.id for c in chunks if "GB82" in c.contextualized]
+    assert len(blocked) == 1 and b.embeddings.count() == len(chunks) - 1
+    assert {(r.code, r.subject) for r in b.warnings.collect()} == {("TENANT_REQUIRED_BUT_MISSING", "file:b.txt"), ("TENANT_REQUIRED_BUT_MISSING", "file:c.bin")}
+    assert {r.method + ":" + r.spdx_expression for r in b.licence_assertions.collect()} == {"frontmatter:MIT", "frontmatter:ISC", "repository_default:NOASSERTION"}
+    assert {(r.uri, r.status, r.declared_tenant) for r in b.sources.collect()} == {("file:a.md", "active", "x"), ("file:b.txt", "active", None), ("file:c.bin", "active", None), ("file:gone", "tombstone", None)}
+    assert b.record()["stages"][0] == {"name": "driftaudit.discover", "version": "1", "input_count": 3, "output_count": 3}
+    listed = [{"uri": r.uri, "content_hash": r.content_hash} for r in found.orderBy("uri").collect()]
+    assert b.record()["source_snapshot_hash"] == hashlib.sha256(canonical.canonical(listed).encode()).hexdigest()
+    one = next(c for c in chunks if c.id not in blocked)
+    place = {k: v for k, v in one.locator.asDict().items() if v not in (None, [])}
+    digest = hashlib.sha256(canonical.canonical([one.parse_run_id, b.config.chunker_hash, place, one.raw_hash]).encode()).digest()
+    assert one.id == "chk_sha256_" + base64.b32encode(digest).decode().lower().rstrip("=")
 
 
 def test_manifest_hash_ignores_signatures():

@@ -67,29 +67,72 @@ def test_artifacts(spark, tmp_path):
     artifacts.put(rows, "content", path)
     artifacts.put(rows, "content", path)
     assert spark.read.parquet(path).count() == 2 and artifacts.damaged(spark, path).count() == 0
+    assert artifacts.listing(spark, path).agg(F.sum("size_bytes")).first()[0] == 2
+    asked = spark.createDataFrame([("ca978112ca1bbdcafac231b39a23dc4da786eff8147c4e72b9807785afee48bb",), ("00",)], "sha256 string")
+    assert {tuple(r) for r in artifacts.exists(spark, path, asked).collect()} == {(asked.first()[0], True), ("00", False)}
     assert artifacts.get(spark, path, "ca978112ca1bbdcafac231b39a23dc4da786eff8147c4e72b9807785afee48bb") == b"a"
 
 
 def test_reports(spark, tmp_path):
     assert "<script>" not in reports.reconciliation_page({"x": None}, {"high": 1}, "FAIL", [{"code": "<script>", "severity": "high", "subject_id": "s"}])
     with pytest.raises(Exception, match="secret-shaped"):
-        reports.append_audit(spark.sql("select map('api_key', 'x') as metadata"), str(tmp_path / "log"))
+        reports.append_audit(spark.sql("select map('private-key', 'x') as metadata"), str(tmp_path / "log"))
 
 
 def test_command_line(spark, tmp_path, capsys):
     import json
 
     from driftaudit import cli
-    from driftaudit.plans.fixture import SCOPE, TARGET, Fixture
-
-    f = Fixture(spark, "/root/testdata/sf0.001")
-    for name, df in (("expected", f.expected), ("observed", f.observed), ("sources", f.sources)):
-        df.write.parquet(str(tmp_path / f"{name}.parquet"))
-    (tmp_path / "policy.json").write_text(json.dumps({"name": "p", "requirements": {}, "findings": {"fail_on_severity": ["critical"]}}))
-    assert cli.main(["reconcile", str(tmp_path), TARGET, SCOPE, "--policy", str(tmp_path / "policy.json"), "--html", str(tmp_path / "r.html")]) == cli.EXIT["fail"]
-    assert "verdict: FAIL" in capsys.readouterr().out and "<table>" in (tmp_path / "r.html").read_text()
-    (tmp_path / "m.json").write_text('{"a":1}')
-    assert cli.main(["key-generate", str(tmp_path)]) == 0
-    assert cli.main(["sign", str(tmp_path / "m.json"), str(tmp_path), "me", "2026-01-01T00:00:00Z"]) == 0
-    assert cli.main(["verify", str(tmp_path / "m.json"), str(tmp_path / "public.key")]) == 0
-    assert cli.main(["verify", str(tmp_path / "none.json"), str(tmp_path / "public.key")]) == cli.EXIT["io"]
+
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    (docs / "a.md").write_text("# Title\\n\\nSome words here.\\n\\nMail a@b.example.org".replace("\\\\n", "\\n"))
+    (docs / "b.txt").write_text("plain text")
+    (docs / "c.log").write_text("ignored")
+    at = lambda n: str(tmp_path / n)
+    assert cli.main(["init", str(docs), "--namespace", "kb"]) == 0 and cli.main(["init", str(docs)]) == cli.EXIT["invalid"]
+    assert cli.main(["build", str(docs), str(docs / cli.CONFIG), at("m.json"), "--epoch", "1767225600", "--target", "main"]) == 0
+    first = (tmp_path / "m.json").read_bytes()
+    assert cli.main(["build", str(docs), str(docs / cli.CONFIG), at("m2.json"), "--epoch", "1767225600", "--target", "main"]) == 0
+    strip = lambda b: {k: v for k, v in json.loads(b).items()}
+    assert strip(first)["build"]["build_id"] == "bld_20260101T000000Z" and strip(first) == strip((tmp_path / "m2.json").read_bytes())
+    assert cli.main(["validate", at("m.json")]) == 0
+    (tmp_path / "bad.json").write_text('{"manifest_version": "1.0", "typo": 1}')
+    assert cli.main(["validate", at("bad.json")]) == cli.EXIT["invalid"] and "unknown member typo" in capsys.readouterr().out
+    assert cli.main(["key-generate", str(tmp_path)]) == 0 and cli.main(["sign", at("m.json"), str(tmp_path), "me", "--epoch", "0"]) == 0
+    assert cli.main(["verify", at("m.json"), at("public.key")]) == 0 and cli.main(["verify", at("none.json"), at("public.key")]) == cli.EXIT["io"]
+    assert cli.main(["report", "manifest", at("m.json"), "--html", at("m.html")]) == 0
+    shown = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert shown["facets"]["source_status"] == {"active": 2} and shown["masked_examples"] == {"EMAIL_ADDRESS": "a***@b***.example.org"} and "<table>" in (tmp_path / "m.html").read_text()
+    # what the manifest expects, seen without its last point and with a stranger
+    bindings = strip(first)["index_bindings"]
+    assert len(bindings) == strip(first)["statistics"]["embedding_count"] > 1
+    from driftaudit.sources import snapshot
+
+    rows = [(json.dumps(b["point_id"]), b["embedding_id"], "x", i) for i, b in enumerate(bindings[:-1])] + [('"stranger"', None, None, 99)]
+    points = spark.createDataFrame(rows, "point_id string, embedding_id string, tenant string, ord int")
+    snapshot.write_snapshot(points, at("s.zst"), {"target_id": "main", "scope": "main", "vector_dimensions": {"v": 32}}, "2026-01-01T00:00:00Z")
+    (tmp_path / "p.json").write_text(json.dumps({"name": "p", "requirements": {"manifest_signature": "required"}, "findings": {"fail_on_severity": ["high"]}}))
+    assert cli.main(["reconcile", at("m.json"), at("s.zst"), "--policy", at("p.json"), "--html", at("r.html"), "--json", at("r.json"), "--findings", at("f")]) == cli.EXIT["fail"]
+    assert "verdict: FAIL" in capsys.readouterr().out and "of 2 findings" in (tmp_path / "r.html").read_text()
+    assert {(r.code) for r in spark.read.parquet(at("f")).collect()} == {"MISSING_IN_INDEX", "UNVERIFIABLE_POINT"} and json.loads((tmp_path / "r.json").read_text())["policy"]["verdict"] == "FAIL"
+    assert cli.main(["report", "snapshot", at("s.zst")]) == 0 and json.loads(capsys.readouterr().out)["observed_point_count"] == len(rows)
+    # a snapshot of a target, and the rest of it
+    (tmp_path / "t.json").write_text(json.dumps({"type": "snapshot", "path": at("s.zst")}))
+    assert cli.main(["target-add", "one", at("t.json"), at("targets")]) == 0 and (tmp_path / "targets" / "one.json").exists()
+    assert cli.main(["snapshot", at("t.json"), at("copy.zst")]) == 0 and json.loads((tmp_path / "copy.zst.checkpoint.json").read_text()) == {"checkpoint": "stranger"}
+    assert cli.main(["snapshot", at("t.json"), at("copy.zst"), "--checkpoint", rows[0][0]]) == 0
+    assert len(list(snapshot.read_points(at("copy.zst")))) == len(rows) - 1
+    (tmp_path / "t.json").write_text('{"type": "table", "table": "x; drop", "primary_key": ["id"]}')
+    assert cli.main(["target-add", "two", at("t.json"), at("targets")]) == cli.EXIT["invalid"]
+
+
+def test_discovery_keeps_what_it_cannot_take(spark, tmp_path):
+    from driftaudit.operators import discovery
+
+    (tmp_path / "big.txt").write_text("x" * 100)
+    (tmp_path / "a.txt").write_text("x")
+    (tmp_path / "link.txt").symlink_to(tmp_path / "a.txt")
+    got = {r.uri: (r.error, r.content_hash is None) for r in discovery.discover(spark, str(tmp_path), "ns", size_cap=50).collect()}
+    assert got == {"file:a.txt": (None, False), "file:big.txt": ("INPUT_TOO_LARGE", True)}
+    assert discovery.discover(spark, str(tmp_path), "ns", follow_links=True).count() == 3
