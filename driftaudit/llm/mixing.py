@@ -50,14 +50,14 @@ def budgets(sized: DataFrame, targets: DataFrame, total: float) -> DataFrame:
 
 
 def filled(sizes: list[int], room: float) -> list[int]:
-    """The places of the items to take, in order: each that still fits, then the first that comes nearer with it than without."""
+    """The places of the items to take, in order: each that still fits, then the one that comes nearest, if nearer with it than without."""
     out = []
     for i, n in enumerate(sizes):
         if n <= room:
             out.append(i)
             room -= n
     held = set(out)
-    over = next((i for i, n in enumerate(sizes) if i not in held and n < 2 * room), None)
+    over = min((i for i, n in enumerate(sizes) if i not in held and n < 2 * room), key=lambda i: abs(sizes[i] - room), default=None)
     return sorted([*out, over]) if over is not None else out
 
 
@@ -72,9 +72,9 @@ def mix(docs: DataFrame, targets: DataFrame, total: float, tokenizer: str, key:
     """The selection (<key>, source, n_tokens, n_times) and the report, one row per source of `targets`.
 
     `n_times` counts the whole epochs and the sampled one and is at most max_repeats. Of the sampled epoch the documents
-    with the smallest keys are taken while they fit the budget; then, of those that follow up to as many tokens as are
-    left, each that still fits; last one more, if the budget is nearer with it than without. A source misses its budget by
-    less than half of any such document, unless its supply times max_repeats is smaller. Documents of no target source,
+    with the smallest keys are taken while they fit the budget; then, of those that follow up to eight times as many tokens
+    as are left, each that still fits; last one more, if the budget is nearer with it than without. A source misses its
+    budget by less than half of its largest document, unless its supply times max_repeats is smaller. Documents of no target source,
     null sources and texts without tokens are not chosen. The key must be unique; ties of equal keys' draws are broken by
     the key. `targets` is a small list by its nature, one row per source.
 
@@ -93,8 +93,8 @@ def mix(docs: DataFrame, targets: DataFrame, total: float, tokenizer: str, key:
     inside = placed.where("last is null or bucket < last").withColumn("taken", F.lit(1))
     after = placed.where("bucket >= last").withColumn("room", F.col("sampled") - F.col("before"))
     # what may fill the room: enough documents, in order, and none so large that it is further off with it than without
-    fits = after.where("n_tokens < 2 * room")
-    bound = _upto(fits, "room").select("source", F.col("last").alias("until"))
+    fits = after.where("n_tokens < 2 * room").withColumn("enough", 8 * F.col("room"))
+    bound = _upto(fits.where("n_tokens <= room"), "enough").select("source", F.col("last").alias("until"))
     near = fits.join(F.broadcast(bound), "source", "left").where("until is null or bucket <= until")
     kind = dict(docs.dtypes)[key]
 
