@@ -134,7 +134,30 @@ j as (select coalesce(w.target_id, s.target_id) target_id, coalesce(w.scope, s.s
   from want w full join seen s on w.target_id = s.target_id and w.scope = s.scope and w.point_key = s.point_key)
 select target_id, scope, point_key, unnest(d) difference from j"""
 
+# every value of every body by DuckDB's own walk over JSON; nearest enclosing build and parse run by climbing to the parents
+_NODES = f"""with recursive u as (select manifest_no, {_strip("body")} b from manifest_bodies union all select manifest_no, {_strip("json_extract_string(b, '$')")} from u where json_valid(b) and json_type(b) = 'VARCHAR'),
+n as materialized (select u.manifest_no, t.id, t.parent, t.key, t.type, t.value, p.type up, p.key up_key from (select * from u where json_valid(b) and json_type(b) <> 'VARCHAR') u, json_tree(u.b) t left join (select q.manifest_no m, w.id, w.type, w.key from u q, json_tree(q.b) w where json_valid(q.b) and json_type(q.b) <> 'VARCHAR') p on p.m = u.manifest_no and p.id = t.parent)"""
+_P5 = f"""{_NODES},
+o as materialized (select *, case when json_type(value, '$.id') = 'VARCHAR' then value->>'$.id' end own, case when json_type(value, '$.build.build_id') = 'VARCHAR' then value->>'$.build.build_id' end build from n where type = 'OBJECT'),
+hit as materialized (select * from o where json_type(value, '$.artifact_id') = 'VARCHAR' or own like 'chk\\_%' escape '\\' and coalesce(json_type(value, '$.locator'), 'NULL') <> 'NULL'),
+climb as (select manifest_no, id hit, id, 0 steps from hit union all select c.manifest_no, c.hit, n.parent, steps + 1 from climb c join n on n.manifest_no = c.manifest_no and n.id = c.id where n.parent is not null),
+around as (select c.manifest_no, c.hit, arg_min(build, steps) filter (build is not null) build, arg_min(own, steps) filter (own is not null and (own like 'prs\\_%' escape '\\' or o.key = 'parse_runs' or o.up = 'ARRAY' and o.up_key = 'parse_runs')) run from climb c join o on o.manifest_no = c.manifest_no and o.id = c.id group by all),
+h as (select hit.*, a.build around_build, a.run around_run, case when up = 'ARRAY' then key::int else 0 end pos, own like 'chk\\_%' escape '\\' and coalesce(json_type(value, '$.locator'), 'NULL') <> 'NULL' is_chunk from hit join around a on a.manifest_no = hit.manifest_no and a.hit = hit.id),
+c as (select manifest_no, own, pos, case when json_type(value, '$.parse_run_id') = 'VARCHAR' then value->>'$.parse_run_id' else around_run end run, case when json_type(value, '$.locator') = 'VARCHAR' then case when json_valid(value->>'$.locator') then (value->>'$.locator')::json end else value->'$.locator' end loc, value->'$.tokenizer' tok from h where is_chunk),
+g as (select manifest_no, own, json_type(loc, '$.heading_path') kind, loc->'$.heading_path' path from c)
+select distinct * from (select manifest_no, 'artifact' record_kind, value->>'$.artifact_id' record_id, around_build parent_id, pos ordinal_pos from h where json_type(value, '$.artifact_id') = 'VARCHAR' union all select manifest_no, 'chunk', own, run, pos from c union all
+select manifest_no, 'heading', path->>('$[' || i || ']'), own, i::int from (select *, unnest(range(json_array_length(path)::bigint)) i from g where kind = 'ARRAY') union all select manifest_no, 'heading', json_extract_string(path, '$'), own, 0 from g where kind = 'VARCHAR' union all
+select manifest_no, 'tokenizer', nullif(trim(case when json_type(tok) = 'VARCHAR' then split_part(json_extract_string(tok, '$'), '@', 1) when json_type(tok, '$.name') = 'VARCHAR' then tok->>'$.name' end), ''), own, 0 from c) where record_id is not null"""
+
+_P5_LEVELS = f"""{_NODES},
+d as (select manifest_no, id, type, up, []::varchar[] path from n where parent is null union all select n.manifest_no, n.id, n.type, n.up, list_append(d.path, case when n.up = 'ARRAY' then '[]' else n.key end) from d join n on n.manifest_no = d.manifest_no and n.parent = d.id),
+r as materialized (select *, type = 'OBJECT' and (up = 'ARRAY' or len(path) = 0 or path in (select path from d where type = 'ARRAY')) emitted from d),
+f as (select manifest_no, id, -1::bigint above from n where parent is null union all select n.manifest_no, n.id, case when r.emitted then f.id else f.above end from f join r on r.manifest_no = f.manifest_no and r.id = f.id join n on n.manifest_no = f.manifest_no and n.parent = f.id)
+select '[' || coalesce(array_to_string(list_transform(path, lambda x: to_json(x)::varchar), ', '), '') || ']' as level, count(*) n_rows, count(distinct (r.manifest_no, above)) n_parents from r join f on f.manifest_no = r.manifest_no and f.id = r.id where emitted group by path"""
+
 ORACLES: dict[str, str] = {
+    "p5_found": _P5,
+    "p5_levels": _P5_LEVELS,
     "p1_found": _P1,
     "p1_counts": f"select target_id, scope, snapshot_no, change_kind, count(*) n_points from ({_P1}) group by all",
     "p3_found": f"select distinct * from ({_P3})",
