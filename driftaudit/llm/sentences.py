@@ -11,15 +11,21 @@ lines; (3) sentences. Pieces that are no units stay in the list as void, for the
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftaudit.functions.ids import let
+from driftaudit.functions.text import starts
+
 SEP, VOID, HEAD, KEEP, DOT, ASK = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004", "\ue005"
 #: Pairs of quotes and brackets, each mark with its placeholder while the pair is matched. Same marks on both sides: straight quotes.
 _PAIRS = [("(", ")", "b"), ("[", "]", "b"), ("（", "）", "b"), ("「", "」", "q"), ("『", "』", "q"), ("„", "“", "q"), ("“", "”", "q"), ("‘", "’", "q"), ("«", "»", "q"), ('"', '"', "q"), ("'", "'", "q"), ("【", "】", "b"), ("[", "]", "b"), ("(", ")", "b")]
 _OPEN = [chr(0xE010 + 2 * i) for i in range(len(_PAIRS))]
 _CLOSE = [chr(0xE011 + 2 * i) for i in range(len(_PAIRS))]
 _PRIVATE = [SEP, VOID, HEAD, KEEP, ASK, DOT, *_OPEN, *_CLOSE]
+_ANY_PRIVATE = f"\ue000-{max(_PRIVATE)}"  # a range, and a little more than those: much faster than a class of single characters
 
 #: Abbreviations that do not end a sentence, whatever follows. Inner dots are masked before, as DOT.
 NEVER = """
@@ -61,7 +67,18 @@ _NOT_IN_WORD = r"(?<![\p{L}\p{M}\p{N}])"
 
 
 def _any(words: list[str]) -> str:
-    return "|".join(sorted({w.replace(".", DOT) for w in words}, key=lambda w: (-len(w), w)))
+    """One of the words, as a tree by their first letters: an engine that tries alternatives one by one has few to try."""
+
+    def tree(tails: list[str]) -> str:
+        by: dict[str, list[str]] = {}
+        for t in tails:
+            if t:
+                by.setdefault(t[0], []).append(t[1:])
+        parts = [re.escape(c) + tree(rest) for c, rest in sorted(by.items())]
+        inner = parts[0] if len(parts) == 1 and "" not in tails else f"(?:{'|'.join(parts)})" if parts else ""
+        return f"(?:{inner})?" if parts and "" in tails else inner
+
+    return tree(sorted({w.replace(".", DOT) for w in words}))
 
 
 def _cls(chars: list[str]) -> str:
@@ -72,6 +89,10 @@ def _re(c: Column, pattern: str, by: str) -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(by))
 
 
+def _re_if(c: Column, has: str, pattern: str, by: str) -> Column:
+    return let(c, lambda x: F.when(F.contains(x, F.lit(has)), _re(x, pattern, by)).otherwise(x))
+
+
 _OPENS, _CLOSES = _cls(_OPEN), _cls(_CLOSE)
 _OPEN_Q, _CLOSE_Q = (_cls([m for m, (_, _, k) in zip(s, _PAIRS) if k == "q"]) for s in (_OPEN, _CLOSE))
 _OPEN_B, _CLOSE_B = (_cls([m for m, (_, _, k) in zip(s, _PAIRS) if k == "b"]) for s in (_OPEN, _CLOSE))
@@ -85,14 +106,9 @@ _BLOCKS = (
 )
 
 
-def _let(value: Column, f) -> Column:
-    """f(value), with the value computed once: in f it is a bound variable, however often f names it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _where(c: Column, has: str, f) -> Column:
     """f(c) where c has a character of `has`, else c."""
-    return _let(c, lambda x: F.when(_or([F.contains(x, F.lit(h)) for h in has]), f(x)).otherwise(x))
+    return let(c, lambda x: F.when(_or([F.contains(x, F.lit(h)) for h in has]), f(x)).otherwise(x))
 
 
 def _or(tests: list[Column]) -> Column:
@@ -107,13 +123,14 @@ def _dots(b: Column) -> Column:
     b = _re(b, r"\.(?<=[\p{L}\p{M}\p{N}]\.)(?=[\p{L}\p{N}])", DOT)
     b = _re(b, rf"\.(?<={_NOT_IN_WORD}\p{{Lu}}\.)(?={_WS}*(?:\p{{Lu}}[\p{{L}}\p{{M}}]|\p{{Lu}}\.))", DOT)
     b = _re(b, rf"\.(?<={_NOT_IN_WORD}(?:[zd]|[uo]|т)\.)(?={_WS}?[BhaÄек]\.)|\.(?<={_NOT_IN_WORD}(?:z[.{DOT}]{_WS}?B|d[.{DOT}]{_WS}?h|u[.{DOT}]{_WS}?a|o[.{DOT}]{_WS}?Ä|т[.{DOT}]{_WS}?[ек])\.)", DOT)
-    b = _re(b, rf"\.(?<={_NOT_IN_WORD}(?:{_any([w for w in NEVER if w not in _BOTH])}|(?<!т[.{DOT}]{_WS}{{0,3}})[дп])\.)(?!\.)(?=[\s\S])", DOT)
-    b = _re(b, rf"\.(?<=(?<!\d{_WS}{{0,3}}){_NOT_IN_WORD}sec\.)(?={_WS}*(?:\p{{N}}|\p{{Lu}}(?:[.{DOT}\d)]|{_WS}*\z)))", DOT)
-    b = _let(b, lambda x: F.when(F.contains(x, F.lit("vs.")) & ~F.rlike(x, F.lit(_TURKISH_LETTERS)), _re(x, rf"\.(?<={_NOT_IN_WORD}vs\.)(?!\.)(?=[\s\S])", DOT)).otherwise(x))
-    b = _re(b, rf"\.(?<={_NOT_IN_WORD}(?:{_any([w for w in MAYBE if w not in ("д", "п")])}|{_TD})\.)(?=[^\s.]|{_WS}++(?!{_START})[^“„«\"'‘(\[])", DOT)
-    b = _re(b, rf"\.(?<=\d\.)(?<=(?i:(?<!\p{{L}})(?:am|vom|zum|der|die|das|dem|den|des|im|ab|bis|seit)){_WS}{{1,2}}\d{{1,3}}\.)(?={_WS}+\p{{L}})", DOT)
-    b = _re(b, rf"\.(?<={_NOT_IN_WORD}\d{{1,4}}\.)(?={_WS}+(?:{'|'.join(_MONTHS)}|{'|'.join(_TURKISH)}))", DOT)
-    return _re(b, rf"(\.\.\.|…)(?={_WS}*[\p{{Ll}},;])", f"$1{KEEP}")
+    b = let(b, lambda x: F.when(F.contains(x, F.lit("vs.")) & ~F.rlike(x, F.lit(_TURKISH_LETTERS)), _re(x, rf"\.(?<={_NOT_IN_WORD}vs\.)(?!\.)(?=[\s\S])", DOT)).otherwise(x))
+    # one pass for all that is told by the word or number before and by what follows
+    never = rf"(?<={_NOT_IN_WORD}(?:{_any([w for w in NEVER if w not in _BOTH])}|(?<!т[.{DOT}]{_WS}{{0,3}})[дп])\.)(?!\.)(?=[\s\S])"
+    section = rf"(?<=(?<!\d{_WS}{{0,3}}){_NOT_IN_WORD}sec\.)(?={_WS}*(?:\p{{N}}|\p{{Lu}}(?:[.{DOT}\d)]|{_WS}*\z)))"
+    maybe = rf"(?<={_NOT_IN_WORD}(?:{_any([w for w in MAYBE if w not in ('д', 'п')])}|{_TD})\.)(?=[^\s.]|{_WS}++(?!{_START})[^“„«\"'‘(\[])"
+    day = rf"(?<=\d\.)(?:(?<=(?i:(?<!\p{{L}})(?:am|vom|zum|der|die|das|dem|den|des|im|ab|bis|seit)){_WS}{{1,2}}\d{{1,3}}\.)(?={_WS}+\p{{L}})|(?<={_NOT_IN_WORD}\d{{1,4}}\.)(?={_WS}+(?:{'|'.join(_MONTHS)}|{'|'.join(_TURKISH)})))"
+    b = _re(b, rf"\.(?:{never}|{maybe}|{section}|{day})", DOT)
+    return let(b, lambda x: F.when(F.contains(x, F.lit("…")) | F.contains(x, F.lit("...")), _re(x, rf"(\.\.\.|…)(?={_WS}*[\p{{Ll}},;])", f"$1{KEEP}")).otherwise(x))
 
 
 def _masked(block: Column) -> Column:
@@ -147,13 +164,15 @@ def _sentences(block: Column) -> Column:
     """The pieces of a text block: its sentences, with the white space around them."""
     b = _masked(block)
     end = rf"[\"'”’»)\]{_CLOSES}]*"
-    b = _re(b, rf"([.!?…]++(?!{KEEP}){end})(?={_WS})", f"$1{SEP}")
-    b = _re(b, rf"([。！？｡।॥؟۔]++(?!{KEEP})[」』）”’»{_CLOSES}]*|[!?](?<=[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}\p{{IsThai}}][!?])[!?]*+(?!{KEEP})[」』）”’»{_CLOSES}]*(?!{SEP}))", f"$1{SEP}")
+    # marks before white space, marks of scripts without spaces wherever they stand, and [!?] after their letters
+    b = _re(b, rf"[.!?…]++(?!{KEEP}){end}(?={_WS})|[。！？｡।॥؟۔]++(?!{KEEP})[」』）”’»{_CLOSES}]*|[!?](?<=[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}\p{{IsThai}}][!?])[!?]*+(?!{KEEP})[」』）”’»{_CLOSES}]*", f"$0{SEP}")
     b = _where(b, _ASKS, lambda x: _greek(x, end))
     # a mark inside quotes or brackets that end here: bracketed sentences of their own, then quotes that end a sentence
     b = _where(b, KEEP, lambda x: _quoted(x))
     thai = rf" (?<={_THAI} ) *+(?=[{_OPENS}]|{_THAI})| (?<=[{_CLOSES}] ) *+(?={_THAI})"
-    b = F.get(F.transform(F.array(b), lambda x: F.when(F.rlike(x, F.lit(r"\p{IsThai}")), _re(x, f"({thai})", f"$1{SEP}")).otherwise(x)), F.lit(0))
+    # Thai in UTF-8 is E0 B8 or E0 B9 and a byte more: a search of bytes, where a pattern would read every character
+    has_thai = lambda x: F.contains(x.cast("binary"), F.lit(b"\xe0\xb8")) | F.contains(x.cast("binary"), F.lit(b"\xe0\xb9"))
+    b = let(b, lambda x: F.when(has_thai(x), _re(x, f"({thai})", f"$1{SEP}")).otherwise(x))
     return F.split(b, SEP)
 
 
@@ -172,12 +191,13 @@ def _quoted(b: Column) -> Column:
 
 def _pieces(text: Column) -> Column:
     """All pieces of a text, in order; a void piece begins with VOID, a heading with HEAD."""
-    t = F.translate(text, "".join(_PRIVATE), "�" * len(_PRIVATE))
-    t = _re(F.replace(F.replace(t, F.lit("\r\n"), F.lit(" \n")), F.lit("\r"), F.lit("\n")), r"[  ]", "\n")
+    own = f"[{_ANY_PRIVATE}\u2028\u2029]"
+    t = F.when(F.rlike(text, F.lit(own)), F.translate(text, "".join(_PRIVATE) + "\u2028\u2029", "\ufffd" * len(_PRIVATE) + "\n\n")).otherwise(text)
+    t = F.replace(F.replace(t, F.lit("\r\n"), F.lit(" \n")), F.lit("\r"), F.lit("\n"))
     top = F.split(_re(t, _BLOCKS, f"{SEP}{VOID}$0{SEP}"), SEP)
 
     def blocks(seg: Column) -> Column:
-        b = _re(seg, r"(?m)^([ \t﻿]{0,4}#{1,6}[ \t]+)([^\n]*?)((?:[ \t]+#+)?[ \t]*)$", f"{SEP}{VOID}$1{SEP}{HEAD}$2{SEP}{VOID}$3{SEP}")
+        b = _re_if(seg, "#", r"(?m)^([ \t﻿]{0,4}#{1,6}[ \t]+)([^\n]*?)((?:[ \t]+#+)?[ \t]*)$", f"{SEP}{VOID}$1{SEP}{HEAD}$2{SEP}{VOID}$3{SEP}")
         b = _re(b, r"(?m)^([ \t﻿]*(?:[-*+•]|\d{1,9}[.)])[ \t]+)", f"{SEP}{VOID}$1{SEP}")
         b = _re(b, r"(\n[ \t]*\n\s*)", f"{SEP}{VOID}$1{SEP}")
         return F.split(b, SEP)
@@ -189,24 +209,6 @@ def _pieces(text: Column) -> Column:
     return F.flatten(F.transform(level2, lambda b: F.when(is_text(b), _sentences(b)).otherwise(F.array(b))))
 
 
-def _starts(lengths: Column) -> Column:
-    """Running sums before each element, in runs of 256 so that long texts don't take quadratic time."""
-    run = 256
-
-    def total(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0), lambda acc, x: acc + x)
-
-    def of(i: Column) -> Column:
-        return F.floor(i / run).cast("int")
-
-    def place(lens: Column) -> Column:
-        sums = F.transform(F.sequence(F.lit(0), of(F.size(lens) - 1)), lambda g: total(F.slice(lens, g * run + 1, F.lit(run))))
-        before = _let(sums, lambda x: F.transform(x, lambda _, g: total(F.slice(x, F.lit(1), g))))
-        return _let(before, lambda b: F.transform(lens, lambda _, i: F.get(b, of(i)) + total(F.slice(lens, of(i) * run + 1, i % run))))
-
-    return _let(lengths, place)
-
-
 def sentence_units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(<key>, unit_no, start_pos, end_pos, unit): the sentence units of every document, in order.
 
@@ -222,17 +224,20 @@ def sentence_units(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     whole = F.col("text_")
 
     def zipped(p: Column) -> Column:
-        bare = F.transform(p, lambda x: F.translate(x, placeholders + marks, restored))
-        return _let(bare, lambda b: _let(_starts(F.transform(b, lambda x: F.length(x))), lambda at: F.arrays_zip(
+        some = F.lit(f"[{_ANY_PRIVATE}]")
+        bare = F.transform(p, lambda x: F.when(F.rlike(x, some), F.translate(x, placeholders + marks, restored)).otherwise(x))
+        return let(bare, lambda b: let(starts(F.transform(b, lambda x: F.length(x))), lambda at: F.arrays_zip(
             F.transform(p, lambda x: x.startswith(VOID)).alias("void"), at.alias("at"),
             # a text with private-use characters of its own: the pieces are read from it by position
-            F.when(F.rlike(whole, F.lit(f"[{_cls(_PRIVATE)}]")), F.transform(b, lambda x, i: F.substring(whole, F.get(at, i) + 1, F.length(x)))).otherwise(b).alias("p"),
+            F.when(F.rlike(whole, F.lit(f"[{_ANY_PRIVATE}]")), F.transform(b, lambda x, i: F.substring(whole, F.get(at, i) + 1, F.length(x)))).otherwise(b).alias("p"),
         )))
 
     white = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
     d = docs.select(F.col(key), F.col(text).alias("text_")).where("text_ is not null and text_ <> ''")
     # the outer form: for the inner one the optimizer repeats the whole expression in a filter
-    rows = d.select(key, F.posexplode_outer(_let(_pieces(whole), zipped)).alias("unit_no", "x")).where(~F.col("x.void"))
+    rows = d.select(key, F.posexplode_outer(let(_pieces(whole), zipped)).alias("unit_no", "x")).where(~F.col("x.void"))
     left = F.ltrim(F.col("x.p"), F.lit(white))
-    rows = rows.select(key, "unit_no", F.rtrim(left, F.lit(white)).alias("unit"), (F.col("x.at") + F.length("x.p") - F.length(left)).cast("int").alias("start_pos"))
+    # trimming from the right looks at every character, so only where the last one is white
+    unit = F.when(F.instr(F.lit(white), F.right(left, F.lit(1))) > 0, F.rtrim(left, F.lit(white))).otherwise(left)
+    rows = rows.select(key, "unit_no", unit.alias("unit"), (F.col("x.at") + F.length("x.p") - F.length(left)).cast("int").alias("start_pos"))
     return rows.where("unit <> ''").select(key, "unit_no", "start_pos", (F.col("start_pos") + F.length("unit")).cast("int").alias("end_pos"), "unit")
