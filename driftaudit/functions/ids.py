@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The order of digits of base 32 as `conv` writes them, and of the RFC 4648 alphabet in lower case.
@@ -101,3 +101,43 @@ def utc_text(ts: Column) -> Column:
     """ISO time with `Z`, with microseconds only where they aren't zero; the session's time zone must be UTC."""
     fraction = F.when(F.unix_micros(ts) % 1_000_000 != 0, F.date_format(ts, ".SSSSSS")).otherwise("")
     return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("Z"))
+
+
+def ordered_digest(df: DataFrame, group: str, order: list[str], item: str) -> DataFrame:
+    """(<group>, digest, n): SHA-256 of `[item,item,...]` in the order given. A sequence can only be hashed in sequence: a
+    group is one task's, but streams through it, so no group has to fit into memory."""
+    import hashlib
+
+    import pandas as pd
+
+    def run(batches):
+        state: dict = {"key": None, "sha": None, "n": 0}
+
+        def close() -> list[tuple]:
+            if state["sha"] is None:
+                return []
+            state["sha"].update(b"]")
+            return [(state["key"], state["sha"].hexdigest(), state["n"])]
+
+        for pdf in batches:
+            out = []
+            for key, text in zip(pdf[group].tolist(), pdf[item].tolist(), strict=True):
+                if state["sha"] is None or key != state["key"]:
+                    out += close()
+                    state |= {"key": key, "sha": hashlib.sha256(b"["), "n": 0}
+                state["sha"].update((b"," if state["n"] else b"") + text.encode())
+                state["n"] += 1
+            yield pd.DataFrame(out, columns=[group, "digest", "n"])
+        yield pd.DataFrame(close(), columns=[group, "digest", "n"])
+
+    slim = df.select(group, *order, F.col(item)).repartition(group).sortWithinPartitions(group, *order)
+    return slim.select(group, item).mapInPandas(run, f"{group} {dict(df.dtypes)[group]}, digest string, n bigint")
+
+
+def set_digest(df: DataFrame, group: list[str], digest: Column) -> DataFrame:
+    """(<group>, digest, n): SHA-256 over 4096 digests, each over the distinct row digests that begin alike, sorted. Order-free,
+    and no task holds more than such a part of a group."""
+    rows = df.select(*group, digest.alias("h_")).distinct()
+    parts = rows.groupBy(*group, F.substring("h_", 1, 3).alias("p_")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h_")), ""), 256).alias("d_"), F.count("*").alias("n_"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_", "d_"))), lambda x: x["d_"]), "")
+    return parts.groupBy(*group).agg(F.sha2(joined, 256).alias("digest"), F.sum("n_").alias("n"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftaudit.functions import checks, ids, text
-from driftaudit.operators import access, discovery, recognizers
+from driftaudit.operators import access, discovery, embedding, recognizers
+from driftaudit.operators.build import stage_key
 from driftaudit.plans.fixture import b32
 from driftaudit.plans.tables import Tables
 
@@ -291,8 +292,14 @@ def q_duplicate_chunks(t: Tables) -> DataFrame:
 def q_source_snapshot_hash(t: Tables) -> DataFrame:
     s = t.sources.where("status = 'active' and uri is not null and content_hash is not null").select("namespace", "uri", "content_hash").distinct()
     item = F.concat(F.lit('{"content_hash":"'), "content_hash", F.lit('","uri":'), ids.json_string(F.col("uri")), F.lit("}"))
-    g = s.groupBy("namespace").agg(F.sort_array(F.collect_list(F.struct("uri", "content_hash", item.alias("item")))).alias("a"), F.count("*").alias("n"))
-    return g.select("namespace", F.sha2(F.concat(F.lit("["), F.array_join(F.transform("a", lambda x: x["item"]), ","), F.lit("]")), 256).alias("snapshot_hash"), "n")
+    return ids.ordered_digest(s.withColumn("item", item), "namespace", ["uri", "content_hash"], "item").withColumnRenamed("digest", "snapshot_hash")
+
+
+@query("""with s as (select distinct namespace, sha256(content_hash || chr(10) || uri) h from sources where status = 'active' and uri is not null and content_hash is not null), p as (select namespace, substr(h, 1, 3) p, sha256(string_agg(h, '' order by h)) d, count(*) n from s group by all)
+select namespace, sha256(string_agg(d, '' order by p)) digest, sum(n)::bigint n from p group by 1""")
+def q_source_set_hash(t: Tables) -> DataFrame:
+    """A digest of a namespace's sources that any number of tasks can make."""
+    return ids.set_digest(t.sources.where("status = 'active' and uri is not null and content_hash is not null"), ["namespace"], F.sha2(F.concat("content_hash", F.lit("\n"), "uri"), 256))
 
 
 @query("""select ord, sha256('{' || array_to_string(list_filter([case when chunk_id is not null then '"chunk_id":"' || chunk_id || '"' end, case when embedding_id is not null then '"embedding_id":"' || embedding_id || '"' end], lambda x: x is not null), ',') || '}') rehash from observed_points""")
@@ -309,6 +316,59 @@ def q_cache_misses(t: Tables) -> DataFrame:
     return c.select("id", F.sha2(F.concat(F.lit('["'), "contextualized_hash", F.lit('","m1"]')), 256).alias("cache_key"))
 
 
+@query("""with c as (select 'parse' s, id, raw_hash h from chunks where raw_hash is not null)
+select id, sha256('{"adapter_name":"a","adapter_version":"1","config_hash":"c","input_hash":"' || h || '","stage":"' || s || '"}') cache_key from c""")
+def q_stage_keys(t: Tables) -> DataFrame:
+    """What a stage's output is kept under: all five fields."""
+    return t.chunks.where("raw_hash is not null").select("id", stage_key("parse", F.col("raw_hash"), "a", "1", "c").alias("cache_key"))
+
+
+@query("""select doc_id, sha256(replace(replace(nfc_normalize(text), chr(13) || chr(10), chr(10)), chr(13), chr(10))) text_hash from documents""")
+def q_text_hash(t: Tables) -> DataFrame:
+    """Texts in normal form, hashed: NFC, plain line ends, nothing trimmed."""
+    return text.with_text_hash(t.documents, "text", "text_hash").select("doc_id", "text_hash")
+
+
+@query("""select ord, case when point_id is null then null when json_valid(point_id) then json_type(point_id) end kind from observed_points""")
+def q_point_kinds(t: Tables) -> DataFrame:
+    """What point ids are as JSON: text and numbers are different points."""
+    v = F.try_parse_json("point_id")
+    kind = F.schema_of_variant(v)
+    return t.observed_points.select("ord", F.when(kind.startswith("OBJECT"), "OBJECT").when(kind.startswith("ARRAY"), "ARRAY").when(kind == "STRING", "VARCHAR").when(kind == "BIGINT", F.when(F.to_json(v).startswith("-"), "BIGINT").otherwise("UBIGINT")).when(kind == "BOOLEAN", "BOOLEAN").when(kind == "VOID", "NULL").when(v.isNotNull(), "DOUBLE").alias("kind"))
+
+
+@query("""select id, case when acl_projection is null or not json_valid(acl_projection) or json_type(acl_projection) = 'NULL' then null when json_type(acl_projection) = 'ARRAY' then array_to_string(list_transform(acl_projection::json::varchar[], lambda x: x), '|') else acl_projection->>'$' end acl,
+acl_projection is not null and json_valid(acl_projection) and json_type(acl_projection) <> 'NULL' known from index_bindings""")
+def q_acl_projection(t: Tables) -> DataFrame:
+    """Access projections of bindings as lists; null stays null, which says something else than empty."""
+    a = checks.acl_projection(F.col("acl_projection"))
+    return t.index_bindings.select("id", F.array_join(a, "|").alias("acl"), a.isNotNull().alias("known"))
+
+
+@query("""select vec_id, i as position, round(embedding[i + 1]::float::double, 9) + 0.0 x from embeddings, range(8) r(i)""")
+def q_float32(t: Tables) -> DataFrame:
+    """Imported vectors in 32-bit precision."""
+    return t.embeddings.select("vec_id", F.posexplode(text.as_float32(F.col("embedding").cast("array<double>"))).alias("position", "x")).select("vec_id", F.col("position").cast("bigint").alias("position"), (F.round("x", 9) + 0.0).alias("x")).where("position < 8")
+
+
+@query("""select vec_id, len(embedding) dim, round(list_sum(embedding::double[]), 4) + 0.0 total from embeddings""")
+def q_vector_literal(t: Tables) -> DataFrame:
+    """Vectors written as text and read again."""
+    literal = F.concat(F.lit("["), F.array_join(F.transform(F.col("embedding").cast("array<double>"), lambda x: x.cast("string")), ", "), F.lit("]"))
+    v = text.vector_literal(literal)
+    return t.embeddings.select("vec_id", F.size(v).cast("bigint").alias("dim"), (F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 4) + 0.0).alias("total"))
+
+
+@query("""with w as (select vec_id, case when vec_id % 11 = 0 then embedding[1:3] when vec_id % 13 = 0 then list_append(embedding[1:len(embedding)-1], 'inf'::float) else embedding end v, (select mode(len(embedding)) from embeddings) d from embeddings)
+select vec_id, case when vec_id % 17 = 0 then 'VECTOR_MISSING' when len(list_filter(v, lambda x: isnan(x) or isinf(x))) > 0 then 'VECTOR_NOT_FINITE' when len(v) <> d then 'VECTOR_DIMENSION' end error from w""")
+def q_vector_import(t: Tables) -> DataFrame:
+    """Vectors from elsewhere: some absent, cut off or infinite."""
+    e, n = F.col("embedding").cast("array<double>"), F.col("vec_id")
+    d = t.embeddings.agg(F.mode(F.size("embedding"))).first()[0]
+    v = F.when(n % 17 == 0, None).when(n % 11 == 0, F.slice(e, 1, 3)).when(n % 13 == 0, F.array_append(F.slice(e, F.lit(1), F.size(e) - 1), F.lit(float("inf")))).otherwise(e)
+    return embedding.Imported(embedding.Model(dimension=d)).vectors(t.embeddings.select("vec_id", v.alias("v")), "v").select("vec_id", F.col("embedding_error").alias("error"))
+
+
 @query("""select time_bucket(interval '1 day', ts) as day, event_type, count(*) n, round(sum(value), 4) + 0.0 as total from events group by all""")
 def q_events_daily(t: Tables) -> DataFrame:
     """The batch form of the event window that streaming.events runs incrementally."""

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftaudit.functions import text
-from driftaudit.operators import chunking, licences, parsing
+from driftaudit.functions import ids, text
+from driftaudit.operators import build, chunking, embedding, licences, parsing
 from driftaudit.plans.fixture import b32
 from driftaudit.plans.tables import Tables
 
@@ -258,3 +258,38 @@ def q_license_effective(t: Tables) -> DataFrame:
 @query(f"with {_ASSERTED} select doc_id, count(distinct x) n_expressions from j group by 1 having count(distinct x) > 1")
 def q_license_conflicts(t: Tables) -> DataFrame:
     return licences.conflicts(_licensed(t)).select(F.col("subject_ref").cast("bigint").alias("doc_id"), "n_expressions")
+
+
+def _built(t: Tables):
+    """A build over the documents as text files, without personal data rules."""
+    d = t.documents.where("text is not null").select(F.lit("docs").alias("namespace"), F.concat(F.lit("file:"), "doc_id", F.lit(".txt")).alias("uri"), F.lit("text/plain").alias("media_type"), F.octet_length("text").alias("size_bytes"), F.sha2("text", 256).alias("content_hash"), F.col("collected_at").alias("modified_at"), F.encode("text", "utf-8").alias("content"), F.lit("active").alias("status"))
+    d = d.withColumn("id", ids.id_of_strings("source", F.col("namespace"), F.col("uri")))
+    return build.Build(d.withColumn("version_id", ids.id_of_strings("version", F.col("id"), F.col("content_hash"))), build.BuildConfig("docs", "bld_1", "2026-01-01T00:00:00Z", chunker_config={"max_tokens": 128}, provider=embedding.Local(8)))
+
+
+# all paragraphs of a text are one section: the greedy fold of a list of sizes
+_BUILD_SQL = _packed_sql(0).replace("case when text like '#%' then text else '' end as hp", "'' as hp")
+
+
+@query(f"""with c as ({_BUILD_SQL}), d as (select count(*) n from documents where text is not null), k as (select count(*) n from c)
+select 'discover' stage, d.n input_count, d.n output_count from d union all select 'parse', d.n, d.n from d union all select 'chunk', d.n, k.n from d, k union all select 'embed', k.n, k.n from k""")
+def q_build_stages(t: Tables) -> DataFrame:
+    """Rows in and out of every stage of a build."""
+    return _built(t).stage_counts()
+
+
+@query(f"with c as ({_BUILD_SQL}) select doc_id, count(*) n_chunks, sum(n_tokens)::bigint n_tokens from c group by 1")
+def q_build_chunks(t: Tables) -> DataFrame:
+    """Chunks and their tokens of every document that a build has."""
+    b = _built(t)
+    doc = b.outcomes.select(F.regexp_extract("uri", r"(\d+)", 1).cast("bigint").alias("doc_id"), F.col("version_id").alias("source_version_id"))
+    return b.chunks.join(doc, "source_version_id").groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum("token_count").cast("bigint").alias("n_tokens"))
+
+
+@query(f"""with {_PARAS}, x as (select doc_id, list_filter(list_transform(ps, lambda p: case when doc_id % 3 = 0 then ' ' else p end), lambda p: true) ps from p)
+select count(*) filter (doc_id % 3 <> 0) n_kept, count(distinct doc_id) filter (doc_id % 3 = 0) n_documents, count(*) filter (doc_id % 3 = 0) n_dropped from (select doc_id, unnest(ps) t from x)""")
+def q_drop_empty(t: Tables) -> DataFrame:
+    """Candidates of white space only are dropped and counted by document."""
+    e = _elements(t).select("doc_id", F.when(F.col("doc_id") % 3 == 0, " ").otherwise(F.col("text")).alias("text"))
+    kept, dropped = chunking.without_empty(e, "doc_id")
+    return kept.agg(F.count("*").alias("n_kept")).crossJoin(dropped.agg(F.count("*").alias("n_documents"), F.coalesce(F.sum("n_dropped"), F.lit(0)).alias("n_dropped")))  # one row each
