@@ -180,11 +180,26 @@ def ratios(matched: DataFrame, findings: DataFrame) -> DataFrame:
         F.count_if(F.expr("e_ord is not null")).alias("expected"), F.count_if(F.expr("o_ord is not null")).alias("observed"), F.count("match_level").alias("matched"), F.count_if(F.expr("match_level is null and e_ord is not null")).alias("missing"),
         F.count_if(F.expr("match_level is null and o_ord is not null")).alias("orphans"), F.count_if(F.expr("match_level is not null and size(e_acl) > 0")).alias("acl_required"),
     )
-    required = matched.where("match_level is not null and size(e_acl) > 0").select(F.col("e_binding_id").alias("subject_id"))
-    acl = findings.where("match_level is not null and code in ('ACL_MISSING', 'ACL_BROADER_THAN_SOURCE', 'ACL_MISMATCH')").select("subject_id").join(required, "subject_id", "left_semi")
+    return _ratio_row(base, findings, matched.where("match_level is not null and size(e_acl) > 0").select(F.col("e_binding_id").alias("subject_id")))
+
+
+def ratios_of_sides(expected: DataFrame, observed: DataFrame, left: DataFrame, findings: DataFrame) -> DataFrame:
+    """The same row without going through the pairs: from the sides, and `left`, what is over on either (e_* and o_* columns).
+
+    A binding stands once on the expected side, so what isn't left over is matched."""
+    has = "size(acl) > 0"
+    e = expected.agg(F.count("*").alias("expected"), F.count_if(F.expr(has)).alias("e_acl_n"))
+    o = observed.agg(F.count("*").alias("observed"))
+    rest = left.agg(F.count_if(F.expr("e_ord is not null")).alias("missing"), F.count_if(F.expr("o_ord is not null")).alias("orphans"), F.count_if(F.expr("e_ord is not null and size(e_acl) > 0")).alias("left_acl_n"))
+    base = e.crossJoin(o).crossJoin(rest)  # one row each
+    base = base.select("expected", "observed", (F.col("expected") - F.col("missing")).alias("matched"), "missing", "orphans", (F.col("e_acl_n") - F.col("left_acl_n")).alias("acl_required"))
+    return _ratio_row(base, findings, expected.where(has).select(F.col("binding_id").alias("subject_id")))
+
+
+def _ratio_row(base: DataFrame, findings: DataFrame, required: DataFrame) -> DataFrame:
+    acl = findings.where("match_level is not null and code in ('ACL_MISSING', 'ACL_BROADER_THAN_SOURCE', 'ACL_MISMATCH')").select("subject_id").distinct().join(required, "subject_id", "left_semi")
     extra = findings.agg(F.count_if(F.expr("code = 'UNVERIFIABLE_POINT'")).alias("unverifiable"), F.count_distinct(F.when(F.col("code").isin("STALE_SOURCE", "STALE_CHUNKING") & F.col("match_level").isNotNull(), F.col("subject_id"))).alias("stale"))
-    bad = acl.agg(F.count_distinct("subject_id").alias("acl_bad"))
-    one = base.crossJoin(extra).crossJoin(bad)  # three tables of one row each
+    one = base.crossJoin(extra).crossJoin(acl.agg(F.count("*").alias("acl_bad")))  # three tables of one row each
     return one.select(
         "expected", "observed", "matched", "missing", "orphans", "stale", F.try_divide(F.col("observed") - F.col("unverifiable"), "observed").alias("lineage_coverage"), F.try_divide("missing", "expected").alias("missing_ratio"),
         F.try_divide("orphans", "observed").alias("orphan_ratio"), F.try_divide("stale", "matched").alias("stale_ratio"), F.try_divide(F.col("acl_required") - F.col("acl_bad"), "acl_required").alias("acl_compliance"),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from driftaudit.operators import findings as fd
 from driftaudit.operators import matching
 from driftaudit.operators.policy import Facts, Policy
+from driftaudit.session import cut
 
 
 @dataclass(frozen=True)
@@ -67,8 +68,12 @@ def reconcile(
     If expected and present dimensions have none in common, no point is read: the one finding says so, all counts are 0, all
     ratios null, and the caveat is that of an incomplete scan. `pii` and `licences` are assertions; with a policy that has a
     section on them they give findings. An incomplete build or scan is a finding of its own.
+
+    The expected side, which comes of joins, and the findings are kept (checkpoint): the one is read several times by the
+    match, the other by everything after it. Pairs are made once, for the findings.
     """
     spark = expected.sparkSession
+    expected = cut(expected)
     if target_dimensions and (stop := fd.preflight_findings(spark, target, scope, dimensions(expected), target_dimensions)):
         c = Consistency("best_effort_live", "incomplete", None, None, consistency.snapshot_kind, "dimensions have none in common; no point was read")
         return Result(fd.fingerprinted(stop[0], target, scope), spark.sql(_NOTHING), None, caveat(c, 0), True, Facts(signed, c.snapshot_kind, c.completeness))
@@ -80,6 +85,7 @@ def reconcile(
         more.append(fd.pii_findings(pairs, pii, policy.get("pii", "deny", []), policy.get("pii", "allow", []), policy.get("pii", "max_confidence_allowed", 1.0)))
     if policy and "licenses" in policy.sections and licences is not None and "e_license_assertion_ids" in pairs.columns:
         more.append(fd.licence_findings(pairs, licences, policy.get("licenses", "allow", []), policy.get("licenses", "deny", []), policy.get("licenses", "unknown", "allow")))
-    found = fd.all_findings(matched, twice, sources, target, scope, more)
-    return Result(found, fd.ratios(matched, found), matched, caveat(consistency, None), False, Facts(signed, consistency.snapshot_kind, consistency.completeness))
+    found = cut(fd.all_findings(matched, twice, sources, target, scope, more))
+    left = matched.where("match_level is null")
+    return Result(found, fd.ratios_of_sides(expected, observed, left, found), matched, caveat(consistency, None), False, Facts(signed, consistency.snapshot_kind, consistency.completeness))
 

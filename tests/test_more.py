@@ -42,6 +42,14 @@ def test_matches_are_the_same_by_any_way(spark):
         assert {(x.match_level, x.e_ord, x.o_ord) for x in got.collect()} == want
 
 
+def test_ratios_are_the_same_from_the_sides(spark):
+    from driftaudit.plans.fixture import Fixture
+
+    x = Fixture(spark, "/root/testdata/sf0.001")
+    one = findings.ratios(x.matched, x.findings).first()
+    assert findings.ratios_of_sides(x.expected, x.observed, x.matched.where("match_level is null"), x.findings).first() == one and one.acl_compliance < 1
+
+
 def test_policy_findings(spark):
     pairs = spark.createDataFrame([("b1", "p1", 1, ["a1", "a2"], ["l1", "l2"]), ("b2", "p2", 1, None, ["l2"])], "e_binding_id string, o_point_key string, match_level int, e_pii_assertion_ids array<string>, e_license_assertion_ids array<string>")
     pii = spark.createDataFrame([("a1", [("EMAIL", 0.95, 3), ("PHONE", 0.5, 9)])], "id string, findings array<struct<entity_type:string,confidence:double,start:int>>")
