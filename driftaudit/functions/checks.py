@@ -110,12 +110,15 @@ def acl_normalized(entries: Column, fold_case: bool = False) -> Column:
     return F.array_sort(F.array_distinct(entries))
 
 
-def acl_masked(entries: Column, key: bytes) -> Column:
-    """PUBLIC stays; other entries keep their kind and 16 hex digits of a keyed digest. Sorted."""
+def acl_masked(entries: Column, key: bytes | None = None) -> Column:
+    """PUBLIC stays; other entries keep their kind and 16 hex digits of a digest of the rest, keyed if there is a key. Sorted."""
     from driftaudit.functions.ids import hmac_sha256
 
     def mask(e: Column) -> Column:
-        kind = F.when(F.contains(e, F.lit(":")), F.substring_index(e, ":", 1)).otherwise("PRINCIPAL")
-        return F.when(e == "PUBLIC", e).otherwise(F.concat(kind, F.lit(":masked:"), F.substring(hmac_sha256(key, e), 1, 16)))
+        typed = F.contains(e, F.lit(":"))
+        kind = F.when(typed, F.substring_index(e, ":", 1)).otherwise("PRINCIPAL")
+        rest = F.when(typed, F.substring(e, F.instr(e, ":") + 1, F.length(e))).otherwise(e)
+        digest = hmac_sha256(key, rest) if key else F.sha2(rest, 256)
+        return F.when(e == "PUBLIC", e).otherwise(F.concat(kind, F.lit(":masked:"), F.substring(digest, 1, 16)))
 
     return F.array_sort(F.transform(entries, mask))

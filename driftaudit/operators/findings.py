@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftaudit.functions.checks import acl_masked
 from driftaudit.functions.ids import content_id, json_string
+from driftaudit.operators.matching import confidence
 
 #: All finding codes with their default severity.
 SEVERITIES = {
@@ -46,16 +48,17 @@ def override(code: str, severity: str, reason: str | None = None) -> str:
     return severity
 
 
-def _hit(cond: Column, code: str, name: str) -> Column:
-    return F.when(cond, F.struct(F.lit(code).alias("code"), F.lit(name).alias("field")))
+def _hit(cond: Column, code: str, name: str, expected: Column, observed: Column) -> Column:
+    return F.when(cond, F.struct(F.lit(code).alias("code"), F.lit(name).alias("field"), expected.cast("string").alias("expected"), observed.cast("string").alias("observed")))
 
 
 def _set(c: Column) -> Column:
     return F.nullif(c, F.lit("")).isNotNull()
 
 
-def pair_findings(pairs: DataFrame) -> DataFrame:
-    """(code, field, subject_id, point_key, match_level): all rules over matched pairs, in one projection without a shuffle.
+def pair_findings(pairs: DataFrame, key: bytes | None = None) -> DataFrame:
+    """(code, field, expected, observed, subject_id, point_key, match_level): all rules over matched pairs, in one projection
+    without a shuffle. What was expected and observed is told as text, access entries masked (with `key`, if there is one).
 
     `pairs` has e_* and o_* and `current_version`, the present version of the expected source, null when it is unknown.
     """
@@ -72,10 +75,14 @@ def pair_findings(pairs: DataFrame) -> DataFrame:
     acl_broader = F.coalesce(known & ~acl_missing & (F.size(F.array_except(seen, e("acl"))) > 0), F.lit(False))
     acl_differs = F.coalesce(known & ~acl_missing & ~acl_broader & (F.size(F.array_except(e("acl"), seen)) > 0), F.lit(False))
     drift = F.coalesce(e("payload_hash") != o("payload_hash"), F.lit(False)) & ~stale & ~chunking & ~acl_missing & ~acl_broader & ~acl_differs & ~tenant_missing & ~tenant_differs
+    listed = lambda m: F.array_join(F.array_sort(F.map_values(m)), "|")
+    lists = F.array_join(acl_masked(e("acl"), key), "|"), F.array_join(acl_masked(seen, key), "|")
     rules = [
-        _hit(stale, "STALE_SOURCE", "source_version_id"), _hit(chunking, "STALE_CHUNKING", "chunk_id"), _hit(dimension, "EMBEDDING_DIMENSION_MISMATCH", "dimension"), _hit(vector, "VECTOR_HASH_MISMATCH", "vector_hash"),
-        _hit(tenant_missing, "TENANT_MISSING", "tenant"), _hit(tenant_differs, "TENANT_MISMATCH", "tenant"), _hit(acl_missing, "ACL_MISSING", "acl"), _hit(acl_broader, "ACL_BROADER_THAN_SOURCE", "acl"),
-        _hit(acl_differs, "ACL_MISMATCH", "acl"), _hit(drift, "PAYLOAD_DRIFT", "payload_hash"),
+        _hit(stale, "STALE_SOURCE", "source_version_id", F.col("current_version"), o("source_version_id")), _hit(chunking, "STALE_CHUNKING", "chunk_id", e("chunk_id"), o("chunk_id")),
+        _hit(dimension, "EMBEDDING_DIMENSION_MISMATCH", "dimension", e("dimension"), listed(o("dimensions"))), _hit(vector, "VECTOR_HASH_MISMATCH", "vector_hash", e("vector_hash"), listed(o("vector_hashes"))),
+        _hit(tenant_missing, "TENANT_MISSING", "tenant", e("tenant"), o("tenant")), _hit(tenant_differs, "TENANT_MISMATCH", "tenant", e("tenant"), o("tenant")),
+        _hit(acl_missing, "ACL_MISSING", "acl", *lists), _hit(acl_broader, "ACL_BROADER_THAN_SOURCE", "acl", *lists), _hit(acl_differs, "ACL_MISMATCH", "acl", *lists),
+        _hit(drift, "PAYLOAD_DRIFT", "payload_hash", e("payload_hash"), o("payload_hash")),
     ]
     return pairs.select(e("binding_id").alias("subject_id"), o("point_key").alias("point_key"), "match_level", F.inline(F.array_compact(F.array(*rules))))
 
@@ -130,6 +137,7 @@ def with_current_version(rows: DataFrame, sources: DataFrame, source_id: str) ->
 
 
 COLUMNS = ["code", "field", "subject_id", "point_key", "match_level"]
+EVIDENCE = ["expected", "observed"]
 
 
 def _other(spark, code: str, subject: str, field: str) -> DataFrame:
@@ -153,24 +161,26 @@ def preflight_findings(spark, target: str, scope: str, expected: set[int], prese
 
 
 def fingerprinted(rows: DataFrame, target: str, scope: str) -> DataFrame:
-    """`rows` (COLUMNS, and `severity` where it isn't the default) with fingerprint and severity."""
+    """`rows` (COLUMNS, and severity, expected, observed where there are any) with fingerprint, severity, and the confidence of the match."""
+    rows = rows.withColumns({c: F.lit(None).cast("string") for c in EVIDENCE if c not in rows.columns})
     print_ = content_id("finding", json_string(F.col("code")), json_string(F.lit(target)), json_string(F.lit(scope)), json_string(F.col("subject_id")), json_string(F.col("field")))
     severity = F.coalesce("severity", severity_of(F.col("code"))) if "severity" in rows.columns else severity_of(F.col("code"))
-    return rows.select(print_.alias("fingerprint"), "code", severity.alias("severity"), "field", "subject_id", "point_key", "match_level")
+    return rows.select(print_.alias("fingerprint"), "code", severity.alias("severity"), "field", "subject_id", "point_key", "match_level", F.when(F.col("match_level").isNotNull(), confidence(F.col("match_level"))).alias("confidence"), *EVIDENCE)
 
 
-def all_findings(matched: DataFrame, duplicates: DataFrame, sources: DataFrame, target: str, scope: str, more: Iterable[DataFrame] = ()) -> DataFrame:
-    """(fingerprint, code, severity, field, subject_id, point_key, match_level) of a cascade's outcome.
+def all_findings(matched: DataFrame, duplicates: DataFrame, sources: DataFrame, target: str, scope: str, more: Iterable[DataFrame] = (), key: bytes | None = None) -> DataFrame:
+    """(fingerprint, code, severity, field, subject_id, point_key, match_level, confidence, expected, observed) of a cascade's outcome.
 
     `more` are findings of other producers: on personal data, licences, the manifest, the snapshot.
     """
     pairs = with_current_version(matched.where("match_level is not null"), sources, "e_source_id")
-    found = pair_findings(pairs)
-    missing = matched.where("match_level is null and e_ord is not null").select(F.col("e_binding_id").alias("subject_id"), F.col("e_point_key").alias("point_key"), F.lit(None).cast("int").alias("match_level"), F.lit("MISSING_IN_INDEX").alias("code"), F.lit("point_id").alias("field"))
+    found = pair_findings(pairs, key)
+    missing = matched.where("match_level is null and e_ord is not null").select(F.col("e_binding_id").alias("subject_id"), F.col("e_point_key").alias("point_key"), F.lit(None).cast("int").alias("match_level"), F.lit("MISSING_IN_INDEX").alias("code"), F.lit("point_id").alias("field"), F.col("e_embedding_id").alias("expected"))
     orphans = with_current_version(matched.where("match_level is null and o_ord is not null"), sources, "o_source_id")
-    orphans = orphans.select(F.col("o_point_key").alias("subject_id"), F.col("o_point_key").alias("point_key"), F.lit(None).cast("int").alias("match_level"), orphan_code().alias("code"), F.lit("point_id").alias("field"))
-    twice = duplicates.select(F.col("key").alias("subject_id"), "point_key", F.col("level").alias("match_level"), F.when(F.col("level") == 1, "DUPLICATE_POINT_ID").otherwise("DUPLICATE_CONTENT").alias("code"), F.element_at(F.array(*map(F.lit, ("point_id", "embedding_id", "chunk_id"))), F.col("level")).alias("field"))
-    rows = [x.select(*COLUMNS, F.lit(None).cast("string").alias("severity")) if "severity" not in x.columns else x.select(*COLUMNS, "severity") for x in (found, missing, orphans, twice, *more)]
+    orphans = orphans.select(F.col("o_point_key").alias("subject_id"), F.col("o_point_key").alias("point_key"), F.lit(None).cast("int").alias("match_level"), orphan_code().alias("code"), F.lit("point_id").alias("field"), F.coalesce("o_source_id", "o_chunk_id", "o_embedding_id", "o_source_version_id").alias("observed"))
+    twice = duplicates.select(F.col("key").alias("subject_id"), "point_key", F.col("level").alias("match_level"), F.when(F.col("level") == 1, "DUPLICATE_POINT_ID").otherwise("DUPLICATE_CONTENT").alias("code"), F.element_at(F.array(*map(F.lit, ("point_id", "embedding_id", "chunk_id"))), F.col("level")).alias("field"), F.col("n").cast("string").alias("observed"))
+    optional = ("severity", *EVIDENCE)
+    rows = [x.select(*COLUMNS, *(c if c in x.columns else F.lit(None).cast("string").alias(c) for c in optional)) for x in (found, missing, orphans, twice, *more)]
     return fingerprinted(reduce(DataFrame.unionByName, rows), target, scope)
 
 

@@ -61,7 +61,7 @@ _NOTHING = "select 0L expected, 0L observed, 0L matched, 0L missing, 0L orphans,
 
 def reconcile(
     expected: DataFrame, observed: DataFrame, sources: DataFrame, target: str, scope: str, build_id: str = "", build_status: str = "complete", consistency: Consistency = Consistency(), target_dimensions: set[int] | None = None,
-    policy: Policy | None = None, pii: DataFrame | None = None, licences: DataFrame | None = None, signed: bool = False,
+    policy: Policy | None = None, pii: DataFrame | None = None, licences: DataFrame | None = None, signed: bool = False, key: bytes | None = None,
 ) -> Result:
     """Findings and ratios of one target and scope.
 
@@ -85,7 +85,7 @@ def reconcile(
         more.append(fd.pii_findings(pairs, pii, policy.get("pii", "deny", []), policy.get("pii", "allow", []), policy.get("pii", "max_confidence_allowed", 1.0)))
     if policy and "licenses" in policy.sections and licences is not None and "e_license_assertion_ids" in pairs.columns:
         more.append(fd.licence_findings(pairs, licences, policy.get("licenses", "allow", []), policy.get("licenses", "deny", []), policy.get("licenses", "unknown", "allow")))
-    found = cut(fd.all_findings(matched, twice, sources, target, scope, more))
+    found = cut(fd.all_findings(matched, twice, sources, target, scope, more, key))
     left = matched.where("match_level is null")
     return Result(found, fd.ratios_of_sides(expected, observed, left, found), matched, caveat(consistency, None), False, Facts(signed, consistency.snapshot_kind, consistency.completeness))
 

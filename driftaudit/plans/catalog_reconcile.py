@@ -140,6 +140,18 @@ def q_findings_fingerprints(x: Fixture) -> DataFrame:
     return x.findings.select("fingerprint", "code", "severity", "field", "subject_id", "match_level")
 
 
+_MASK = "array_to_string(list_sort(list_transform({0}, lambda a: case when a = 'PUBLIC' then a else split_part(a, ':', 1) || ':masked:' || substr(sha256(substr(a, strpos(a, ':') + 1)), 1, 16) end)), '|')"
+
+
+@query(_with(f"""select binding_id subject_id, point_key, 'high' confidence, unnest(list_filter([case when stale then {{'code': 'STALE_SOURCE', 'e': cur, 'o': ov}} end, case when chunking then {{'code': 'STALE_CHUNKING', 'e': ec, 'o': oc}} end,
+case when ed <> od then {{'code': 'EMBEDDING_DIMENSION_MISMATCH', 'e': ed::varchar, 'o': od::varchar}} end, case when ev <> ovh then {{'code': 'VECTOR_HASH_MISMATCH', 'e': ev, 'o': ovh}} end, case when tm then {{'code': 'TENANT_MISSING', 'e': et, 'o': ot}} end, case when tx then {{'code': 'TENANT_MISMATCH', 'e': et, 'o': ot}} end,
+case when am then {{'code': 'ACL_MISSING', 'e': {_MASK.format('ea')}, 'o': {_MASK.format('oa')}}} end, case when ab then {{'code': 'ACL_BROADER_THAN_SOURCE', 'e': {_MASK.format('ea')}, 'o': {_MASK.format('oa')}}} end], lambda x: x is not null), recursive := true) from rl""").replace("select binding_id subject_id", "select subject_id, point_key, confidence, code, e as expected, o as observed from (select binding_id subject_id") + ")")
+def q_findings_evidence(x: Fixture) -> DataFrame:
+    """What was expected and what was seen, for the findings on pairs; access entries are masked."""
+    codes = ["STALE_SOURCE", "STALE_CHUNKING", "EMBEDDING_DIMENSION_MISMATCH", "VECTOR_HASH_MISMATCH", "TENANT_MISSING", "TENANT_MISMATCH", "ACL_MISSING", "ACL_BROADER_THAN_SOURCE"]
+    return x.findings.where(F.col("code").isin(*codes) & F.col("match_level").isNotNull()).select("subject_id", "point_key", "confidence", "code", "expected", "observed")
+
+
 _RATIOS = """r as (select (select count(*) from expected) expected, (select count(*) from observed) observed, (select count(*) from pairs) matched, (select count(*) from el3) missing, (select count(*) from ol3) orphans,
   (select count(distinct subject_id) from findings where match_level is not null and code in ('STALE_SOURCE','STALE_CHUNKING')) stale, (select count(*) from findings where code='UNVERIFIABLE_POINT') unv,
   (select count(*) from rl where len(ea)>0) areq, (select count(distinct subject_id) from findings f join rl on rl.binding_id=f.subject_id and len(rl.ea)>0 where f.match_level is not null and code in ('ACL_MISSING','ACL_BROADER_THAN_SOURCE','ACL_MISMATCH')) abad),
@@ -214,7 +226,7 @@ def q_preflight(x: Fixture) -> DataFrame:
     from driftaudit.operators.reconcile import reconcile
 
     run = reconcile(x.expected, x.observed, x.sources, TARGET, SCOPE, target_dimensions={1024})
-    return run.findings.crossJoin(run.ratios).select("severity", "code", "subject_id", "field", "expected", "observed", "missing_ratio")  # one row each
+    return run.findings.drop("expected", "observed").crossJoin(run.ratios).select("severity", "code", "subject_id", "field", "expected", "observed", "missing_ratio")  # one row each
 
 
 @query(_with("select fingerprint, code, severity, subject_id from findings where severity = 'critical' order by fingerprint, subject_id limit 100 offset 50"))

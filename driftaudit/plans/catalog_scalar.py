@@ -137,7 +137,7 @@ def q_acl_normalize(t: Tables) -> DataFrame:
     return d.select("note_id", F.array_join(checks.acl_normalized(F.col("a")), "|").alias("acl"), F.forall("a", checks.acl_valid).alias("valid"))
 
 
-@query(f"""select c_custkey, array_to_string(list_sort(['PUBLIC', 'USER:masked:' || substr({_hmac_sql("'USER:' || c_name")},1,16), 'GROUP:masked:' || substr({_hmac_sql("'GROUP:' || c_mktsegment")},1,16)]), '|') masked from customer""")
+@query(f"""select c_custkey, array_to_string(list_sort(['PUBLIC', 'USER:masked:' || substr({_hmac_sql("c_name")},1,16), 'GROUP:masked:' || substr({_hmac_sql("c_mktsegment")},1,16)]), '|') masked from customer""")
 def q_acl_mask(t: Tables) -> DataFrame:
     acl = F.array(F.lit("PUBLIC"), F.concat(F.lit("USER:"), "c_name"), F.concat(F.lit("GROUP:"), "c_mktsegment"))
     return t.customer.select("c_custkey", F.array_join(checks.acl_masked(acl, _KEY), "|").alias("masked"))
