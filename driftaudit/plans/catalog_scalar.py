@@ -90,10 +90,12 @@ def q_pii_values(t: Tables) -> DataFrame:
     return _found(t).select("note_id", "field_name", "entity_type", "value")
 
 
-@query()
+@query(f'with {_found_sql()} select note_id, field_name, entity_type, case entity_type {" ".join(f"when {chr(39)}{k}{chr(39)} then {c}" for k, c in _CONFIDENCE.items())} end::double confidence, x as "at_place" from v')
 def q_pii_positions(t: Tables) -> DataFrame:
-    """Findings with their places, in order of start, end and type."""
-    return _found(t).select("note_id", "field_name", "start", "end", "entity_type", "confidence")
+    """What stands at the places of the findings in the stored texts."""
+    f = _found(t).join(t.contact_rows.select("note_id", "notes", "contact_email", "text"), "note_id")
+    stored = F.when(F.col("field_name") == "notes", F.col("notes")).when(F.col("field_name") == "text", F.col("text")).otherwise(F.col("contact_email"))
+    return f.select("note_id", "field_name", "entity_type", "confidence", F.substring(stored, F.col("start") + 1, F.col("end") - F.col("start")).alias("at_place"))
 
 
 @query(f"""with {_found_sql()} select note_id, field_name, entity_type, x as "value", case when entity_type <> 'EMAIL_ADDRESS' then case when length(x) <= 4 then repeat('*', length(x)) else repeat('*', length(x) - 4) || right(x, 4) end

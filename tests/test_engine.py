@@ -423,6 +423,33 @@ def test_incremental_ingest(spark, tmp_path):
         assert spark.read.parquet(out).count() == total
 
 
+def test_stages_compute_only_what_is_missing(spark, tmp_path):
+    from driftaudit.streaming import ingest
+
+    path, asked = str(tmp_path / "stage"), []
+
+    def compute(todo):
+        asked.append(sorted(r.k for r in todo.collect()))
+        return todo.select("k", F.upper("v").alias("out"))
+
+    for rows, new in (([("a", "x"), ("b", "y")], ["a", "b"]), ([("b", "y"), ("c", "z"), ("c", "z")], ["c", "c"]), ([("a", "x")], [])):
+        got = ingest.stage(spark, spark.createDataFrame(rows, "k string, v string"), "k", path, compute)
+        assert {(r.k, r.out) for r in got.collect()} == {(k, v.upper()) for k, v in rows} and asked[-1] == new
+
+
+def test_event_windows_as_a_stream(spark, tmp_path):
+    from driftaudit.streaming import ingest
+
+    src = str(tmp_path / "events")
+    rows = [("2026-01-01 10:00:00", "view", 1.0), ("2026-01-01 11:00:00", "view", 2.0), ("2026-01-02 09:00:00", "buy", 5.0), ("2026-01-05 00:00:00", "view", 1.0)]
+    spark.createDataFrame(rows, "ts string, event_type string, value double").write.parquet(src)
+    stream = spark.readStream.schema("ts string, event_type string, value double").parquet(src)
+    q = ingest.event_windows(stream).writeStream.format("memory").queryName("windows_test").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination(120)
+    got = {(str(r.day), r.event_type, r.n, r.total) for r in spark.table("windows_test").collect()}
+    assert {("2026-01-01 00:00:00", "view", 2, 3.0), ("2026-01-02 00:00:00", "buy", 1, 5.0)} <= got
+
+
 def test_normalized_text(spark):
     df = spark.createDataFrame([("é\r\nx",), ("plain\r",), (None,)], "t string")
     assert {r.n for r in text.with_normalized(df, "t", "n").collect()} == {"é\nx", "plain\n", None}
