@@ -25,7 +25,8 @@ def plain(c: Column) -> Column:
 
 def json_string(c: Column) -> Column:
     """The string as canonical JSON: only quotes, backslashes and control characters are escaped."""
-    table = F.create_map(*(F.lit(x) for code in range(32) for x in (chr(code), _SHORT.get(chr(code), f"\\u{code:04x}"))))
+    # as one text: an expression in Python is a call to the JVM for each of its parts
+    table = F.expr("map(" + ", ".join(f"char({code}), '{_SHORT.get(chr(code), f'{chr(92)}u{code:04x}').replace(chr(92), chr(92) * 2)}'" for code in range(32)) + ")")
 
     def escaped(s: Column) -> Column:
         # one lookup per character, only for strings that have a control character

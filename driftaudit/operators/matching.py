@@ -57,22 +57,22 @@ _BITS = 33  # monotonically increasing ids have the partition above this bit
 def _ranked(df: DataFrame, key: str, hot: int = HOT, order: str = "pos") -> DataFrame:
     """`df` with `rn`, the rank within the key. A hot key's rows are ranked within parts of the order, and the sizes of the
     parts before are added, so no key is sorted in one task."""
-    plain = F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("bigint")
-    span = df.groupBy(key).agg(F.count("*").alias("n_"), F.min(order).alias("lo_"), F.max(order).alias("hi_")).where(F.col("n_") > hot)
-    step = F.greatest(F.lit(1), F.ceil((F.col("hi_") - F.col("lo_") + 1) / F.ceil(F.col("n_") / hot))).cast("bigint")
+    columns = df.columns
+    # as text: an expression in Python is a call to the JVM for each of its parts
+    span = df.groupBy(key).agg(F.expr("count(*) as n_"), F.expr(f"min({order}) as lo_"), F.expr(f"max({order}) as hi_")).where(f"n_ > {hot}")
     marked = df.join(F.broadcast(span), key, "left")
-    rest = marked.where("n_ is null").select(*df.columns, plain.alias("rn"))
+    rest = marked.where("n_ is null").selectExpr(*columns, f"cast(row_number() over (partition by {key} order by {order}) as bigint) as rn")
     # ids given by sorted partitions are dense within one and far apart between two: there the partition is the part
-    part = F.when(F.col("hi_") >= F.lit(1 << _BITS), F.shiftright(F.col(order).cast("bigint"), _BITS)).otherwise(F.floor((F.col(order) - F.col("lo_")) / step))
-    parts = marked.where("n_ is not null").select(*df.columns, part.alias("part_"))
-    sizes = parts.groupBy(key, "part_").agg(F.count("*").alias("n_")).withColumn("before_", F.sum("n_").over(Window.partitionBy(key).orderBy("part_")) - F.col("n_"))
-    inner = F.row_number().over(Window.partitionBy(key, "part_").orderBy(order))
-    ranked = parts.withColumn("in_", inner).join(F.broadcast(sizes.select(key, "part_", "before_")), [key, "part_"])
-    return rest.unionByName(ranked.select(*df.columns, (F.col("in_") + F.col("before_")).cast("bigint").alias("rn")))
+    step = f"greatest(1L, cast(ceil((hi_ - lo_ + 1) / ceil(n_ / {hot})) as bigint))"
+    part = f"if(hi_ >= {1 << _BITS}L, shiftright(cast({order} as bigint), {_BITS}), cast(floor(({order} - lo_) / {step}) as bigint)) as part_"
+    parts = marked.where("n_ is not null").selectExpr(*columns, part)
+    sizes = parts.groupBy(key, "part_").count().selectExpr(key, "part_", f"sum(count) over (partition by {key} order by part_) - count as before_")
+    ranked = parts.selectExpr("*", f"row_number() over (partition by {key}, part_ order by {order}) as in_").join(F.broadcast(sizes), [key, "part_"])
+    return rest.unionByName(ranked.selectExpr(*columns, "cast(in_ + before_ as bigint) as rn"))
 
 
 def _prefixed(df: DataFrame, p: str) -> DataFrame:
-    return df.select(*(F.col(c).alias(p + c) for c in df.columns))
+    return df.toDF(*(p + c for c in df.columns))
 
 
 def match_round(expected: DataFrame, observed: DataFrame, level: int, hot: int = HOT) -> DataFrame:
@@ -87,7 +87,8 @@ def match_round(expected: DataFrame, observed: DataFrame, level: int, hot: int =
 
 
 def _side(df: DataFrame, p: str) -> DataFrame:
-    return df.select(*(F.col(c).alias(c[len(p) :]) for c in df.columns if c.startswith(p)))
+    names = [c for c in df.columns if c.startswith(p)]
+    return df.select(*names).toDF(*(c[len(p) :] for c in names))
 
 
 def _left(both: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
