@@ -74,14 +74,14 @@ def mix(docs: DataFrame, targets: DataFrame, total: float, tokenizer: str, key:
     `n_times` counts the whole epochs and the sampled one and is at most max_repeats. Of the sampled epoch the documents
     with the smallest keys are taken while they fit the budget; then, of those that follow up to eight times as many tokens
     as are left, each that still fits; last one more, if the budget is nearer with it than without. A source misses its
-    budget by less than half of its largest document, unless its supply times max_repeats is smaller. Documents of no target source,
-    null sources and texts without tokens are not chosen. The key must be unique; ties of equal keys' draws are broken by
+    budget by less than half of its largest document, unless its supply times max_repeats is smaller. Documents of no target source, or
+    without source, key or tokens are not chosen. The key must be unique; ties of equal keys' draws are broken by
     the key. `targets` is a small list by its nature, one row per source.
 
     A source is put in order only within one bucket of keys, of about a thousand documents unless `buckets` says otherwise.
     """
     slim = with_tokens(docs, text, {key: F.col(key), "source": source_name(F.col("source")), "weight": quality_weight(F.col(text))}, tokenizer)
-    sized = cut(slim.where("n_tokens > 0 and source is not null"))  # several passes follow; texts are tokenized once
+    sized = cut(slim.where((F.col("n_tokens") > 0) & F.col("source").isNotNull() & F.col(key).isNotNull()))  # several passes follow; texts are tokenized once
     plan = cut(budgets(sized, targets, total))
     if buckets is None:
         buckets = max(4096, (plan.agg(F.max("n_docs")).first()[0] or 0) // 1000)

@@ -100,18 +100,20 @@ def pack(docs: DataFrame, capacity: int, tokenizer: str, key: str = "doc_id", te
     pieces = F.transform(F.sequence(F.lit(0), F.greatest(full - F.when(n % cap == 0, 1).otherwise(0), F.lit(0))), lambda i: F.struct(i.cast("int").alias("piece_no"), F.least(cap, n - i * cap).cast("bigint").alias("n_tokens")))
     cut = sized.select(key, "row_", F.inline(pieces)).withColumn("token_start", (F.col("piece_no") * cap).cast("bigint"))
     alone = cut.where((F.col("n_tokens") == cap) | (F.col("n_tokens") == 0)).select(
-        F.when(F.col("n_tokens") == 0, "empty").otherwise(F.concat(F.lit("full-"), F.col(key).cast("string"), F.lit("-"), F.col("piece_no"), F.lit("-"), F.col("row_"))).alias("container_id"), key, "piece_no", "token_start", "n_tokens"
+        F.when(F.col("n_tokens") == 0, "empty").otherwise(F.concat(F.lit("full-"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("-"), F.col("piece_no"), F.lit("-"), F.col("row_"))).alias("container_id"), key, "piece_no", "token_start", "n_tokens"
     )
     rest = cut.where((F.col("n_tokens") < cap) & (F.col("n_tokens") > 0)).withColumn("group", F.pmod(F.xxhash64(key, "piece_no"), F.lit(groups)).cast("int"))
     kind = dict(docs.dtypes)[key]
 
     def fill(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([key, "piece_no", "n_tokens"], kind="stable")
+        part = part.sort_values(["n_tokens", key, "piece_no"], kind="stable")
         number = best_two_fit(part["n_tokens"].to_numpy(), capacity)
         return part.assign(container_id=[f"{g}-{i}" for g, i in zip(part["group"], number, strict=True)])[["container_id", key, "piece_no", "token_start", "n_tokens"]]
 
-    packed = rest.groupBy("group").applyInPandas(fill, f"container_id string, {key} {kind}, piece_no int, token_start bigint, n_tokens bigint")
-    return alone.unionByName(packed)
+    # keys go through pandas as text: beside a null it would make floats of integers
+    rest = rest.withColumn(key, F.col(key).cast("string"))
+    packed = rest.groupBy("group").applyInPandas(fill, f"container_id string, {key} string, piece_no int, token_start bigint, n_tokens bigint")
+    return alone.unionByName(packed.withColumn(key, F.col(key).cast(kind)))
 
 
 def fill_report(packed: DataFrame, capacity: int) -> DataFrame:

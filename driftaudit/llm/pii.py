@@ -469,7 +469,9 @@ def find(rows: DataFrame, key: str = "note_id", fields: tuple[str, ...] = FIELDS
     long = rows.select(key, F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text_")) for f in fields))).alias("x")).select(key, "x.*")
     long = long.where("trim(text_) <> ''")
     kind = dict(rows.dtypes)[key]
-    return long.mapInPandas(scan, f"{key} {kind}, field_name string, start_pos int, end_pos int, entity_type string").select(key, "field_name", "entity_type", "start_pos", "end_pos")
+    # the key as text: pandas would make floats of integers beside a null
+    found = long.withColumn(key, F.col(key).cast("string")).mapInPandas(scan, f"{key} string, field_name string, start_pos int, end_pos int, entity_type string")
+    return found.select(F.col(key).cast(kind).alias(key), "field_name", "entity_type", "start_pos", "end_pos")
 
 
 def redact(rows: DataFrame, fields: tuple[str, ...] = FIELDS, training_rows: int = TRAINING_ROWS, field: Field | None = None) -> DataFrame:

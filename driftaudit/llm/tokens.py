@@ -6,7 +6,7 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +31,14 @@ def with_tokens(docs: DataFrame, text: str, keep: dict, tokenizer: str, name: st
     slim = docs.select(*(c.alias(n) for n, c in keep.items()), F.col(text).alias("text_"))
     fields = [f for f in slim.schema if f.name != "text_"]
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # columns of Arrow stay what they are; pandas would make floats of integers beside a null
         encoder = _encoder(tokenizer)
-        for pdf in batches:
-            texts = pdf.pop("text_")
-            pdf[name] = [len(encoder.encode_ordinary(t)) if isinstance(t, str) else 0 for t in texts]
-            yield pdf
+        for b in batches:
+            at = b.schema.get_field_index("text_")
+            n = pa.array([len(encoder.encode_ordinary(t)) if t is not None else 0 for t in b.column(at).to_pylist()], pa.int64())
+            names = [*(f.name for i, f in enumerate(b.schema) if i != at), name]
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != at), n], names=names)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"{name} bigint"])
-    return slim.mapInPandas(count, schema)
+    return slim.mapInArrow(count, schema)

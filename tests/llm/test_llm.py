@@ -166,6 +166,18 @@ def test_containers_of_repeated_keys_have_names_of_their_own(spark):
     assert max(loads.values()) == 100
 
 
+def test_rows_without_keys(spark):
+    long = " ".join(["alpha"] * 250)
+    df = spark.createDataFrame([(None, long, "big"), (None, "beta", "big"), (3, "gamma", "big"), (2**60 + 1, "delta", "big")], "doc_id bigint, text string, source string")
+    rows = packing.pack(df, 100, queries.TOKENIZER).collect()
+    assert sorted(str(x.doc_id) for x in rows) == sorted(["None"] * (len(rows) - 2) + ["3", str(2**60 + 1)]) and all(x.container_id for x in rows)
+    targets = spark.createDataFrame([("big", 1.0, 1)], "source string, target_share double, max_repeats int")
+    assert {x.doc_id for x in mixing.mix(df, targets, 1e6, queries.TOKENIZER)[0].collect()} == {3, 2**60 + 1}
+    notes = spark.createDataFrame([(None, "write to a.b@example.org"), (2**60 + 1, "write to a.b@example.org")], "note_id bigint, text string")
+    assert {(x.note_id, x.start_pos) for x in pii.find(notes, fields=("text",)).collect()} == {(None, 9), (2**60 + 1, 9)}
+    assert {x.doc_id for x in sentences.sentence_units(df).collect()} == {None, 3, 2**60 + 1}
+
+
 def test_fill_takes_what_fits_and_what_comes_nearest():
     sizes, taken = [50, 30, 9, 40, 8], mixing.filled
     assert taken(sizes, 48) == [1, 2, 4] and taken(sizes, 80) == [0, 1] and taken(sizes, 3) == []
