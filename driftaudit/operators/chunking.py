@@ -231,8 +231,9 @@ def _packed(elements: DataFrame, doc: str, sizes: Sizes, effective: Sizes) -> Da
         close()
         yield frame()
 
-    slim = placed.where(F.col("text").isNotNull()).select(doc, "ord", "section", "n", "start", "end", "text", *_FIELDS)
-    return slim.sortWithinPartitions(doc, "ord").mapInPandas(run, f"{doc} {kind}, {CANDIDATE}")
+    # the key as text: pandas would make floats of integers beside a null
+    slim = placed.where(F.col("text").isNotNull()).select(F.col(doc).cast("string").alias(doc), "ord", "section", "n", "start", "end", "text", *_FIELDS)
+    return slim.sortWithinPartitions(doc, "ord").mapInPandas(run, f"{doc} string, {CANDIDATE}").withColumn(doc, F.col(doc).cast(kind))
 
 
 def _numbered(packed: DataFrame, doc: str, order: list[str]) -> DataFrame:
@@ -314,4 +315,5 @@ def split_tokens(elements: DataFrame, doc: str, max_tokens: int) -> DataFrame:
                     rows += [(d, o, k, p.start, p.text) for k, p in enumerate(pieces_of(Piece(0, 0, 0, len(t), t), max_tokens))]
             yield pd.DataFrame(rows, columns=[doc, "ord", "piece", "start", "text"])
 
-    return elements.select(doc, "ord", "text").mapInPandas(run, f"{doc} {kind}, ord int, piece int, start int, text string")
+    slim = elements.select(F.col(doc).cast("string").alias(doc), "ord", "text")
+    return slim.mapInPandas(run, f"{doc} string, ord int, piece int, start int, text string").withColumn(doc, F.col(doc).cast(kind))

@@ -321,7 +321,9 @@ def parse_documents(docs: DataFrame, key: str, content: str, media_type: str, li
             yield pd.DataFrame([(k, *outcome(c, m, parsers, limits)) for k, c, m in zip(pdf["k"], pdf["c"], pdf["m"], strict=True)], columns=columns)
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key).alias("k"), F.col(content).alias("c"), F.col(media_type).alias("m")).mapInPandas(run, f"{key} {kind}, {OUTCOME}")
+    # the key as text: pandas would make floats of integers beside a null
+    slim = docs.select(F.col(key).cast("string").alias("k"), F.col(content).alias("c"), F.col(media_type).alias("m"))
+    return slim.mapInPandas(run, f"{key} string, {OUTCOME}").withColumn(key, F.col(key).cast(kind))
 
 
 def elements(outcomes: DataFrame, key: str) -> DataFrame:

@@ -185,6 +185,14 @@ def test_candidates(spark):
         chunking.candidates(e, "doc", config={"tokenizer_name": "gpt"})
 
 
+def test_keys_beside_nulls_keep_their_digits(spark):
+    big = 2**60 + 1
+    df = spark.createDataFrame([(None, 0, "a b c", "text/plain"), (big, 0, "d e", "text/plain")], "id bigint, ord int, text string, m string").withColumn("heading_path", F.array(F.lit("h")))
+    assert {r.id for r in parsing.parse(df, "id", "text", "m").collect()} == {None, big}
+    assert {(r.id, r.text) for r in chunking.hybrid(df, "id", chunking.Sizes(max_tokens=2, overlap_tokens=1)).collect()} == {(None, "a b"), (None, "c"), (big, "d e")}
+    assert {(r.id, r.text) for r in chunking.split_tokens(df, "id", 2).collect()} == {(None, "a b"), (None, "c"), (big, "d e")}
+
+
 def test_ignore_rules(spark):
     df = spark.createDataFrame([("a.log",), ("x/a.log",), ("x/keep.log",), ("build/o",), ("src/build/o",)], "p string")
     got = [r.i for r in df.select(discovery.is_ignored(F.col("p"), ["*.log", "!keep.log", "/build/"]).alias("i")).collect()]
